@@ -200,3 +200,44 @@ def map_file(uri: str, dtype) -> np.ndarray:
         os.unlink(path)
         return mapped
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+
+
+def with_text_columns(df: DataFrame, fields: str, make, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The `keep` columns (all by default) and new ones that `make(raw, offsets)` gives as Arrow arrays for a slice of texts.
+
+    Columns of the new names are replaced. Rows are neither added nor lost, and nothing is shuffled.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(f"struct<{fields}>") if ":" in fields else StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in added.names and (keep is None or f.name in keep)]
+    names = [f.name for f in kept]
+    hidden = "\x00text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw, offsets in text_slices(batches, hidden):
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *make(raw, offsets)], [*names, *added.names])
+
+    # A column of extra names may clash in letter case only; positions, not names, carry them through.
+    return df.select(*names, df[text].alias(hidden)).mapInArrow(run, StructType([*kept, *added.fields]))
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of each row's values, rows being cut at the offsets."""
+    total = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "bui" else np.float64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def repeated(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (row, value): whether the same was met before, and whether it is there twice or more. Rows ascend."""
+    later, twice = np.zeros(len(row), dtype=bool), np.zeros(len(row), dtype=bool)
+    if len(row) < 2:
+        return later, twice
+    key = value ^ mix64(row.astype(U64) + U64(1))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    later[order[1:]] = same
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    return later, twice
