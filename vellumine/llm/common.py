@@ -241,3 +241,10 @@ def repeated(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     twice[order[1:]] = same
     twice[order[:-1]] |= same
     return later, twice
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    """Remove a folder of the shared place once what was made from it is written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, maglev, media_mpeg, quality
-from .common import documents
+from . import bpe, maglev, media_mpeg, packing, quality, separators
+from .common import checkpoint_dir, delete, documents, written
 
 
 def _vocabulary(name: str) -> str:
@@ -39,7 +39,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules)}
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files of 16-bit identifiers that are written first and removed after."""
+    import public_tokenizers
+
+    folder, pattern, ranks = checkpoint_dir(spark), public_tokenizers.PATTERN, _vocabulary("byte_bpe_50k.tiktoken")
+
+    def encoder():
+        enc = bpe.encoding(ranks, pattern)
+        return lambda text: bpe.encode(text, enc)
+
+    manifest = written(separators.write_files(documents(spark, sf_dir), f"{folder}/tokens", encoder, 50_256, "<u2"), f"{folder}/manifest")
+    found = separators.scan(manifest.select("file", "n_tokens").distinct(), 50_256, "<u2")
+    counted = separators.with_keys(found, manifest)
+    counted = counted.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    out = written(counted, f"{folder}/counts")
+    delete(spark, f"{folder}/tokens")
+    return out
+
+
+#: The end identifier that follows each packed document.
+END_ID = 2
+
+
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), END_ID)
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit)}
 
 
 def _sql_op2() -> str:
