@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, maglev, media_mpeg, ngram_join, packing, quality, secrets, separators
+from . import bpe, kneser_ney, maglev, media_mpeg, ngram_join, packing, quality, secrets, separators
 from .common import checkpoint_dir, delete, documents, written
 
 
@@ -74,7 +74,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard)}
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", kneser_ney.is_held_out(F.col("doc_id")))
+    model = kneser_ney.train(docs.where("NOT held_out"))
+    return kneser_ney.score(docs, model, keep=["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney)}
 
 
 def _sql_op2() -> str:
