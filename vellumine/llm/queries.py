@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, maglev, media_mpeg, ngram_join, packing, quality, secrets, separators
+from . import bpe, kneser_ney, licenses, maglev, media_mpeg, ngram_join, packing, quality, secrets, separators
 from .common import checkpoint_dir, delete, documents, written
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -32,7 +32,7 @@ def op2_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digest(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files of 16-bit identifiers that are written first and removed after."""
     import public_tokenizers
 
-    folder, pattern, ranks = checkpoint_dir(spark), public_tokenizers.PATTERN, _vocabulary("byte_bpe_50k.tiktoken")
+    folder, pattern, ranks = checkpoint_dir(spark), public_tokenizers.PATTERN, vocabulary("byte_bpe_50k.tiktoken")
 
     def encoder():
         enc = bpe.encoding(ranks, pattern)
@@ -63,7 +63,7 @@ END_ID = 2
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), END_ID)
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), END_ID)
 
 
 def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,14 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney)}
+def op7_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: the licences confirmed in it, in their order; empty where there are none."""
+    found = licenses.annotate(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join("found.license", ",").alias("licenses"), "found")
+
+
+#: By name; in the order in which they were built.
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney, op7_license_compression)}
 
 
 def _sql_op2() -> str:
