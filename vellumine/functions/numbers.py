@@ -31,7 +31,7 @@ def parse_ratio(text: Column) -> Column:
 def dms_to_decimal(degrees: Column, minutes: Column, seconds: Column, hemisphere: Column) -> Column:
     """Degrees, minutes and seconds as decimal degrees rounded to 6 places, negative in the south and west."""
     value = degrees + minutes / 60.0 + seconds / 3600.0
-    return F.bround(F.when(hemisphere.isin("S", "W"), -value).otherwise(value), 6)
+    return F.bround(F.when(hemisphere.isin("S", "W"), -value).otherwise(value), 6) + 0.0
 
 
 def shutter_text(seconds: Column) -> Column:

@@ -130,9 +130,9 @@ def stage_rollup(usage: DataFrame) -> DataFrame:
 
 def purgeable(evidence: Column, allowed: list[str]) -> Column:
     """Whether a comma list names something and only what is allowed."""
-    parts = F.filter(F.transform(F.split(evidence, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(evidence, ","), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(parts) > 0) & F.forall(parts, lambda x: x.isin(allowed))
 
 
 
-PURGE_EVIDENCE = [c for c in params.UNRECOVERABLE if c in ("corrupt_file", "encoding_corruption", "empty_frame", "no_usable_segment")]
+PURGE_EVIDENCE = [c for c in params.UNRECOVERABLE if c in ("corrupt_file", "encoding_corruption", "empty_frame", "no_usable_segment", "insufficient_resolution")]

@@ -60,9 +60,9 @@ def usable_segments(samples: DataFrame, clip: str = "clip") -> DataFrame:
     order = Window.partitionBy(clip).orderBy("ts")
     joined = F.coalesce(F.col("ts") - F.lag("ts").over(order) <= F.col("_step") * 1.6, F.lit(False))
     runs = good.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    each = runs.groupBy(clip, "_run").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.avg("quality").alias("q"), F.first("_step").alias("s"), F.first("duration").alias("d"))
+    each = runs.groupBy(clip, "_run").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.avg(F.col("quality").cast("decimal(18,4)")).alias("q"), F.first("_step").alias("s"), F.first("duration").alias("d"))
     start, end = F.greatest(F.lit(0.0), F.col("a") - F.col("s") / 2 + HANDLE), F.least(F.col("d"), F.col("b") + F.col("s") / 2 - HANDLE)
-    return each.where(end - start >= LEAST_SEGMENT).select(clip, F.bround(start, 3).alias("start"), F.bround(end, 3).alias("end"), F.bround("q", 2).alias("mean_quality"))
+    return each.where(end - start >= LEAST_SEGMENT).select(clip, F.bround(start, 3).alias("start"), F.bround(end, 3).alias("end"), F.bround("q", 2).cast("double").alias("mean_quality"))
 
 
 def exposure_stability(samples: DataFrame, clip: str = "clip") -> DataFrame:

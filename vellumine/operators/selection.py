@@ -56,7 +56,7 @@ def select_diverse(df: DataFrame, limit: int, lambda_: float = 0.65, most_per_ge
             worst = np.maximum(worst, np.round(np.minimum(1, near_), 4))
         return pd.DataFrame(out, columns=["key", "pick", "score", "redundancy"])
 
-    return near.groupBy(F.lit(1)).applyInPandas(lambda pdf: pick(pdf[["key", "relevance", "genre", "vector"]]), schema)
+    return near.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(pick, schema)
 
 
 def skyline(df: DataFrame, group: str, key: str, larger_is_better: list[str], tolerance: float = 1e-9) -> DataFrame:
