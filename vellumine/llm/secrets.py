@@ -128,7 +128,7 @@ def examine(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with `_base` and `_tested`: spans of the fixed formats, and tested tokens that overlap none of them."""
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     for i, (name, pattern, group, least) in enumerate(KINDS):
-        df = df.withColumn(f"_{name}", F.filter(_found("_t", pattern, group, i), lambda x, n=least: F.length(x["g"]) >= n))
+        df = df.withColumn(f"_{name}", _found("_t", pattern, group, i)).withColumn(f"_{name}", F.expr(f"filter(_{name}, x -> length(x.g) >= {least})"))
     df = df.withColumn("_base", F.concat(*(f"_{name}" for name, *_ in KINDS))).withColumn("_candidates", _found("_t", CANDIDATE, 0, len(KINDS)))
     df = df.withColumn("_candidates", F.expr("filter(_candidates, c -> NOT exists(_base, b -> b.s < c.e AND c.s < b.e))"))
     df = df.withColumn("_tested", _tested("_candidates"))
@@ -180,7 +180,7 @@ def _joined(spans: str) -> Column:
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each row."""
     found = scan(docs.select(key, F.col(text).alias("text")).select(key, "text"), "text")
-    counts = [F.size(F.filter("base_spans", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{name}") for i, name in enumerate(_NAMES[:-1])]
+    counts = [F.expr(f"size(filter(base_spans, x -> x.k = {i}))").cast("long").alias(f"n_{name}") for i, name in enumerate(_NAMES[:-1])]
     return found.select(key, *counts, F.sha2(_joined("base_spans").cast("binary"), 256).alias("base_sha256"), _joined("all_spans").alias("spans"), (F.size("all_spans") - F.size("base_spans")).cast("long").alias("n_random"))
 
 
