@@ -124,6 +124,8 @@ class Model:
     pair_discounts: tuple[float, float, float]
     token_discounts: tuple[float, float, float]
     classes: tuple[int, int, int]  # tokens that follow 1, 2, or more contexts
+    pair_parts: np.ndarray  # parts that hold pairs; only these have files
+    token_parts: np.ndarray
     maps: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -199,7 +201,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             spread = np.isin(own, heavy)
             put_bytes(f"{folder}/context-{part:05d}", [own[~spread]])
             put_bytes(f"{folder}/context_n-{part:05d}", [np.ascontiguousarray(np.stack([t[~spread] for t in totals], axis=1))])
-            facts = np.concatenate([[len(n)], *((n == k).sum(keepdims=True) for k in (1, 2, 3, 4))]).astype(np.int64)
+            facts = np.concatenate([[part, len(n)], *((n == k).sum(keepdims=True) for k in (1, 2, 3, 4))]).astype(np.int64)
             (word,), (raw_n, contexts) = merged((token,), (n, np.ones(len(n), dtype=np.int64)))
             out = _packed(part_of(word, parts), parts, [word, raw_n, contexts])
             notes = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (facts.view(U64), own[spread], np.stack([t[spread] for t in totals], axis=1).astype(U64)))], out.schema.names)
@@ -212,9 +214,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     met = f"{folder}/met"
     _deal(first, 3).mapInArrow(merge_pairs, schema).write.mode("overwrite").parquet(met)
     met = docs.sparkSession.read.schema(schema).parquet(met)
-    facts, totals = np.zeros(5, dtype=np.int64), np.zeros((len(heavy), 4), dtype=np.int64)
+    facts, totals, pair_parts = np.zeros(5, dtype=np.int64), np.zeros((len(heavy), 4), dtype=np.int64), []
     for row in met.where("part < 0").toLocalIterator():  # a row of a few numbers for each part
-        facts += np.frombuffer(row[1], np.int64)
+        own_facts = np.frombuffer(row[1], np.int64)
+        pair_parts.append(own_facts[0])
+        facts += own_facts[1:]
         own = np.frombuffer(row[2], U64)
         totals[np.searchsorted(heavy, own)] += np.frombuffer(row[3], np.int64).reshape(-1, 4)
 
@@ -227,8 +231,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in numbers)], ["part", *(f"x{i}" for i in range(8))])
 
     sums = _deal(met.where("part >= 0"), 3).mapInArrow(merge_tokens, "part int, " + ", ".join(f"x{i} long" for i in range(8)))
-    x = [int(v or 0) for v in sums.agg(*(F.sum(f"x{i}") for i in range(8))).first()]
-    return Model(folder, parts, heavy, totals, x[1], x[0], x[2], discounts(*facts[1:].tolist()), discounts(*x[3:7]), (x[3], x[4], x[7]))
+    rows = np.array([tuple(r) for r in sums.collect()], dtype=np.int64).reshape(-1, 9)  # a row of numbers for each part
+    x = rows[:, 1:].sum(axis=0).tolist()
+    return Model(folder, parts, heavy, totals, x[1], x[0], x[2], discounts(*facts[1:].tolist()), discounts(*x[3:7]), (x[3], x[4], x[7]), np.array(pair_parts, dtype=np.int64), rows[:, 0])
 
 
 def _look_up(model: Model, name: str, dtype, width: int, key: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -236,7 +241,8 @@ def _look_up(model: Model, name: str, dtype, width: int, key: np.ndarray, part:
     out = np.zeros((len(key), width), dtype=np.int64)
     order = np.lexsort((key, part))
     cuts = np.searchsorted(part[order], np.arange(model.parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)):
+    has = model.token_parts if name == "token" else model.pair_parts
+    for p in np.intersect1d(np.flatnonzero(np.diff(cuts)), has):
         rows = order[cuts[p] : cuts[p + 1]]
         stored = model.array(name, p, U64)
         if len(stored):
