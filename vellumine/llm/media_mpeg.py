@@ -154,8 +154,8 @@ def vbr_table(frame: bytes, side: int, protected: bool) -> dict | None:
 def parse(blob: bytes) -> dict:
     """All that is known of a stream. Empty or foreign bytes give no frames, a duration of 0 and all bytes skipped.
 
-    A frame counts where its header is valid and another header of the same version, layer and
-    sampling rate follows it, or the stream ends there; after damage the search goes on byte by byte.
+    The first frame, and the first after damage, counts where another header of the same version, layer and
+    sampling rate follows it, or the stream ends there; from then on a valid header is enough.
     """
     start, tags = 0, {}
     while size := id3v2(blob, start)[0]:
@@ -170,7 +170,7 @@ def parse(blob: bytes) -> dict:
         h = header(blob[pos : pos + 4])
         if h and (same is None or (h[0], h[1], h[4]) == same) and pos + h[5] <= end:
             nxt = header(blob[pos + h[5] : pos + h[5] + 4]) if pos + h[5] + 4 <= end else None
-            if pos + h[5] == end or (nxt and (nxt[0], nxt[1], nxt[4]) == (h[0], h[1], h[4])) or (not lost and same and pos + h[5] + 4 > end):
+            if (same and not lost) or pos + h[5] == end or (nxt and (nxt[0], nxt[1], nxt[4]) == (h[0], h[1], h[4])):
                 if not offsets and vbr is None and h[1] == 3 and (vbr := vbr_table(blob[pos : pos + h[5]], h[7], h[2])):
                     vbr["at"] = pos
                 else:
