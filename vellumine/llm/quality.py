@@ -189,7 +189,7 @@ def fit(sample: DataFrame, penalty: float = 1e-6, rounds: int = 60) -> Model | N
 
     def flat(which):
         own = [rows[i] for i in np.flatnonzero(which)]
-        return np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]).astype(np.float64), np.repeat(np.arange(len(own)), [len(r[1]) for r in own])
+        return np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]), np.repeat(np.arange(len(own), dtype=np.int32), [len(r[1]) for r in own])
 
     w, b = _descend(*flat(~held), y[~held], penalty, rounds)
     slope, shift = 1.0, 0.0
