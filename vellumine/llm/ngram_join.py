@@ -1,20 +1,23 @@
 """Exact Jaccard self-join of word-shingle sets with adaptive multi-match prefixes, and its components.
 
-Sets are ordered alike everywhere: frequent shingles last. A document that chooses level l shows the
-first n - ceil(t n) + l shingles of its set of n. Two sets of similarity t share at least l of what both show
-at the lesser of their levels, so a pair is verified only if it does. Each document picks the level for
-which the estimated cost is least: the postings it will meet, plus the pairs that reach l matches (by
-Markov's inequality no more than the matches divided by l) times what a verification costs.
+All sets are ordered alike, frequent shingles last and else by hash, and a set's prefix is what lies below one of five lines, its level. Of
+two sets both show all that lies below the lower of their lines, so the shingles that they share there are
+counted exactly, and each may leave out no more of its own than it can lack altogether: of sets of n and m
+shingles, similar ones share o = t (n + m) / (1 + t), so a set that shows s of its n must find s - n + o of them in the other.
+Longer prefixes thus ask for more matches. Each document picks the level for which the estimated cost is least: the
+postings it will meet, plus the pairs that reach so many matches (by Markov's inequality no more than the
+matches divided by those needed) times what a verification costs. A document of whose shingles too few are
+in any other document's prefix can't be similar to any and takes no further part.
 
 Groups of any size, without listing all pairs of a group:
-- Equal sets are one class, by hash, and take part once.
+- Equal sets are one class, by hash, and take part once for each task that reads them.
 - Lists of up to SHORT classes give their pairs, which are counted. In longer ones every class is tied to the
   list's least class alone. The components of these ties hold every pair that may be similar.
 - Each component's sets are cut into blocks of bounded size; a tile of two blocks verifies all its
   pairs by one matrix product over their shared shingles and returns one row for each set, not for each pair.
 - Components of the verified ties are the result.
 
-The frequency table only sets the order, so that it may hold the most frequent shingles alone; it changes no result.
+The table of frequent shingles only serves estimates, and ties without a shuffle, so that it may hold the most frequent alone; it changes no result.
 Words are lower-cased in A-Z only. Texts with fewer words than a shingle have one shingle, the whole; null and
 blank texts have none and are linked with nothing. Repeated rows are members of one class. Ids are integers or null.
 """
@@ -28,19 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpoint_dir, checkpointed, mix64, text_slices, written
+from .common import U64, Words, checkpoint_dir, checkpointed, mix64, row_sums, text_slices, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
-MOST_LEVEL = 4
+#: The lines of the levels: shares of the hashes of shingles that aren't known to be frequent, and of those that are.
+LINES = [(1 / 3, 0.0), (2 / 3, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 1.0)]
+#: Estimated classes from which on a shingle counts as frequent.
+FREQUENT = 8
 #: Lists up to this long give pairs.
-SHORT = 32
+SHORT = 64
 #: Frequent shingles in the broadcast table, and bits of the broadcast id filter (16 MB), at most.
-MOST_FREQUENT, MOST_BITS = 1 << 16, 1 << 27
+MOST_FREQUENT, MOST_BITS = 1 << 17, 1 << 27
 #: A verification costs about this many postings.
 VERIFY_COST = 4.0
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 _COUNT_CHUNK = 1 << 21
+#: Postings of one shingle that are looked at together.
+RUN = 100_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,96 +121,132 @@ def estimate(h: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(tokens[at] == h, n[at], 0)
 
 
-def prefixes(h: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each set its level; for each shingle shown its set, its place's level, and its estimated frequency."""
+def allowed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many of its shingles a set may lack in any similar one."""
+    return n - (percent * n + 99) // 100
+
+
+def _below(h: np.ndarray, often: np.ndarray, line: int) -> np.ndarray:
+    rare_share, often_share = LINES[line]
+    bound = lambda share: U64(min((1 << 64) - 1, int(share * (1 << 64))))
+    return np.where(often, (h <= bound(often_share)) & (often_share > 0), h <= bound(rare_share))
+
+
+def prefixes(h: np.ndarray, cuts: np.ndarray, table: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each set its level (from 1) and how many shingles lie below each line; for each shingle whether it is shown, and whether it is frequent."""
     n = np.diff(cuts)
     row = np.repeat(np.arange(len(n)), n)
     df = estimate(h, table)
-    order = np.lexsort((h, df, row))
-    h, df = h[order], df[order]
-    need = (percent * n + 99) // 100
-    free = n - need
-    place = np.arange(len(h)) - cuts[:-1][row]
-    level = np.maximum(1, place + 1 - free[row])
-    total = np.concatenate([[0], np.cumsum(df)])
-    best, least = np.ones(len(n), dtype=np.int64), np.full(len(n), np.inf)
-    for at in range(1, MOST_LEVEL + 1):
-        shown = np.minimum(n, free + at)
-        met = (total[cuts[:-1] + shown] - total[cuts[:-1]]).astype(float)
-        cost = np.where(at <= np.maximum(need, 1), met + VERIFY_COST * met / at, np.inf)
+    often = df >= FREQUENT
+    shows = [_below(h, often, i) for i in range(len(LINES))]
+    below = np.stack([row_sums(x, cuts) for x in shows], axis=1)
+    level, least = np.full(len(n), len(LINES)), np.full(len(n), np.inf)
+    for i, x in enumerate(shows):
+        met = row_sums(np.where(x, df, 0), cuts).astype(float)
+        need = below[:, i] - allowed(n, percent)
+        cost = np.where(need > 0, below[:, i] + met + VERIFY_COST * met / np.maximum(need, 1), np.inf)
         better = cost < least
-        best[better], least[better] = at, cost[better]
-    show = level <= best[row]
-    return best, h[show], row[show], level[show], df[show]
+        level[better], least[better] = i + 1, cost[better]
+    return level, below, np.choose(level[row] - 1, shows) if len(h) else often, often
+
 
+def matches_needed(n: np.ndarray, below: np.ndarray, other_n: np.ndarray, other_below: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many shingles below a line two similar sets share, given what each has below it."""
+    overlap = -(-percent * (n + other_n) // (100 + percent))
+    return np.maximum(1, np.maximum(below - n, other_below - other_n) + overlap)
 
-def _pairs(token: np.ndarray, cls: np.ndarray, meta: np.ndarray) -> tuple[list, list]:
-    """Pairs of short lists, and ties of long ones, from whole lists sorted by token and class."""
+
+def _lists(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings sorted by token and class: which to keep (each class once a list), and of these each list's start and size."""
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, meta = token[new], cls[new], meta[new]
+    token = token[new]
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(token)))
-    size_of = np.repeat(sizes, sizes)
-    start_of = np.repeat(starts, sizes)
+    return new, np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def _pairs(token: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray, *below: np.ndarray) -> list[tuple]:
+    """(a, b, need, n) for the pairs of short lists, and for ties of long ones with need 0."""
+    new, start_of, size_of = _lists(token, cls)
+    cls, n, level = cls[new], n[new], level[new]
+    below = np.stack([b[new] for b in below], axis=1)
     long_ = size_of > SHORT
-    tie = long_ & (np.arange(len(token)) > start_of)
-    ties = [(cls[tie], cls[start_of[tie]], np.zeros(tie.sum(), np.int64), np.zeros(tie.sum(), np.int64))]
-    n, level, best = meta >> 8, meta >> 4 & 15, meta & 15
-    found = []
+    tie = long_ & (np.arange(len(cls)) > start_of)
+    found = [(cls[tie], cls[start_of[tie]], np.zeros(tie.sum(), np.int64), np.zeros(tie.sum(), np.int64))]
     for step in range(1, SHORT):
-        i = np.flatnonzero((size_of[: max(0, len(token) - step)] > step) & ~long_[: max(0, len(token) - step)])
+        i = np.flatnonzero((size_of > step) & ~long_)
         i = i[i + step < start_of[i] + size_of[i]]
         j = i + step
-        both = np.minimum(best[i], best[j])
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (np.maximum(level[i], level[j]) <= both) & (100 * small >= PERCENT * large)
+        ok = 100 * small >= PERCENT * large
         if ok.any():
-            found.append((cls[i[ok]], cls[j[ok]], both[ok], np.ones(ok.sum(), np.int64)))
-    return found, ties
+            i, j = i[ok], j[ok]
+            line = np.minimum(level[i], level[j]) - 1
+            found.append((cls[i], cls[j], matches_needed(n[i], below[i, line], n[j], below[j, line]), np.ones(len(i), np.int64)))
+    return found
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Batches sorted by their first column, cut so that its runs stay whole. A run of more than RUN rows comes in pieces, each after the first
+    opened again by the run's first row; the flag tells so."""
+    rest: list[np.ndarray] | None = None
+    cut_run = False
+    for batch in batches:
+        now = [c.to_numpy() for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest is not None else now
+        if not len(now[0]):
+            rest = now
+            continue
+        first_of_last = int(np.searchsorted(now[0], now[0][-1]))
+        if first_of_last > 0:
+            yield [x[:first_of_last] for x in now], cut_run
+            cut_run = False
+        rest = [x[first_of_last:] for x in now]
+        if len(rest[0]) > RUN:
+            yield rest, cut_run
+            rest, cut_run = [x[:1] for x in rest], True
+    if rest is not None and len(rest[0]):
+        yield rest, cut_run
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """(a, b): pairs of classes with enough matches, and ties along long lists."""
-    shown = sets.select("cls", "best", "n", F.explode("shown").alias("p")).select(F.col("p.token").alias("token"), "cls", F.col("p.df").alias("df"), (F.col("n") * 256 + F.col("p.level") * 16 + F.col("best")).alias("meta"))
+    shown = sets.where("shown IS NOT NULL")
+    postings = shown.select("cls", F.explode("shown").alias("token"))
+
+    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, cls), _ in _whole_lists(batches):
+            new, _, size_of = _lists(token, cls)
+            name, n = np.unique(cls[new][size_of > 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], ["cls", "live"])
+
+    # A long run's pieces name its first class once more; counts may be too high by that, never too low.
+    sorted_ = postings.select("token", "cls").repartition("token").sortWithinPartitions("token", "cls")
+    counted = sorted_.mapInArrow(live, "cls long, live long").groupBy("cls").agg(F.sum("live").alias("live"))
+    facts = shown.groupBy("cls").agg(F.max("known").alias("known"), F.max("n").alias("n"), F.max(F.col("below")[0]).alias("s"))
+    # A partner may show less than the set itself: what must be found is bounded by the lowest line.
+    fit = facts.join(counted, "cls", "left").where(F.coalesce("live", F.lit(0)) + F.col("known") >= F.greatest(F.lit(1), F.col("s") - (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100))))
+    alive = checkpointed(shown.join(fit.select("cls"), "cls", "left_semi"))
     # Tokens known to be frequent: the least class of each, at most MOST_FREQUENT rows, meets the postings without a shuffle of them.
-    common = shown.where(F.col("df") > SHORT).select("token", "cls")
+    common = alive.select("cls", F.explode("frequent").alias("token"))
     heads = F.broadcast(common.groupBy("token").agg(F.min("cls").alias("head")))
     ties = common.join(heads, "token").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-        head: tuple[int, int] | None = None
+        for columns, again in _whole_lists(batches):
+            found = _pairs(*columns)
+            if again:  # the rest of a cut run: all of it is tied, however short
+                own = columns[0] == columns[0][0]
+                tied = columns[1][own]
+                found = _pairs(*(x[~own] for x in columns)) + [(tied, np.full(len(tied), tied[0]), np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64))]
+            a, b, need, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need), pa.array(n)], ["a", "b", "need", "n"])
 
-        def out(parts):
-            if parts:
-                a, b, need, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need), pa.array(n)], ["a", "b", "need", "n"])
-
-        for batch in batches:
-            token, cls, meta = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True))
-            if head and len(token):  # a list longer than any that is kept whole: its rest is tied to its head
-                own = token == head[0]
-                if own.any():
-                    tied = cls[own][cls[own] != head[1]]
-                    yield from out([(tied, np.full(len(tied), head[1]), np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64))])
-                    token, cls, meta = token[~own], cls[~own], meta[~own]
-                if len(token):
-                    head = None
-            cut = int(np.flatnonzero(token != token[-1])[-1]) + 1 if len(token) and token[0] != token[-1] else 0
-            found, ties_ = _pairs(token[:cut], cls[:cut], meta[:cut])
-            yield from out(found + ties_)
-            rest = [x[cut:] for x in (token, cls, meta)]
-            if len(rest[0]) > 100_000:
-                head = (int(rest[0][0]), int(rest[1][0]))
-                yield from out([(rest[1][1:], np.full(len(rest[1]) - 1, head[1]), np.zeros(len(rest[1]) - 1, np.int64), np.zeros(len(rest[1]) - 1, np.int64))])
-                rest = [np.zeros(0, np.int64)] * 3
-        found, ties_ = _pairs(*rest)
-        yield from out(found + ties_)
-
-    rare = shown.where(F.col("df") <= SHORT).select("token", "cls", "meta").repartition("token").sortWithinPartitions("token", "cls")
-    counted = rare.mapInArrow(run, "a long, b long, need long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("need").alias("tie"))
-    return counted.where("a <> b AND (tie = 0 OR n >= need)").select("a", "b").union(ties).distinct()
+    rare = alive.select(F.explode("shown").alias("token"), "cls", "n", "level", *(F.col("below")[i].alias(f"b{i}") for i in range(len(LINES)))).repartition("token").sortWithinPartitions("token", "cls")
+    met = rare.mapInArrow(run, "a long, b long, need long, n long").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("need").alias("tie"))
+    # Matches in lists of frequent tokens aren't counted here, but their classes are tied anyway.
+    return met.where("tie = 0 OR n >= need").select("a", "b").union(ties).distinct()
 
 
 def _bits_of(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -271,18 +315,22 @@ def links(rows: list[tuple[int, int, int, np.ndarray]], left: int, percent: int
     return names[root], degree
 
 
-def verify(members: DataFrame) -> DataFrame:
-    """(v, root, n_links): for (cluster, cls, copies, n, set binary), each class's root within its tiles and its linked documents.
-
-    A class has a row for each tile in which it is linked.
-    """
+def tiles(members: DataFrame) -> DataFrame:
+    """(cluster, i, j, right, cls, copies): the tiles in which each class of (cluster, cls, copies, n) is compared, and on which side."""
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = placed.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "cls", "copies", "set")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "cls", "copies")
+
+
+def verify(dealt: DataFrame) -> DataFrame:
+    """(v, root, n_links): for (cluster, i, j, right, cls, copies, set binary), each class's root within its tile and its linked documents.
+
+    A class has a row for each tile in which it is linked. A set that comes twice counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
+        tile, rows, met = None, [], set()
 
         def done():
             if len(rows) < 2:
@@ -300,12 +348,14 @@ def verify(members: DataFrame) -> DataFrame:
             for (cluster, i, j, right, cls, copies), value in zip(keys, batch.column(6), strict=True):
                 if tile != (cluster, i, j):
                     yield from done()
-                    tile, rows = (cluster, i, j), []
-                rows.append((cls, copies, right, np.frombuffer(value.as_buffer(), dtype=U64)))
+                    tile, rows, met = (cluster, i, j), [], set()
+                if cls not in met:
+                    met.add(cls)
+                    rows.append((cls, copies, right, np.frombuffer(value.as_buffer(), dtype=U64)))
         yield from done()
 
-    dealt = tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return dealt.mapInArrow(run, "v long, root long, n_links long")
+    ordered = dealt.select("cluster", "i", "j", "right", "cls", "copies", "set").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return ordered.mapInArrow(run, "v long, root long, n_links long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -316,16 +366,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("t"))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for part, raw, offsets in text_slices(batches, "t"):
             h, cuts = shingle_sets(raw, offsets, k)
-            best, token, row, level, df = prefixes(h, cuts, table.value, percent)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(cuts))), pa.int32()), pa.StructArray.from_arrays([pa.array(token.view(np.int64)), pa.array(level.astype(np.int32)), pa.array(df)], ["token", "level", "df"]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts)), pa.array(classes(h, cuts)), pa.array(best), lists], ["key", "n", "cls", "best", "shown"])
+            names = classes(h, cuts)
+            level, below, shown, often = prefixes(h, cuts, table.value, percent)
+            fresh = np.zeros(len(names), dtype=bool)
+            for i, name in enumerate(names.tolist()):
+                if name not in met and cuts[i + 1] > cuts[i]:
+                    met.add(name)
+                    fresh[i] = True
+            row = np.repeat(np.arange(len(names)), np.diff(cuts))
+            shown &= fresh[row]
+            known = row_sums(shown & often, cuts)
+
+            def lists(which: np.ndarray, row=row, h=h, fresh=fresh) -> pa.Array:
+                at = np.searchsorted(row[which], np.arange(len(fresh) + 1)).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(at), pa.array(h[which].view(np.int64)), mask=pa.array(~fresh))
+
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.diff(cuts)), pa.array(names), pa.array(level.astype(np.int64)), pa.array(known), pa.array(below.tolist(), pa.list_(pa.int64())), lists(shown & ~often), lists(shown & often)],
+                ["key", "n", "cls", "level", "known", "below", "shown", "frequent"],
+            )
 
-    sets = written(source.mapInArrow(show, "key long, n long, cls long, best long, shown array<struct<token:bigint,level:int,df:bigint>>"), f"{folder}/sets")
+    sets = written(source.mapInArrow(show, "key long, n long, cls long, level long, known long, below array<long>, shown array<long>, frequent array<long>"), f"{folder}/sets")
     full = sets.where("n > 0")
     near = components(candidates(full))
-    by_class = full.groupBy("cls").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    by_class = full.groupBy("cls").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     involved = checkpointed(near.select(F.col("v").alias("cls"), F.col("root").alias("cluster")).join(by_class, "cls"))
     bits = sc.broadcast(id_filter(involved.select("least"), "least"))
 
@@ -338,10 +405,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
                 packed = pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(classes(h, cuts)), packed], ["cls", "set"])
 
-    # The ids' filter passes one row of each class, at times more: the copies of a class are verified as one.
-    found = source.mapInArrow(again, "cls long, set binary").join(involved.select("cls", "cluster", "copies"), "cls")
-    members = found.groupBy("cls").agg(F.first("cluster").alias("cluster"), F.first("copies").alias("copies"), F.first("set").alias("set")).withColumn("n", F.octet_length("set") / 8)
-    linked = checkpointed(verify(members))
+    # The ids' filter passes one row of each class, at times more. Only sets of involved classes are shuffled: to their class, then to its tiles.
+    dealt = tiles(involved).join(source.mapInArrow(again, "cls long, set binary"), "cls")
+    linked = checkpointed(verify(dealt))
     root = components(linked, "v", "root").withColumnRenamed("v", "cls")
     known = by_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
