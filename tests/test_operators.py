@@ -152,3 +152,38 @@ def test_override_stream_keeps_the_last(spark, tmp_path):
 def test_profiles():
     assert abs(sum(params.PROFILES["stock-first"].shares().values()) - 1) < 1e-12
     assert params.PROFILES["default-video"].threshold("stock_strong") == 64.0 and params.PROFILES["default-video"].threshold("nothing") == 0.0
+
+
+def test_render_curves():
+    x = np.linspace(0, 1, 101)
+    for curve in (kernels.highlights, kernels.shadows, kernels.contrast):
+        assert np.allclose(curve(x, 0), x) and (np.diff(curve(x, 40)) >= -1e-9).all() and curve(x, -60).min() >= 0 and curve(x, 60).max() <= 1
+    assert kernels.shadows(x, 50)[10] > x[10] and kernels.shadows(x, 50)[60] == x[60] and kernels.highlights(x, -50)[90] < x[90]
+    rgb = np.full((4, 4, 3), 100.0)
+    assert np.allclose(kernels.exposure(rgb, 0), rgb) and (kernels.exposure(rgb, 1) > rgb).all()
+    assert np.allclose(kernels.normalised(np.array([[3.0, 4.0], [0.0, 0.0]])), [[0.6, 0.8], [0.0, 0.0]])
+    assert kernels.channel_percentiles(np.full((8, 8), 50.0), 100.0)["headroom"] == 1.0
+
+
+def test_file_operations(spark):
+    from vellumine.operators import quarantine
+
+    files = spark.createDataFrame([("g", "", "/in/a/x.jpg"), ("", "k", "/in/../etc/y"), ("", "", "/out/z")], "group_id string, asset_id string, source string")
+    got = {r.source: (r.group_id, r.destination, r.refused) for r in quarantine.plan(files, "/in/", "/q").collect()}
+    assert got == {"/in/a/x.jpg": ("g", "/q/a/x.jpg", False), "/in/../etc/y": ("k", None, True), "/out/z": ("/out/z", None, True)}
+    ops = spark.createDataFrame([("g", "a", 1, "c"), ("g", "b", 1, "c"), ("h", "a", 1, "c")], "group_id string, source string, size long, checksum string")
+    states = spark.createDataFrame([("a", 1, "c"), ("b", 2, "c")], "path string, size long, checksum string")
+    assert {(r.group_id, r.source, r.ok) for r in quarantine.verified_groups(ops, states).collect()} == {("g", "a", False), ("g", "b", False), ("h", "a", True)}
+    names = spark.createDataFrame([("/q/a.jpg", "1"), ("/q/a.jpg", "2"), ("/q/b", "3"), ("/q/b", "4")], "destination string, source string")
+    assert [r.destination for r in quarantine.free_names(names).orderBy("source").collect()] == ["/q/a.jpg", "/q/a_1.jpg", "/q/b", "/q/b_1"]
+    seen = spark.createDataFrame([("a", ""), ("b", "keep")], "asset_id string, actual string")
+    assert {tuple(r) for r in quarantine.resolved(seen, spark.createDataFrame([("a", "trash"), ("b", "trash")], "asset_id string, actual string")).collect()} == {("a", "trash"), ("b", "keep")}
+
+
+def test_probe_facts(spark):
+    from vellumine.operators import media
+
+    good = '{"format": {"duration": "12.5"}, "streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 1080, "height": 1920, "r_frame_rate": "30000/1001"}]}'
+    got = media.parse_probe(spark.createDataFrame([(1, good), (2, "{}"), (3, None), (4, "junk")], "k long, t string"), "t").orderBy("k").collect()
+    assert (got[0].width, got[0].duration, got[0].frame_rate, got[0].orientation, got[0].corrupt) == (1080, 12.5, 29.97, "vertical", False)
+    assert all(r.corrupt for r in got[1:])

@@ -94,3 +94,48 @@ def measure(df: DataFrame, key: str = "key") -> DataFrame:
 
     schema = f"{key} {kind}, " + ", ".join(f"{n} double" for n in names)
     return df.select(key, "height", "width", "pixels").mapInPandas(run, schema)
+
+
+# Render curves over display values from 0 to 1; amounts from -100 to 100.
+HIGHLIGHT_PIVOT, SHADOW_PIVOT = 0.72, 0.28
+
+
+def highlights(display: np.ndarray, amount: float) -> np.ndarray:
+    """Values above the pivot drawn towards it (negative) or away, more the further above they are."""
+    mask = np.clip((display - HIGHLIGHT_PIVOT) / (1 - HIGHLIGHT_PIVOT), 0, 1)
+    return np.clip(display + mask * amount / 100 * (display - HIGHLIGHT_PIVOT), 0, 1)
+
+
+def shadows(display: np.ndarray, amount: float) -> np.ndarray:
+    """Values below the pivot lifted (positive) or lowered, more the further below they are."""
+    mask = np.clip((SHADOW_PIVOT - display) / SHADOW_PIVOT, 0, 1)
+    return np.clip(display + mask * amount / 100 * (SHADOW_PIVOT - display), 0, 1)
+
+
+def contrast(display: np.ndarray, amount: float) -> np.ndarray:
+    """An S-curve through the middle that leaves both ends in place."""
+    return np.clip(display + amount / 100 * 0.5 * np.sin(2 * np.pi * (display - 0.5)) / (2 * np.pi) * 2, 0, 1)
+
+
+def exposure(rgb: np.ndarray, ev: float, gamma: float = 2.2) -> np.ndarray:
+    """8-bit values brightened by stops in linear light."""
+    return np.clip(255 * np.clip((rgb / 255) ** gamma * 2.0**ev, 0, 1) ** (1 / gamma), 0, 255)
+
+
+def grey_world(rgb: np.ndarray, damping: float = 0.5) -> np.ndarray:
+    """Channel means drawn towards their mean, by half."""
+    mean = rgb.reshape(-1, 3).mean(axis=0)
+    gain = 1 + damping * (mean.mean() / np.maximum(mean, 1e-6) - 1)
+    return np.clip(rgb * gain, 0, 255)
+
+
+def normalised(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors, dtype=float), where=norm > 0)
+
+
+def channel_percentiles(plane: np.ndarray, white: float, margin: float = 0.995) -> dict[str, float]:
+    """A sensor channel's p01, p50, p99, p99.9, largest value and clipped share, and the headroom over p99.9 in stops."""
+    p = np.percentile(plane, [1, 50, 99, 99.9])
+    return dict(zip(("p01", "p50", "p99", "p999"), map(float, p), strict=True)) | {"max": float(plane.max()), "clipped": float((plane >= white * margin).mean()), "headroom": float(np.log2(white / max(p[3], 1e-6)))}

@@ -85,3 +85,24 @@ def parse_probe(df: DataFrame, text: str) -> DataFrame:
     ratio = F.try_divide(F.col("width"), F.col("height"))
     orient = F.when(F.abs(ratio - 1) <= 0.05, "square").when(ratio > 1, "horizontal").otherwise("vertical")
     return p.withColumns({"orientation": orient, "corrupt": ~F.col("has_video") | (F.col("width") == 0) | (F.col("height") == 0) | (F.col("duration") <= 0)}).drop("_p", "_v")
+
+
+def video_issues(df: DataFrame) -> DataFrame:
+    """The rows with `issues`, codes joined by commas. Reads corrupt, duration, width, height, samples, segments, first_start, jitter, shear, focus_consistency, exposure_range, flicker, black, audio, channels."""
+    c = F.col
+    no_samples = c("samples") == 0
+    rest = [
+        F.when(c("duration") < 0.4, "unusable_duration").when(c("duration") < 3, "short_clip"), F.when(c("width") * c("height") / 1e6 < 1.9, "insufficient_resolution"), F.when(no_samples, "encoding_corruption"),
+        F.when(~no_samples & (c("segments") == 0), "no_usable_segment").when(~no_samples & ((c("duration") > 60) | (c("first_start") > HANDLE)), "needs_trim"),
+        F.when(~no_samples & (c("jitter") >= 4.5), "unusable_shake").when(~no_samples & (c("jitter") >= 1.6), "moderate_shake"), F.when(~no_samples & (c("shear") >= 2.5), "rolling_shutter"), F.when(~no_samples & (c("focus_consistency") < 0.45), "broken_focus_pull"),
+        F.when(~no_samples & (c("exposure_range") > 42), "exposure_drift"), F.when(~no_samples & (c("flicker") > 9), "exposure_drift"), F.when(~no_samples & (c("black") == c("samples")), "empty_frame").when(~no_samples & (c("black") > 0), "needs_trim"),
+        F.when(~no_samples & c("audio") & (c("channels") == 0), "unusable_audio"),
+    ]
+    return df.withColumn("issues", F.when(c("corrupt"), "encoding_corruption").otherwise(F.concat_ws(",", *rest)))
+
+
+def sample_times(duration, count: int = 9):
+    """Evenly spaced times with an inset at both ends; the middle alone for clips of up to two seconds."""
+    inset = F.least(F.lit(0.5), duration * 0.05)
+    many = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(inset + (duration - 2 * inset) * i / (count - 1), 3))
+    return F.when(duration <= 0, F.array().cast("array<double>")).when(duration <= 2, F.array(F.bround(duration / 2, 3))).otherwise(many)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import numbers, text, vectors
-from vellumine.operators import agreement, curation, graph, history, kernels, media, platforms, ranking, reporting, scoring, selection
+from vellumine.operators import agreement, curation, graph, history, intent, kernels, media, platforms, provider, quarantine, ranking, reporting, scoring, selection
 from vellumine.params import CATEGORIES
 from vellumine.plans.bindings import ASSET_SQL, assets, table
 from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, SCORES
@@ -635,3 +635,94 @@ def image_measures(spark: SparkSession, d: str) -> DataFrame:
     """Sharpness, blur and quality of the vectors as 8 x 8 pictures."""
     pixels = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.lit(128.0) + x.cast("double") * 300)))
     return kernels.measure(table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels")))
+
+
+# --- intent, clips, file operations, replies ------------------------------------------------------
+
+_INTENT = "I AS (SELECT p_partkey AS key, p_size / 4.0::DOUBLE AS blur_ratio, CAST(p_partkey % 9 AS DOUBLE) AS sharp_global, CAST(p_partkey * 5 % 31 AS DOUBLE) AS sharp_tile, (p_partkey % 10) / 10.0::DOUBLE AS anisotropy, CAST(p_partkey % 256 AS DOUBLE) AS mean_luma, CAST(p_partkey * 3 % 200 AS DOUBLE) AS brightest, (p_partkey % 9) - 4.25::DOUBLE AS tilt, (p_partkey % 30) / 100.0::DOUBLE AS highlights, p_partkey % 40 * 200 AS iso, p_partkey % 2 = 0 AS present FROM part)"
+
+
+def _intent_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        k.alias("key"), (F.col("p_size") / 4.0).alias("blur_ratio"), (k % 9).cast("double").alias("sharp_global"), (k * 5 % 31).cast("double").alias("sharp_tile"), (k % 10 / 10.0).alias("anisotropy"), (k % 256).cast("double").alias("mean_luma"),
+        (k * 3 % 200).cast("double").alias("brightest"), (k % 9 - 4.25).alias("tilt"), (k % 30 / 100.0).alias("highlights"), (k % 40 * 200).alias("iso"), (k % 2 == 0).alias("present"),
+    )
+
+
+@query(f"""WITH {_INTENT}, V AS (SELECT *, CASE WHEN blur_ratio < 6 AND sharp_tile > sharp_global * 4 THEN 'softness+' WHEN blur_ratio < 6 AND anisotropy >= 0.7 THEN 'motion blur+' WHEN blur_ratio < 6 THEN 'softness?' END AS a, CASE WHEN mean_luma < 70 AND brightest >= 90 THEN 'darkness+' WHEN mean_luma < 70 THEN 'darkness?' END AS b,
+  CASE WHEN abs(tilt) >= 3 THEN 'tilted horizon+' WHEN abs(tilt) >= 0.5 THEN 'tilted horizon?' END AS c, CASE WHEN highlights > 0.1 AND mean_luma >= 60 THEN 'blown highlights+' END AS e, CASE WHEN iso >= 3200 THEN 'grain+' END AS g FROM I),
+  W AS (SELECT *, CASE a WHEN 'softness+' THEN 0.75::DOUBLE WHEN 'motion blur+' THEN 0.65 WHEN 'softness?' THEN 0.35 ELSE 0 END AS wa, CASE b WHEN 'darkness+' THEN 0.7::DOUBLE WHEN 'darkness?' THEN 0.4 ELSE 0 END AS wb, CASE WHEN c LIKE '%+' THEN 0.6::DOUBLE WHEN c LIKE '%?' THEN 0.3 ELSE 0 END AS wc, CASE WHEN e IS NOT NULL THEN 0.55::DOUBLE ELSE 0 END AS we, CASE WHEN g IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END AS wg FROM V)
+  SELECT key, concat_ws(',', a, b, c, e, g) AS signals, CASE WHEN wa + wb + wc + we + wg > 0 THEN CAST(round_even(100 * ((CASE WHEN a LIKE '%?' THEN 0.55::DOUBLE ELSE 1.0 END) * wa + (CASE WHEN b LIKE '%?' THEN 0.55::DOUBLE ELSE 1.0 END) * wb + (CASE WHEN c LIKE '%?' THEN 0.55::DOUBLE ELSE 1.0 END) * wc + we + wg) / (wa + wb + wc + we + wg), 0) AS BIGINT) ELSE 50 END AS intentionality,
+  CAST(least(100, CASE WHEN present THEN 30 ELSE 70 END + 12 * (CASE WHEN a LIKE '%?' THEN 1 ELSE 0 END + CASE WHEN b LIKE '%?' THEN 1 ELSE 0 END + CASE WHEN c LIKE '%?' THEN 1 ELSE 0 END)) AS BIGINT) AS uncertainty FROM W""")
+def intent_signals(spark: SparkSession, d: str) -> DataFrame:
+    df = intent.signals(_intent_rows(spark, d))
+    said = F.array_join(F.transform("signals", lambda x: F.concat(x["defect"], F.when(x["verdict"] == "cannot_tell", "?").otherwise("+"))), ",")
+    return df.select("key", said.alias("signals"), intent.intentionality(F.col("signals")).alias("intentionality"), intent.uncertainty(F.col("signals"), F.col("present")).alias("uncertainty"))
+
+
+@query("""WITH X AS (SELECT p_partkey AS key, p_partkey % 2 = 0 AS raw, (p_partkey % 9 - 4) * 700 AS delta, p_partkey % 7 - 3 AS tint, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 5200 END AS shot FROM part)
+  SELECT key, CASE WHEN delta = 0 AND tint = 0 THEN NULL WHEN NOT raw THEN nullif(CAST(greatest(-100, least(100, round_even(delta / 1000.0::DOUBLE * 12.0::DOUBLE, 0))) AS BIGINT), 0) WHEN shot IS NOT NULL THEN CAST(greatest(2000, least(50000, shot + delta)) AS BIGINT) END AS temperature,
+  CASE WHEN tint = 0 OR (raw AND shot IS NULL) THEN NULL ELSE CAST(tint AS BIGINT) END AS tint, (delta <> 0 OR tint <> 0) AND raw AND shot IS NULL AS lost FROM X""")
+def white_balance_settings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    x = table(spark, d, "part").select(k.alias("key"), intent.white_balance(k % 2 == 0, (k % 9 - 4) * 700, k % 7 - 3, F.when(k % 3 != 0, 5200)).alias("w"))
+    return x.select("key", "w.temperature", "w.tint", "w.lost")
+
+
+_CLIPS = "VI AS (SELECT p_partkey AS key, p_partkey % 31 = 0 AS corrupt, (p_partkey % 700) / 10.0::DOUBLE AS duration, CASE WHEN p_partkey % 5 = 0 THEN 1280 ELSE 1920 END AS width, 1080 AS height, p_partkey % 10 AS samples, p_partkey % 4 AS segments, (p_partkey % 3) / 2.0::DOUBLE AS first_start, (p_partkey % 60) / 10.0::DOUBLE AS jitter, (p_partkey % 40) / 10.0::DOUBLE AS shear, (p_partkey % 100) / 100.0::DOUBLE AS focus, CAST(p_partkey % 80 AS DOUBLE) AS range, CAST(p_partkey % 13 AS DOUBLE) AS flicker, p_partkey % 7 AS black, p_partkey % 2 AS channels FROM part)"
+
+
+@query(f"""WITH {_CLIPS} SELECT key, CASE WHEN corrupt THEN 'encoding_corruption' ELSE concat_ws(',', CASE WHEN duration < 0.4 THEN 'unusable_duration' WHEN duration < 3 THEN 'short_clip' END, CASE WHEN width * height / 1e6 < 1.9 THEN 'insufficient_resolution' END, CASE WHEN samples = 0 THEN 'encoding_corruption' END,
+  CASE WHEN samples > 0 AND segments = 0 THEN 'no_usable_segment' WHEN samples > 0 AND (duration > 60 OR first_start > 0.5) THEN 'needs_trim' END, CASE WHEN samples > 0 AND jitter >= 4.5 THEN 'unusable_shake' WHEN samples > 0 AND jitter >= 1.6 THEN 'moderate_shake' END, CASE WHEN samples > 0 AND shear >= 2.5 THEN 'rolling_shutter' END, CASE WHEN samples > 0 AND focus < 0.45 THEN 'broken_focus_pull' END,
+  CASE WHEN samples > 0 AND range > 42 THEN 'exposure_drift' END, CASE WHEN samples > 0 AND flicker > 9 THEN 'exposure_drift' END, CASE WHEN samples > 0 AND black = samples THEN 'empty_frame' WHEN samples > 0 AND black > 0 THEN 'needs_trim' END, CASE WHEN samples > 0 AND channels = 0 THEN 'unusable_audio' END) END AS issues FROM VI""")
+def video_issues(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    clips = table(spark, d, "part").select(
+        k.alias("key"), (k % 31 == 0).alias("corrupt"), (k % 700 / 10.0).alias("duration"), F.when(k % 5 == 0, 1280).otherwise(1920).alias("width"), F.lit(1080).alias("height"), (k % 10).alias("samples"), (k % 4).alias("segments"), (k % 3 / 2.0).alias("first_start"), (k % 60 / 10.0).alias("jitter"),
+        (k % 40 / 10.0).alias("shear"), (k % 100 / 100.0).alias("focus_consistency"), (k % 80).cast("double").alias("exposure_range"), (k % 13).cast("double").alias("flicker"), (k % 7).alias("black"), F.lit(True).alias("audio"), (k % 2).alias("channels"),
+    )
+    return media.video_issues(clips).select("key", "issues")
+
+
+@query("""WITH X AS (SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS du FROM part), Y AS (SELECT *, least(0.5::DOUBLE, du * 0.05::DOUBLE) AS inset FROM X)
+  SELECT key, i + 1 AS n, CASE WHEN du <= 2 THEN round_even(du / 2, 3) ELSE round_even(inset + (du - 2 * inset) * i / 8, 3) END AS at FROM Y, unnest(range(0, 9)) AS u(i) WHERE du > 2 OR i = 0""")
+def sample_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.posexplode(media.sample_times(F.col("p_size").cast("double"))).alias("i", "at"))
+    return x.select("key", (F.col("i") + 1).cast("long").alias("n"), "at")
+
+
+@query("""SELECT CASE WHEN doc_id % 4 = 0 THEN source ELSE 'd' || CAST(doc_id AS VARCHAR) END AS group_id, CASE WHEN doc_id % 9 = 0 THEN '/other/' ELSE '/in/' END || source || '/' || CAST(doc_id AS VARCHAR) || '.jpg' AS source, CASE WHEN doc_id % 9 <> 0 THEN '/q/' || source || '/' || CAST(doc_id AS VARCHAR) || '.jpg' END AS destination, doc_id % 9 = 0 AS refused FROM documents""")
+def quarantine_plan(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select(F.when(k % 4 == 0, F.col("source")).otherwise("").alias("group_id"), F.concat(F.lit("d"), k.cast("string")).alias("asset_id"), F.concat(F.when(k % 9 == 0, "/other/").otherwise("/in/"), "source", F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("source"))
+    return quarantine.plan(files, "/in", "/q")
+
+
+@query("WITH N AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC) AS p FROM lineitem) SELECT l_orderkey AS destination, l_linenumber AS line FROM N WHERE p = 1 AND l_returnflag = 'R'")
+def restore_candidates(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("destination"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").alias("seq"), F.when(F.col("l_returnflag") == "R", "moved").otherwise("restored").alias("status"))
+    return quarantine.restorable(log).select("destination", F.col("seq.l_linenumber").alias("line"))
+
+
+@query("""WITH G AS (SELECT event_id // 5 AS group_id, event_id % 5 AS p, event_id AS key FROM events)
+  SELECT group_id, key, CASE WHEN group_id % 3 = 2 OR group_id % 4 = 3 OR p = 4 THEN NULL ELSE 'g' || CAST(p AS VARCHAR) END AS genre, CASE WHEN group_id % 3 = 2 OR group_id % 4 = 3 OR p = 4 THEN NULL ELSE p + 1 END AS axis_a, CASE WHEN group_id % 3 = 2 THEN 'no reply' WHEN group_id % 4 = 3 THEN 'unreadable' WHEN p = 4 THEN 'missing' END AS problem FROM G""")
+def provider_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of five asked for and answered from a table: a third is silent, some replies are unreadable, each misses its last member."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 5).alias("group_id"), (F.col("event_id") % 5).alias("position"), F.col("event_id").alias("key"))
+    asked = provider.requests(e, "m")
+    good = "Here it is: [" + ", ".join(f'{{"n": {i + 1}, "genre": "g{i}", "axis_a": {i + 1}, "axis_b": 1, "axis_c": 1}}' for i in range(4)) + "] done"
+    replay = asked.where("group_id % 3 <> 2").select("group_id", F.when(F.col("group_id") % 4 == 3, "sorry").otherwise(good).alias("text"))
+    return provider.replies(asked, replay).select("group_id", "key", "genre", "axis_a", "problem")
+
+
+@query("SELECT CASE WHEN event_id % 4 = 1 THEN 'a' ELSE 'b' END AS batch, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def seen_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys of ledgers that list them in arrays."""
+    runs = table(spark, d, "events").select(F.when(F.col("event_id") % 4 == 1, "a").otherwise("b").alias("batch"), F.array("user_id").alias("keys"))
+    return runs.select("batch", F.explode("keys").alias("key")).distinct().groupBy("batch").agg(F.count("*").alias("keys"))
+
+
+@query("SELECT conv_id, turn, upper(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1)) || substr(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120), 2) AS title, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ') AS note FROM conversations")
+def title_and_note(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", text.title(F.col("text")).alias("title"), text.first_words(F.col("text")).alias("note"))
