@@ -17,8 +17,7 @@ from vellumine.llm.queries import END_ID, vocabulary
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. The model is fitted on labelled documents of this run's input."""
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.where("kept").select(*docs.columns)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,3 +253,20 @@ def test_pipeline(spark):
     assert ids == want
     packed = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == want
+
+
+def test_stages_with_clashing_columns_nulls_and_no_rows(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(30)
+    for name in ("kept", "n", "cls", "_maybe", "_base", "n_words", "all_spans", "dropped", "k", "t", "key"):
+        docs = docs.withColumn(name, F.lit("own"))
+    odd = docs.limit(3).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes})
+    docs = common.checkpointed(docs.union(docs.limit(5)).union(odd))
+    for rows in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.checkpointed(stage(spark, rows, d))
+            assert out.columns == docs.columns and out.where("kept <> 'own' OR n <> 'own' OR _base <> 'own'").isEmpty()
+            rows = out if not out.isEmpty() else rows
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, d).count() >= rows.count()

@@ -248,3 +248,10 @@ def delete(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def guarded(df: DataFrame, keep: list[str]):
+    """The rows with all columns but those kept under names that can't clash, and a function that gives them back by name and order."""
+    hidden = {c: f"__{i}" for i, c in enumerate(df.columns) if c not in keep}
+    inside = df.select(*(df[c].alias(hidden[c]) if c in hidden else df[c] for c in df.columns))
+    return inside, lambda out: out.select(*(out[hidden[c]].alias(c) if c in hidden else out[c] for c in df.columns))

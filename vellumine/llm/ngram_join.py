@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpoint_dir, checkpointed, mix64, row_sums, text_slices, written
+from .common import U64, Words, checkpoint_dir, checkpointed, guarded, mix64, row_sums, text_slices, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -434,8 +434,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
         return pd.Series(bits.value[_bits_of(ids.fillna(0).to_numpy(dtype=np.int64), len(bits.value))] & ids.notna().to_numpy())
 
-    flagged = docs.withColumn("_maybe", maybe(docs[key].cast("long")))
-    rest = flagged.where("NOT _maybe").drop("_maybe")
-    suspects = flagged.where("_maybe").drop("_maybe").join(doubtful.select(key, "n", "dropped"), key, "left")
-    kept = suspects.where("n IS NULL OR dropped = 0").dropDuplicates([key]).select(*docs.columns)
-    return rest.select(*docs.columns).union(kept)
+    inside, restored = guarded(docs, [key, text])
+    flagged = inside.withColumn("_maybe", maybe(inside[key].cast("long")))
+    rest = flagged.where("NOT _maybe")
+    suspects = flagged.where("_maybe").join(doubtful.select(key, "n", "dropped"), key, "left")
+    kept = suspects.where("n IS NULL OR dropped = 0").dropDuplicates([key])
+    return restored(rest).union(restored(kept))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Words, mix64, repeated, row_sums, span_hash, text_slices, with_text_columns
+from .common import IS_SPACE, U64, Words, guarded, mix64, repeated, row_sums, span_hash, text_slices, with_text_columns
 
 #: The most labelled rows that are fitted.
 MOST_LABELLED = 2_000
@@ -223,3 +223,9 @@ def score(docs: DataFrame, model: Model | None, least_good: float = LEAST_GOOD,
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Fit on the labelled rows among the documents, then score all of them."""
     return score(docs, fit(labelled(docs, labels)), keep=keep)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that the rules keep, with their own columns, whatever these are called."""
+    inside, restored = guarded(docs, ["text"])
+    return restored(score(inside, fit(labelled(docs, labels))).where("kept"))

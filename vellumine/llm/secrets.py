@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, written
+from .common import checkpoint_dir, guarded, written
 
 LEAST = 20
 REJECT = 0.001
@@ -192,4 +192,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
           (a, x) -> CASE WHEN x.s < a.at THEN named_struct('at', greatest(a.at, x.e), 'out', a.out)
             ELSE named_struct('at', x.e, 'out', concat(a.out, substring({text}, cast(a.at + 1 as int), cast(x.s - a.at as int)), '[REDACTED:', element_at(array({names}), x.k + 1), ']')) END,
           a -> concat(a.out, substring({text}, cast(a.at + 1 as int)))) END""")
-    return scan(docs, text).withColumn(text, cut).select(*docs.columns)
+    inside, restored = guarded(docs, [text])
+    return restored(scan(inside, text).withColumn(text, cut))
