@@ -187,3 +187,23 @@ def test_probe_facts(spark):
     got = media.parse_probe(spark.createDataFrame([(1, good), (2, "{}"), (3, None), (4, "junk")], "k long, t string"), "t").orderBy("k").collect()
     assert (got[0].width, got[0].duration, got[0].frame_rate, got[0].orientation, got[0].corrupt) == (1080, 12.5, 29.97, "vertical", False)
     assert all(r.corrupt for r in got[1:])
+
+
+def test_exported_documents(spark):
+    from xml.etree import ElementTree
+
+    from vellumine.operators import exports
+    from vellumine.plans.catalogue import _recipes
+
+    rows = _recipes(spark, "/root/testdata/sf0.001").limit(40).withColumn("variant", F.lit('a <"&"> b'))
+    for r in rows.select(exports.metadata_packet().alias("p"), exports.preset("IMG").alias("s"), exports.profile().alias("f"), "exposure", "key").collect():
+        packet = ElementTree.fromstring(r.p)[0][0].attrib
+        assert float(packet["{http://ns.adobe.com/camera-raw-settings/1.0/}Exposure2012"]) == round(r.exposure, 2)
+        assert ElementTree.fromstring(r.s)[0][0][0][0][0].text == 'IMG - a <"&"> b'
+        assert f"Compensation={r.exposure:.2f}\n" in r.f and "[Rotation]\nDegree=" in r.f
+    got = spark.range(1).select(exports.differences(F.lit('crs:A="1" crs:B="2" crs:B="3"'), F.lit('crs:B="3" crs:C="x" z:D="1"'))).first()[0]
+    assert got == ["crs:A: 1 -> -", "crs:C: - -> x"]
+    recipes = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "1")], "asset_id string, checksum string")
+    targets = spark.createDataFrame([("b", "# 1"), ("c", "hand")], "asset_id string, document string")
+    now = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "2")], "asset_id string, checksum string")
+    assert {tuple(r) for r in exports.apply_plan(recipes, targets, now).collect()} == {("a", "create"), ("b", "replace"), ("c", "overwrite"), ("d", "stale"), ("e", "missing_source")}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import numbers, text, vectors
-from vellumine.operators import agreement, curation, graph, history, intent, kernels, media, platforms, provider, quarantine, ranking, reporting, scoring, selection
+from vellumine.operators import agreement, curation, exports, graph, history, intent, kernels, media, platforms, provider, quarantine, ranking, reporting, scoring, selection
 from vellumine.params import CATEGORIES
 from vellumine.plans.bindings import ASSET_SQL, assets, table
 from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, SCORES
@@ -726,3 +726,26 @@ def seen_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, upper(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1)) || substr(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120), 2) AS title, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 12), ' ') AS note FROM conversations")
 def title_and_note(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", text.title(F.col("text")).alias("title"), text.first_words(F.col("text")).alias("note"))
+
+
+def _recipes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    whole = {"contrast": 7, "highlights": 11, "shadows": 13, "whites": 17, "blacks": 19, "clarity": 23, "vibrance": 29, "saturation": 31, "denoise": 37, "denoise_color": 41, "sharpening": 43, "masking": 47, "tint": 9}
+    return table(spark, d, "part").select(
+        k.alias("key"), k.cast("string").alias("asset_id"), F.sha2(F.col("p_name").cast("binary"), 256).alias("checksum"), F.when(k % 2 == 0, "faithful").otherwise("expressive").alias("variant"), F.col("p_type").alias("intent"),
+        (k % 9 / 4 - 1).alias("exposure"), (k % 5 / 2.0).alias("rotation"), *((k % m - m // 2).alias(n) for n, m in whole.items()), (k % 9 * 300 - 1200).alias("delta_k"), (k % 8 == 0).alias("monochrome"), (k % 3 == 0).alias("keep_tilt"), (k % 2 == 0).alias("is_raw"),
+        F.when(k % 3 != 0, 5200).alias("as_shot"), *(F.when(k % 4 == 0, v).alias(n) for n, v in (("crop_left", 0.1), ("crop_top", 0.0), ("crop_right", 0.9), ("crop_bottom", 1.0))),
+    )
+
+
+@query("SELECT p_partkey AS key, upper(substr(sha1(CAST(p_partkey AS VARCHAR) || ':' || sha256(p_name) || ':' || CASE WHEN p_partkey % 2 = 0 THEN 'faithful' ELSE 'expressive' END), 1, 32)) AS id FROM part")
+def preset_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _recipes(spark, d).select("key", exports.preset_id().alias("id"))
+
+
+@query("""WITH X AS (SELECT p_partkey AS key, p_partkey % 2 = 0 AS raw, p_partkey % 9 * 300 - 1200 AS dk, p_partkey % 9 - 4 AS tint, p_partkey % 3 <> 0 AS shot FROM part)
+  SELECT key, 13 + 1 + CASE WHEN dk = 0 AND tint = 0 THEN 0 WHEN raw AND NOT shot THEN 0 WHEN raw THEN 1 + CASE WHEN tint <> 0 THEN 1 ELSE 0 END ELSE CASE WHEN round_even(dk / 1000.0::DOUBLE * 12, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN tint <> 0 THEN 1 ELSE 0 END END
+    + CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN key % 4 = 0 THEN 5 ELSE 0 END AS n FROM X""".replace("SELECT key, 13", "SELECT key, CAST(13").replace("END AS n FROM X", "END AS INTEGER) AS n FROM X"))
+def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
+    """How many settings a recipe writes, counted in its document."""
+    return _recipes(spark, d).select("key", F.size(exports.settings_in(exports.metadata_packet())).alias("n"))
