@@ -413,6 +413,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = linked.groupBy(F.col("v").alias("cls")).agg(F.sum("n_links").alias("other"))
     facts = known.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    # Kept apart, so that the join of all rows has plain shuffles on both sides and adaptive execution can split a class of many copies.
+    facts = checkpointed(facts)
     some = full.select("key", "n", "cls").join(facts, "cls").select("key", "n", "component_id", "n_links")
     none = sets.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.union(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
