@@ -7,8 +7,11 @@ Other tokens of LEAST characters or more are tested. Their encoding is inferred
 which become numbers from 0 to k-1. Three tests ask whether these are uniform draws: chi-squared over the
 alphabet, runs above and below its middle, and serial correlation at lag 1. A token that one of them
 rejects at REJECT, divided by three, is not random. The rest must also differ from ordinary writing: the
-chance that a pair of characters agrees is compared with that of natural tokens in that encoding, with a
-deviation that shrinks with length. These p-values are held against the Benjamini-Hochberg bound at
+likelihood of a token under a fixed model of written ones (which kind of character follows which, and which
+letter which) is divided by that of uniform draws. If the token is written, this quotient is p or less with a
+probability of at most p (Markov), whatever the length, and for random ones it falls exponentially with length.
+Digits alone have no such model; their chance that a pair agrees is compared with that of written numbers, with
+a deviation that shrinks with length. These p-values are held against the Benjamini-Hochberg bound at
 FALSE_DISCOVERIES within each class of lengths (powers of two), over all documents, so short tokens, of
 which many are looked at and little is known, don't use up what long ones allow. The bound comes from a
 histogram of CLASSES x BINS counts at most.
@@ -18,6 +21,9 @@ Null text counts as empty and has no spans. Rows are judged one by one, repeated
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +43,49 @@ KINDS = [
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings, narrowest first: name, pattern of the body, alphabet, and the chance that two characters of a natural token agree, with that for three.
+#: Encodings, narrowest first: name, pattern of the body, and alphabet.
 ENCODINGS = [
-    ("decimal", "^[0-9]+$", _DIGIT, 0.16, 0.030),
-    ("hex", "^[0-9a-f]+$", _DIGIT + "abcdef", 0.12, 0.018),
-    ("HEX", "^[0-9A-F]+$", _DIGIT + "ABCDEF", 0.12, 0.018),
-    ("lower", "^[a-z]+$", _LOWER, 0.072, 0.0063),
-    ("upper", "^[A-Z]+$", _UPPER, 0.072, 0.0063),
-    ("base32", "^[A-Z2-7]+$", _UPPER + "234567", 0.070, 0.0060),
-    ("lower36", "^[a-z0-9]+$", _DIGIT + _LOWER, 0.068, 0.0058),
-    ("upper36", "^[A-Z0-9]+$", _DIGIT + _UPPER, 0.068, 0.0058),
-    ("alnum62", "^[A-Za-z0-9]+$", _DIGIT + _UPPER + _LOWER, 0.062, 0.0050),
-    ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGIT + "+/", 0.060, 0.0048),
-    ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGIT + "-_", 0.060, 0.0048),
-    ("other66", "^.*$", _UPPER + _LOWER + _DIGIT + "-_+/", 0.060, 0.0048),
+    ("decimal", "^[0-9]+$", _DIGIT),
+    ("hex", "^[0-9a-f]+$", _DIGIT + "abcdef"),
+    ("HEX", "^[0-9A-F]+$", _DIGIT + "ABCDEF"),
+    ("lower", "^[a-z]+$", _LOWER),
+    ("upper", "^[A-Z]+$", _UPPER),
+    ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
+    ("lower36", "^[a-z0-9]+$", _DIGIT + _LOWER),
+    ("upper36", "^[A-Z0-9]+$", _DIGIT + _UPPER),
+    ("alnum62", "^[A-Za-z0-9]+$", _DIGIT + _UPPER + _LOWER),
+    ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGIT + "+/"),
+    ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGIT + "-_"),
+    ("other66", "^.*$", _UPPER + _LOWER + _DIGIT + "-_+/"),
 ]
+#: In written numbers, the chance that two digits agree, and that three do.
+KAPPA, KAPPA3 = 0.16, 0.030
+#: Kinds of characters (lower case, upper case, digit, sign) in written tokens: the first one, and which follows each.
+_KINDS = [(0.50, 0.25, 0.20, 0.05), (0.90, 0.04, 0.03, 0.03), (0.32, 0.60, 0.04, 0.04), (0.06, 0.06, 0.80, 0.08), (0.50, 0.25, 0.20, 0.05)]
+#: Letters in written words: the first one, then those after a, b, c, ..., 26 each; bits in quarters, rounded down, from "0". Counted in texts in
+#: ten languages with Latin letters (licences and manuals in English, translated messages in the others), English for one half; 5 % go to all letters alike.
+_LETTERS = (
+    "@A?CCCCFBLNA@=B>OBB;FFDIMSMHDBOL?O@SI=>9OIS>?:JINQJS@NLN;QRS;DR=ISBPTAJM6RSSBS@QKR;RS:DSDDIR6PSHL<BOSTOK<JO=9NMS7QSKQO>NT=FP@PRRMK"
+    "?K@?FFMQLOQAF;PAN9<@RDM@NS@QPP9BST9TTGPR7ST>D@FTSTJTGQOS7NGD9TSKH@INT@:P<SQTPT8SSR4SST@HTRQP>NTDLEGTSTQTEHB>DFFTRNPAB9:KRI<;SITJTL"
+    "?RBR3TPPPTAQSP;IKS>MBSQPTS8RSF8IGR;TKOPF;ITP>EGTMTOT7MRD;NST;TO=KS=MTPBE>PQTBT9HRO8SSS=TSM?P?ASL8QFRSTSTDL@>>I:SENLIMF@ESP;9@LSSIT"
+    "JICBGCDOKELF@7IFT7FAAHFRSO>RNH=RQEETO9LR9ET9KBDSSSBTTTTTRTTTTTTKTTTQTTLA0TTNTT:PEJ8NAS@TGJCH<NPC>@IJPSFNFRFR:E=B<SL@MQAFQI?8CJMSKO"
+    "BSIR8FS:=RRLQS;HT:DCJTMSDS<DDIBJ<TFTSA@?PBM:><SSTMTM>SOS2TRT9TSTSMATTHLSSSTSST>SSS7SS<7SGORI?STF>GSTOGKTDSBL:RTN@TTTFNQ>TPO3OSLNKS"
+    "AOFPFQOSCTMHEG94RD?BRSKTQJ?TNT3RTP:T@J@LIRTPIROTTTDG"
+)
+
+
+def _coded(p: float) -> str:
+    return chr(48 + min(43, math.floor(-4 * math.log2(p))))
+
+
+def _model(alphabet: str) -> tuple[str, float, float, float]:
+    """The model within an alphabet: bits of the kinds (as _LETTERS), then bits of a letter (0: by _LETTERS), digit and sign."""
+    digits, letters = sum(c in _DIGIT for c in alphabet), {c for c in alphabet.lower() if c in _LOWER}
+    kinds = [any(c in of for c in alphabet) for of in (_LOWER, _UPPER, _DIGIT, "-_+/")]
+    shares = [[p * k for p, k in zip(row, kinds, strict=True)] for row in _KINDS]
+    bits = "".join(_coded(p / sum(row)) if p else "[" for row in shares for p in row)
+    return bits, math.log2(len(letters)) if len(letters) < 26 and letters else 0.0, math.log2(max(digits, 1)), math.log2(max(sum(c in "-_+/" for c in alphabet), 1))
+
 
 _SPAN = "struct<s:bigint,e:bigint,k:int,v:string,g:string>"
 
@@ -88,35 +122,41 @@ def _tail(z: str) -> str:
     return f"(CASE WHEN ({z}) >= 0 THEN {_upper_tail(z)} ELSE 1 - {_upper_tail(f'-({z})')} END)"
 
 
-def _by_encoding(body: str, field: int, cast: str = "") -> str:
-    last = len(ENCODINGS) - 1
-    value = lambda x: f"'{x}'" if isinstance(x, str) else f"{x}D"
-    return "CASE " + " ".join(f"WHEN {body} RLIKE '{e[1]}' THEN {value(e[field])}" for e in ENCODINGS[:last]) + f" ELSE {value(ENCODINGS[last][field])} END"
+def _by_encoding(body: str, value: Callable[[tuple[str, str, str]], str]) -> str:
+    return "CASE " + " ".join(f"WHEN {body} RLIKE '{e[1]}' THEN {value(e)}" for e in ENCODINGS[:-1]) + f" ELSE {value(ENCODINGS[-1])} END"
 
 
 def _tested(spans: str) -> Column:
     """Candidates with the battery's results: encoding, chi2, runs_z, serial_z, p_uniform (least of the three), p_natural, class."""
+    body = "rtrim('=', c.v)"
+    model = lambda e: "named_struct('kinds', '{}', 'letter', {}D, 'digit', {}D, 'sign', {}D)".format(*_model(e[2]))
     steps = [
-        # The body without padding, its encoding and characters.
-        f"""transform({spans}, c -> named_struct('s', c.s, 'e', c.e, 'v', c.v,
-             'body', rtrim('=', c.v), 'enc', {_by_encoding("rtrim('=', c.v)", 0)}, 'abc', {_by_encoding("rtrim('=', c.v)", 2)},
-             'kappa', {_by_encoding("rtrim('=', c.v)", 3)}, 'kappa3', {_by_encoding("rtrim('=', c.v)", 4)}, 'chars', regexp_extract_all(rtrim('=', c.v), '.', 0)))""",
-        """transform({x}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', cast(size(c.chars) as double), 'k', cast(length(c.abc) as double), 'kappa', c.kappa, 'kappa3', c.kappa3,
+        # The body without padding, its encoding and characters; of these the kind (0 to 3) and the place of letters (1 to 26).
+        f"""transform({spans}, c -> named_struct('s', c.s, 'e', c.e,
+             'enc', {_by_encoding(body, lambda e: f"'{e[0]}'")}, 'abc', {_by_encoding(body, lambda e: f"'{e[2]}'")}, 'm', {_by_encoding(body, model)},
+             'chars', regexp_extract_all({body}, '.', 0),
+             'of', transform(regexp_extract_all({body}, '.', 0), y -> named_struct('l', instr('{_LOWER}', lower(y)), 'k', CASE WHEN instr('{_LOWER}', y) > 0 THEN 0 WHEN instr('{_UPPER}', y) > 0 THEN 1 WHEN instr('{_DIGIT}', y) > 0 THEN 2 ELSE 3 END))))""",
+        f"""transform({{x}}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', cast(size(c.chars) as double), 'k', cast(length(c.abc) as double),
              'codes', transform(c.chars, y -> cast(instr(c.abc, y) - 1 as double)),
-             'sq', aggregate(array_distinct(c.chars), 0D, (a, y) -> a + power(cast(size(filter(c.chars, w -> w = y)) as double), 2))))""",
-        """transform({x}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', c.n, 'k', c.k, 'kappa', c.kappa, 'kappa3', c.kappa3, 'sq', c.sq,
+             'sq', aggregate(array_distinct(c.chars), 0D, (a, y) -> a + power(cast(size(filter(c.chars, w -> w = y)) as double), 2)),
+             'bits', aggregate(c.of, named_struct('b', 0D, 'l', 0, 'k', -1), (a, y) -> named_struct(
+               'b', a.b + (ascii(substring(c.m.kinds, 4 * (a.k + 1) + y.k + 1, 1)) - 48) / 4D
+                 + CASE WHEN y.k = 2 THEN c.m.digit WHEN y.k = 3 THEN c.m.sign WHEN c.m.letter > 0 THEN c.m.letter ELSE (ascii(substring('{_LETTERS}', 26 * a.l + y.l, 1)) - 48) / 4D END,
+               'l', y.l, 'k', y.k), a -> a.b)))""",
+        """transform({x}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', c.n, 'k', c.k, 'sq', c.sq, 'bits', c.bits,
              'runs', aggregate(sequence(2, cast(c.n as int)), 1D, (a, i) -> a + CASE WHEN (c.codes[i - 1] >= c.k / 2) <> (c.codes[i - 2] >= c.k / 2) THEN 1D ELSE 0D END),
              'serial', aggregate(sequence(2, cast(c.n as int)), 0D, (a, i) -> a + (c.codes[i - 1] - (c.k - 1) / 2) * (c.codes[i - 2] - (c.k - 1) / 2))))""",
-        # Moments under uniform draws; under natural writing, of the share of agreeing pairs.
-        """transform({x}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', c.n,
+        # Moments under uniform draws; under written numbers, of the share of agreeing pairs.
+        f"""transform({{x}}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'n', c.n,
              'chi2', c.k / c.n * c.sq - c.n,
              'chi2_z', (c.k / c.n * c.sq - c.n - (c.k - 1)) / sqrt(2 * (c.k - 1) * (1 - 1 / c.n)),
              'runs_z', (c.runs - 1 - (c.n - 1) / 2) / (sqrt(c.n - 1) / 2),
              'serial_z', c.serial / ((c.k * c.k - 1) / 12) / sqrt(c.n - 1),
-             'natural_z', ((c.sq - c.n) / (c.n * (c.n - 1)) - c.kappa) / sqrt((2 * (c.kappa - c.kappa * c.kappa) + 4 * (c.n - 2) * greatest(c.kappa3 - c.kappa * c.kappa, 0D)) / (c.n * (c.n - 1)))))""",
+             'quotient', exp(least(0D, (c.n * log2(c.k) - c.bits) * {math.log(2)!r}D)),
+             'natural_z', ((c.sq - c.n) / (c.n * (c.n - 1)) - {KAPPA}D) / sqrt((2 * {KAPPA - KAPPA * KAPPA!r}D + 4 * (c.n - 2) * {KAPPA3 - KAPPA * KAPPA!r}D) / (c.n * (c.n - 1)))))""",
         f"""transform({{x}}, c -> named_struct('s', c.s, 'e', c.e, 'enc', c.enc, 'chi2', c.chi2, 'runs_z', c.runs_z, 'serial_z', c.serial_z,
              'p_uniform', least({_tail("c.chi2_z")}, 2 * {_upper_tail("abs(c.runs_z)")}, 2 * {_upper_tail("abs(c.serial_z)")}),
-             'p_natural', {_tail("-c.natural_z")}, 'class', cast(least({CLASSES - 1}, floor(log2(c.n))) as int)))""",
+             'p_natural', CASE WHEN c.enc = 'decimal' THEN {_tail("-c.natural_z")} ELSE c.quotient END, 'class', cast(least({CLASSES - 1}, floor(log2(c.n))) as int)))""",
     ]
     out = steps[0]
     for step in steps[1:]:
