@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -247,6 +248,26 @@ def test_licences(spark):
     assert set(changed["missing"]) == {"person", "persons"} and set(changed["other"]) == {"human", "humans"}
 
 
+def test_licences_of_several_paragraphs():
+    """Canonical texts with blank lines, wrapped, as comments and lists; two in one paragraph."""
+    cuts = {
+        "MIT/grant": ["The above copyright", "THE SOFTWARE IS"], "Apache-2.0/header": ["You may obtain", "Unless required"], "ISC/grant": ["THE SOFTWARE IS"],
+        "GPL-3.0-or-later/header": ["This program is distributed"], "BSD-2-Clause/grant": ["Redistributions of source", "Redistributions in binary"], "BSD-3-Clause/grant": ["Redistributions of source", "Redistributions in binary", "Neither the name"],
+    }
+    forms = {}
+    for name, at in cuts.items():
+        body = licenses.TEMPLATES[name]
+        for c in at:
+            body = body.replace(c, f"\n\n{c}")
+        forms[name] = "\n\n".join(textwrap.fill(p, 72) for p in body.split("\n\n"))
+        for text in (forms[name], f"Title\n\nCopyright (c) 2020 A B\n\n{forms[name]}\n\nMore of it.", "\n".join(f"# {x}".rstrip() for x in forms[name].split("\n"))):
+            assert [(f["license"], f["form"], f["exact"]) for f in licenses.identify(text)] == [(*name.split("/"), True)]
+    both = textwrap.fill(f"{licenses.TEMPLATES['MIT/grant']} Or else: {licenses.TEMPLATES['Apache-2.0/header']}", 72)
+    assert [f["license"] for f in licenses.identify(both)] == ["MIT", "Apache-2.0"]
+    listed = forms["BSD-3-Clause/grant"].replace("\n\nRedistributions of", "\n\n1. Redistributions of").replace("\n\nRedistributions in", "\n\n2. Redistributions in").replace("\n\nNeither", "\n\n3. Neither")
+    assert [(f["license"], f["missing"], f["other"]) for f in licenses.identify(listed)] == [("BSD-3-Clause", [], ["1", "2", "3"])]
+
+
 def test_slices_cover_rows_and_unicode_words():
     texts = pa.array([None, "a b", "", "é　ü x", "tail"])
     raw, offsets = common.utf8(texts.slice(1))
