@@ -268,6 +268,17 @@ def test_licences_of_several_paragraphs():
     assert [(f["license"], f["missing"], f["other"]) for f in licenses.identify(listed)] == [("BSD-3-Clause", [], ["1", "2", "3"])]
 
 
+def test_notices_in_long_lines():
+    """Each template in the middle of one long line of English, where others would save more of the whole."""
+    random.seed(3)
+    common = "the of and to in a is that for it as was with be by on not he this are or his from at which but have an they you were there been one all we their has would will what if can when who more no out so up into them then some could these two may other do first any my now such like over our man even most after also did many must before see through way where get much go well your know should down work year because come people just say each those take day good how long little use make world still own life here between both being under never same another last while might us great old off since against right came three states himself few house during without again place around however home found thought went part once general high upon school every does got united left number course war until always away something fact water less public put think almost hand enough far took head yet government system set better told nothing night end why called find going look asked later point knew next program city business group give young order given several toward room side let social present days early case best states second large".split()
+    for name, template in licenses.TEMPLATES.items():
+        for n in (300, 1000, 3000):
+            prose = random.choices(common, k=n)
+            text = " ".join([*prose[: n // 2], template, *prose[n // 2 :]])
+            assert [(f["license"], f["form"], f["exact"]) for f in licenses.identify(text)] == [(*name.split("/"), True)], (name, n)
+
+
 def test_slices_cover_rows_and_unicode_words():
     texts = pa.array([None, "a b", "", "é　ü x", "tail"])
     raw, offsets = common.utf8(texts.slice(1))
