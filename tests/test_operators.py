@@ -1,5 +1,6 @@
 """Operators against small brute-force versions and named edge cases."""
 
+import math
 import random
 
 import numpy as np
@@ -89,6 +90,30 @@ def test_diverse_selection(spark):
     assert selection.select_diverse(df, 10, 0.9, 3).where("key < 20").count() == 3
 
 
+def test_diverse_selection_looks_at_all_rows(spark):
+    """More near copies than any pool, and a row of another look far below them; then any look-ahead against plain rounds."""
+    n = 5200
+    df = spark.range(n).selectExpr("id AS key", "100D AS relevance", "'g' AS genre", "array(1D, 0D) AS vector").union(spark.sql("SELECT 9000L, 50D, 'g', array(0D, 1D)"))
+    assert [r.key for r in selection.select_diverse(df, 2, 0.5).orderBy("pick").collect()] == [0, 9000]
+
+    random.seed(2)
+    rows = [(k, float(random.randint(0, 100)), random.choice("abc"), [random.gauss(1, 1) for _ in range(4)]) for k in range(300)]
+    worst, left, used, want = {r[0]: 0.0 for r in rows}, list(rows), {}, []
+    while left and len(want) < 25:
+        k, _, g, v = max((r for r in left if used.get(r[2], 0) < 10), key=lambda r: (0.65 * (r[1] / 100) - 0.35 * worst[r[0]], -r[0]), default=[None] * 4)
+        if k is None:
+            break
+        want.append(k)
+        used[g] = used.get(g, 0) + 1
+        left = [r for r in left if r[0] != k]
+        for r in left:
+            cos = sum(a * b for a, b in zip(r[3], v, strict=True)) / math.sqrt(sum(a * a for a in r[3]) * sum(b * b for b in v))
+            worst[r[0]] = max(worst[r[0]], round(min(1, max(0, min(1, (cos - 0.55) / 0.45)) + 0.12 * (r[2] == g)), 4))
+    df = spark.createDataFrame(rows, "key long, relevance double, genre string, vector array<double>").repartition(3)
+    for ahead in (1, 8, 64, 1000):
+        assert [r.key for r in selection.select_diverse(df, 25, 0.65, 10, ahead).orderBy("pick").collect()] == want
+
+
 def test_monitor_of_nothing(spark):
     empty = spark.createDataFrame([], "at long, predicted string, actual string, confidence double, in_distribution boolean")
     got = history.alarms(empty, "at").first()
