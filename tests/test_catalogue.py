@@ -2,10 +2,12 @@
 
 import glob
 import math
+import re
 
 import duckdb
 import pytest
 
+from vellumine.functions import text
 from vellumine.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -41,6 +43,14 @@ def test_query(spark, duck, name):
     assert rows(df.columns, found) == rows(want.columns, want.fetchall())
 
 
+def test_keywords_of_every_document(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert any(r.lang != "en" for r in docs)
+    kept = lambda t: [w for w in dict.fromkeys(re.findall(r"[a-z][a-z'-]+", t.lower())) if len(w) >= 3 and w not in text.STOPWORDS][:40]
+    got = catalogue.queries()["keywords_all"](spark, DATA).collect()
+    assert sorted((r.doc_id, r.keywords) for r in got) == sorted((r.doc_id, ",".join(kept(r.text))) for r in docs)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -505,6 +505,12 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("keywords"))
 
 
+@query(f"WITH W AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents), D AS (SELECT doc_id, w, min(i) AS i FROM W GROUP BY 1, 2), N AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM D) SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i) FILTER (n <= 40), '') AS keywords FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id GROUP BY 1")
+def keywords_all(spark: SparkSession, d: str) -> DataFrame:
+    """As `keywords`, of documents in any language."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("keywords"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(greatest(0.0, least(100.0, CAST(json_extract_string(props, '$.k') AS DOUBLE))) AS BIGINT) AS score, 'unknown' AS genre FROM events")
 def reply_parse(spark: SparkSession, d: str) -> DataFrame:
     """Replies as JSON: unknown keys are dropped, missing ones have defaults."""
