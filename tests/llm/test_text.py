@@ -160,6 +160,13 @@ def test_bound_on_matches_never_drops_a_link():
             assert (both <= bound).sum() >= need or need == 1
 
 
+def test_tiles_with_an_empty_block_count_nothing(spark):
+    sets = [np.arange(i, i + 200, dtype=np.uint64).tobytes() for i in range(3)]
+    rows = [(0, 0, j, False, c, 1, s) for j in range(3) for c, s in enumerate(sets)]
+    dealt = spark.createDataFrame(rows, "cluster long, i long, j long, right boolean, cls long, copies long, set binary")
+    assert sorted((r.v, r.n_links) for r in ngram_join.verify(dealt).collect()) == [(0, 2), (1, 2), (2, 2)]
+
+
 def test_keep_one(spark, copies):
     rows = [(i, t, "s") for i, t in enumerate(copies)] + [(3, copies[3], "s"), (None, "", "s"), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, cls string")

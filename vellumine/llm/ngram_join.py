@@ -337,6 +337,8 @@ def verify(dealt: DataFrame) -> DataFrame:
                 return
             sides = sorted(rows, key=lambda r: r[2])
             left = sum(1 for r in rows if not r[2]) if tile[1] != tile[2] else len(rows)
+            if tile[1] != tile[2] and left in (0, len(rows)):  # one block is empty; pairs within the other have a tile of their own
+                return
             root, degree = links(sides, left)
             names = np.array([r[0] for r in sides], dtype=np.int64)
             has = degree > 0
