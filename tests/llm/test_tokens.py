@@ -22,27 +22,57 @@ def enc():
     return bpe.encoding(RANKS, public_tokenizers.PATTERN)
 
 
-@given(st.text(alphabet=st.sampled_from("ab1 \n\t'sé日. \x85"), max_size=200), st.integers(1, 20))
-@settings(max_examples=300, deadline=None)
-def test_cuts_are_safe(text, least):
+@given(st.text(alphabet=st.sampled_from("ab1 \n\t'sé日. 。，\x85\x1c\u3000"), max_size=200), st.integers(1, 20), st.integers(2, 5))
+@settings(max_examples=500, deadline=None)
+def test_cuts_are_safe(text, least, run):
     enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
-    assert "".join(bpe.pieces(text, least)) == text
-    assert list(bpe.encode(text, enc, least)) == enc.encode_ordinary(text)
+    assert "".join(p for p, _ in bpe.pieces(text, least, run)) == text
+    assert list(bpe.encode(text, enc, least, run)) == enc.by_pattern.encode_ordinary(text)
+
+
+def merged_by_rank(piece, ranks):
+    """The rank-by-rank encoder, all places of the best pair at a time (a merged token's rank is above its parts')."""
+    ids, token = np.array([ranks[bytes([b])] for b in piece]), {r: t for t, r in ranks.items()}
+    while len(ids) > 1:
+        pairs, back = np.unique(ids[:-1] << 20 | ids[1:], return_inverse=True)
+        rank = np.array([ranks.get(token[p >> 20] + token[p & 0xFFFFF], 1 << 40) for p in pairs.tolist()])
+        best = rank.min()
+        if best == 1 << 40:
+            break
+        at = np.flatnonzero(rank[back] == best)
+        keep = np.concatenate([r[::2] for r in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)])  # leftmost first, without overlap
+        ids[keep] = best
+        ids = np.delete(ids, keep + 1)
+    return ids.tolist()
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "e" * 5_000_000, "日" * 1_700_000], ids=["spaces", "newlines", "letters", "cjk"])
+def test_very_long_matches(enc, text):
+    assert list(bpe.encode(text, enc)) == merged_by_rank(text.encode(), enc.ranks)
+
+
+def test_very_long_texts(spark, enc):
+    rows = [(0, "a" + " " * 1_100_000 + "b"), (1, "日本語。" * 300_000), (2, "x\n" + "\n" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.digest(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+    assert got[0].n_tokens == 1_100_001 and got[1].n_tokens == len(enc.by_pattern.encode_ordinary("日本語。" * 10)) * 30_000
+    assert sum(r.length for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2).collect()) == sum(r.n_tokens + 1 for r in got.values())
+    assert bpe.digest(docs.limit(0), RANKS, public_tokenizers.PATTERN).isEmpty()
 
 
 def test_digests(spark, enc):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(0, ""), (None, "x")]
     got = bpe.digest(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
     for (key, text), r in zip(rows, got, strict=True):
-        ids = array("I", enc.encode_ordinary(text or ""))
+        ids = array("I", enc.by_pattern.encode_ordinary(text or ""))
         assert (r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) == (key, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
 def test_both_libraries_agree():
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
     enc = packing.json_encoding(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ODD:
+    for text in [*ODD, "a  <|endoftext|>  b", "<|endoftext|>" * 3, " <|endoftext", "x" + " " * 9000 + "<|endoftext|> y"]:
         assert list(bpe.encode(text, enc)) == slow.encode(text or "", add_special_tokens=False).ids
 
 
@@ -75,7 +105,21 @@ def test_written_files_are_counted(spark, tmp_path, enc):
 
     manifest = separators.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"file://{tmp_path}/t", encoder, 50256, "<u2").cache()
     got = separators.with_keys(separators.scan(manifest.select("file", "n_tokens").distinct(), 50256, "<u2", 64), manifest).collect()
-    assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary(t or "")) for i, t in rows} and all(r.terminated for r in got)
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.by_pattern.encode_ordinary(t or "")) for i, t in rows} and all(r.terminated for r in got)
+
+
+def test_files_of_odd_rows(spark, tmp_path):
+    def encoder():
+        return lambda text: [ord(c) for c in text or ""]
+
+    def counted(rows, name):
+        manifest = separators.write_files(spark.createDataFrame(rows, "doc_id long, text string, File string").coalesce(1), f"file://{tmp_path}/{name}", encoder, 7, "<u2").cache()
+        return sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in separators.with_keys(separators.scan(manifest.select("file", "n_tokens").distinct(), 7, "<u2", 3), manifest).collect())
+
+    assert counted([(1, "ab", "x"), (1, "ab", "x"), (None, "c", None), (2, None, "y"), (3, "z" * 40, "")], "a") == [(False, 1, 2), (False, 1, 2), (False, 2, 0), (False, 3, 40), (True, 0, 1)]
+    assert counted([], "b") == []
+    with pytest.raises(Exception, match="doesn't fit"):
+        counted([(1, "\U0001f600", "")], "c")
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
@@ -112,7 +156,7 @@ def test_packing(spark):
         assert at <= 64
     assert len(bins) <= -(-sum(r.length for r in got) // 64) + 1
     for key, text in rows[:11]:
-        ids = array("I", [*enc.encode_ordinary(text or ""), 2])
+        ids = array("I", [*bpe.encode(text, enc), 2])
         own = sorted((r for r in docs[key]), key=lambda r: r.piece)
         if key != 2:
             assert [(r.start, r.length) for r in own] and all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)

@@ -22,28 +22,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode
+from .bpe import Coder, encode
 from .common import checkpoint_dir, written
 
 SIZE = 1024
 
 
 @lru_cache(maxsize=2)
-def json_encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a `tokenizers` JSON file as a tiktoken encoding with the same identifiers.
+def json_encoding(path: str) -> Coder:
+    """The byte-level BPE of a `tokenizers` JSON file as a coder with the same identifiers.
 
-    Merges must stand in the order of their identifiers, so that both libraries merge alike; a
-    special token's string in a text is ordinary text.
+    Merges must stand in the order of their identifiers, so that both libraries merge alike. The file's added
+    tokens are identifiers of their own where their string stands in a text, as that library has it.
     """
     import public_tokenizers
 
     with open(path) as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], whole.get("added_tokens") or []
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take neighbours along aren't supported")
     # The printable stand-ins of bytes in such files: printable Latin-1 bytes stand for themselves, others follow from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -53,7 +55,7 @@ def json_encoding(path: str) -> tiktoken.Encoding:
         raise ValueError("the merges are not in the order of their identifiers")
     known = set(made) | set(of)
     ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token in known}
-    return tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Coder(ranks, public_tokenizers.PATTERN, {t["content"]: t["id"] for t in added})
 
 
 PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"

@@ -8,6 +8,9 @@ last separator's place tells where a document open at a block's start began.
 
 Blocks of a file meet in one window, which sees a row of integers for each block and none of its
 tokens; files are bounded by their writer, so a window is too. Files without tokens have no rows.
+
+Null and empty texts have 0 tokens; null and repeated keys, and repeated rows, are counted each for itself; an empty table gives
+no rows. An identifier that doesn't fit the width, or is the separator, is an error.
 """
 
 from __future__ import annotations
@@ -66,7 +69,12 @@ def write_files(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[st
             for batch in batches:
                 keys.append(batch.column(0))
                 for value in batch.column(1):
-                    ids = np.asarray(encode(value.as_py())).astype(dtype)
+                    ids = np.asarray(encode(value.as_py()), dtype=np.int64)
+                    if len(ids) and not (0 <= ids.min() and ids.max() <= np.iinfo(dtype).max):
+                        raise ValueError(f"an identifier doesn't fit {dtype}")
+                    if (ids == eod).any():
+                        raise ValueError("a text has the separator among its identifiers")
+                    ids = ids.astype(dtype)
                     out.write(ids.tobytes() + end.tobytes())
                     total += len(ids) + 1
         place()
@@ -126,4 +134,5 @@ def scan(files: DataFrame, eod: int, dtype: str, block_tokens: int = BLOCK_TOKEN
 def with_keys(found: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents of `scan` with the keys that a manifest of `write_files` has for them."""
     keys = manifest.select("file", "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("doc_index"), key)
-    return found.join(keys, ["file", "doc_index"])
+    # Both sides have a row for each document: neither may be broadcast, however small the planner takes it to be.
+    return found.hint("merge").join(keys, ["file", "doc_index"])
