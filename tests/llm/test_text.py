@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import resource
 import textwrap
 from collections import Counter, defaultdict
 
@@ -53,11 +54,12 @@ def test_model_tells_held_out_rows_apart(spark):
     assert quality.fit(quality.labelled(docs, labels.where("quality = 1"))) is None
 
 
-def test_kneser_ney(spark):
+@pytest.mark.parametrize("heavy", [kneser_ney.HEAVY, 40])
+def test_kneser_ney(spark, heavy):
     random.seed(9)
     texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randint(0, 30))) for _ in range(60)] + ODD
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", kneser_ney.is_held_out(F.col("doc_id")))
-    got = kneser_ney.score(docs, kneser_ney.train(docs.where("NOT held_out")), keep=["doc_id", "held_out"]).collect()
+    got = kneser_ney.score(docs, kneser_ney.train(docs.where("NOT held_out"), heavy_from=heavy), keep=["doc_id", "held_out"]).collect()
     tokens = {i: [*WORD.findall((t or "").translate(FOLD)), None] for i, t in enumerate(texts)}
     pairs, single = Counter(), Counter()
     for r in got:
@@ -89,6 +91,30 @@ def test_kneser_ney(spark):
     assert [r.score for r in none] == [0.0, 0.0]
 
 
+def test_many_parts_under_a_low_limit_of_files(spark):
+    random.seed(19)
+    texts = [" ".join(f"w{random.randint(0, 30_000)}" for _ in range(400)) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (None, None), (5, texts[5])], "doc_id long, text string").withColumn("Score", F.lit("mine")).repartition(4)
+    few, many = kneser_ney.train(docs), kneser_ney.train(docs, parts=4096)
+    assert len(many.pair_parts) > 4000 and len(few.pair_parts) == 64
+    raw, offsets = np.frombuffer(" ".join(texts[:40]).encode(), np.uint8), np.array([0, len(" ".join(texts[:40]))])
+    context, token, _ = kneser_ney.tokens(raw, offsets)
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, hard))
+    try:
+        got, known = kneser_ney.probabilities(many, context, token)
+        assert len(many.maps) <= kneser_ney.OPEN
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    want, also = kneser_ney.probabilities(few, context, token)
+    assert np.allclose(got, want) and (known == also).all()
+    scored = kneser_ney.score(docs, many, keep=["doc_id"]).collect()
+    assert len(scored) == 203 and sorted(r.doc_id is None for r in scored)[-2:] == [True, True]
+    whole = " ".join(texts[:3] * 900)  # 2,700 rows' words as one text
+    long_ = kneser_ney.score(spark.createDataFrame([(1, whole)], "doc_id long, text string"), few).first()
+    assert long_.n_tokens == 2700 * 400 + 1 and long_.n_known == long_.n_tokens
+
+
 def slow_join(texts):
     sets = []
     for t in texts:

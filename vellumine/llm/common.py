@@ -81,11 +81,11 @@ def slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch cut into slices of bounded size, with the text's bytes and offsets."""
     for batch in batches:
         raw, offsets = utf8(batch.column(batch.schema.get_field_index(name)))
-        for a, b in slices(np.diff(offsets)):
+        for a, b in slices(np.diff(offsets), most):
             yield batch.slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -132,16 +132,34 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
+#: Folders that operators of this session have made, for `sweep`.
+_made: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """A new folder in the shared place that the cluster names; a local one only where none is named, as in tests."""
+    """A new folder in the shared place that the cluster names. A local one only where none is named and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = current.get() if current.isDefined() else "file:///tmp/vellumine-checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """Where the list of this session's folders ends now."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Remove the folders made since a mark, once what was made from them is written elsewhere."""
+    while len(_made) > since:
+        delete(spark, _made.pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -202,7 +220,7 @@ def map_file(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
-def with_text_columns(df: DataFrame, fields: str, make, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_text_columns(df: DataFrame, fields: str, make, text: str = "text", keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """The `keep` columns (all by default) and new ones that `make(raw, offsets)` gives as Arrow arrays for a slice of texts.
 
     Columns of the new names are replaced. Rows are neither added nor lost, and nothing is shuffled.
@@ -215,7 +233,7 @@ def with_text_columns(df: DataFrame, fields: str, make, text: str = "text", keep
     hidden = "\x00text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, offsets in text_slices(batches, hidden):
+        for part, raw, offsets in text_slices(batches, hidden, most):
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *make(raw, offsets)], [*names, *added.names])
 
     # A column of extra names may clash in letter case only; positions, not names, carry them through.

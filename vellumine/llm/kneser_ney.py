@@ -5,8 +5,9 @@ pairs (previous token, token) with their counts; a part's task merges them, stor
 ascending order with their counts and each context's totals, and passes on in how many contexts it met
 each token; the second deal brings these together by token. Files lie in the shared folder, are renamed into place when
 whole, and are mapped, not read, by the workers that score. The model's size follows the corpus;
-nothing is pruned. Pairs of the few very frequent contexts (at least 1/1000 of the tokens, so 1000 at most)
-are spread over parts by their token, and their totals are added up at the driver.
+nothing is pruned. Contexts of at least HEAVY tokens, which would fill much of a part, are spread over parts by their token, and
+their totals are added up at the driver; there are fewer of them than twice the parts. A part has one file for its pairs and contexts and one for its tokens;
+a worker keeps OPEN of them mapped at most, however many parts there are.
 
 p(w|v) = max(n(vw) - D, 0) / n(v) + share(v) * p(w);  p(w) = max(m(w) - D', 0) / m + share * 1 / (V + 1),
 where m(w) counts the contexts that w follows, and D depends on whether a count is 1, 2, or 3 and more.
@@ -17,6 +18,7 @@ and empty texts are an end alone. Without training texts every probability is 1
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpoint_dir, map_file, mix64, put_bytes, row_sums, text_slices, with_text_columns
+from .common import SLICE_BYTES, U64, Words, checkpoint_dir, delete, map_file, mix64, put_bytes, row_sums, text_slices, with_text_columns
 
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-#: Tokens that a task counts at a time, pairs that a part holds about, and shares of very frequent contexts.
+#: Tokens that a task counts at a time, and tokens for each part.
 CHUNK, PART_TOKENS = 1 << 21, 1 << 20
-SPREAD, FREQUENT = 64, 1000
+#: Tokens from which on a context is spread, how often a task must meet it to count it, and over how many places of the key space it is spread.
+HEAVY, LEAST_SEEN, SPREAD = PART_TOKENS // 2, 4, 64
+#: Files that a worker keeps mapped.
+OPEN = 96
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,15 +78,18 @@ def merged(keys: tuple[np.ndarray, ...], counts: tuple[np.ndarray, ...]) -> tupl
     return tuple(k[at] for k in keys), tuple(np.add.reduceat(c[order].astype(np.int64), at) for c in counts)
 
 
-def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Contexts that are at least 1/FREQUENT of the tokens, by what tasks know to be twice as rare at most, and the number of tokens."""
+def _frequent(docs: DataFrame, text: str, heavy: int) -> tuple[np.ndarray, int]:
+    """Contexts of at least `heavy` tokens, and the number of tokens.
+
+    What a task meets fewer than LEAST_SEEN times in CHUNK tokens isn't passed on, so a context that is missed adds no more for each CHUNK to its part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
 
         def counted():
             word, n = np.unique(np.concatenate(kept), return_counts=True)
-            top = n * 2 * FREQUENT >= size
+            top = n >= (LEAST_SEEN if size >= CHUNK else 1)
             return pa.RecordBatch.from_arrays([pa.array(np.append(word[top].view(np.int64), 0)), pa.array(np.append(n[top], 0)), pa.array(np.append(np.zeros(top.sum(), np.int64), size))], ["w", "n", "size"])
 
         for _, raw, offsets in text_slices(batches, "t"):
@@ -95,9 +103,10 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
             yield counted()
 
     seen = docs.select(docs[text].alias("t")).mapInArrow(run, "w long, n long, size long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    total = int(seen.agg(F.sum("size")).first()[0] or 0)
-    heavy = [r[0] & 0xFFFFFFFFFFFFFFFF for r in seen.where(F.col("n") * FREQUENT >= max(total, 1)).select("w").collect()] if total else []  # FREQUENT at most
-    return np.array(sorted(heavy), dtype=U64), total
+    # One pass: the heavy ones, and the tokens of all; fewer than twice the parts.
+    rows = seen.where((F.col("n") >= heavy) | (F.col("size") > 0)).select("w", "n", "size").collect()
+    found = [r[0] & 0xFFFFFFFFFFFFFFFF for r in rows if r[1] >= heavy]
+    return np.array(sorted(found), dtype=U64), sum(r[2] for r in rows)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -126,18 +135,36 @@ class Model:
     classes: tuple[int, int, int]  # tokens that follow 1, 2, or more contexts
     pair_parts: np.ndarray  # parts that hold pairs; only these have files
     token_parts: np.ndarray
-    maps: dict = field(default_factory=dict)
+    maps: OrderedDict = field(default_factory=OrderedDict)
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
+        return self.__dict__ | {"maps": OrderedDict()}
 
-    def array(self, name: str, part: int, dtype) -> np.ndarray:
+    def arrays(self, name: str, part: int) -> list[np.ndarray]:
+        """A file's arrays, mapped; the file that was used longest ago is let go."""
         key = (name, part)
-        if key not in self.maps:
-            self.maps[key] = map_file(f"{self.folder}/{name}-{part:05d}", dtype)
+        if key in self.maps:
+            self.maps.move_to_end(key)
+            return self.maps[key]
+        if len(self.maps) >= OPEN:
+            self.maps.popitem(last=False)
+        whole = map_file(f"{self.folder}/{name}-{part:08d}", U64)
+        self.maps[key] = [whole[a:b] for a, b in zip(*_places(whole), strict=True)]
         return self.maps[key]
 
 
+def _places(whole: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where a file's arrays begin and end: its head has their number and lengths, in 64-bit words."""
+    sizes = np.asarray(whole[1 : 1 + int(whole[0])]).astype(np.int64)
+    ends = np.cumsum(sizes) + 1 + len(sizes)
+    return (ends - sizes).tolist(), ends.tolist()
+
+
+def _put(uri: str, arrays: list[np.ndarray]) -> None:
+    words = [np.frombuffer(a.tobytes() + bytes(-a.nbytes % 8), dtype=U64) for a in arrays]
+    put_bytes(uri, [np.array([len(words), *map(len, words)], dtype=U64), *words])
+
+
 def _deal(df: DataFrame, columns: int) -> DataFrame:
     return df.repartition("part").sortWithinPartitions("part")
 
@@ -166,11 +193,11 @@ def _packed(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", *(f"c{i}" for i in range(len(arrays)))])
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count all rows and store the model in a new folder of the shared place."""
+def train(docs: DataFrame, text: str = "text", parts: int | None = None, heavy_from: int = HEAVY) -> Model:
+    """Count all rows and store the model in a new folder of the shared place, in so many parts as the tokens need, or as are given."""
     folder = f"{checkpoint_dir(docs.sparkSession)}/kneser-ney"
-    heavy, total = _frequent(docs, text)
-    parts = max(64, 1 << math.ceil(math.log2(max(PART_TOKENS, total) / PART_TOKENS)))
+    heavy, total = _frequent(docs, text, heavy_from)
+    parts = parts or max(64, 1 << math.ceil(math.log2(max(PART_TOKENS, total) / PART_TOKENS)))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -195,12 +222,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             (context, token), (n,) = merged((context, token), (n,))
             h = pair_hash(context, token)
             order = np.argsort(h)
-            put_bytes(f"{folder}/pair-{part:05d}", [h[order]])
-            put_bytes(f"{folder}/pair_n-{part:05d}", [np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32)])
             (own,), totals = merged((context,), (n, n == 1, n == 2, n >= 3))
             spread = np.isin(own, heavy)
-            put_bytes(f"{folder}/context-{part:05d}", [own[~spread]])
-            put_bytes(f"{folder}/context_n-{part:05d}", [np.ascontiguousarray(np.stack([t[~spread] for t in totals], axis=1))])
+            plain = np.ascontiguousarray(np.stack([t[~spread] for t in totals], axis=1))
+            _put(f"{folder}/pair-{part:08d}", [h[order], np.minimum(n[order], 0xFFFFFFFF).astype(np.uint32), own[~spread], plain])
             facts = np.concatenate([[part, len(n)], *((n == k).sum(keepdims=True) for k in (1, 2, 3, 4))]).astype(np.int64)
             (word,), (raw_n, contexts) = merged((token,), (n, np.ones(len(n), dtype=np.int64)))
             out = _packed(part_of(word, parts), parts, [word, raw_n, contexts])
@@ -225,30 +250,43 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     def merge_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (word, n, contexts) in _gather(batches, 3):
             (word,), (n, contexts) = merged((word,), (n, contexts))
-            put_bytes(f"{folder}/token-{part:05d}", [word])
-            put_bytes(f"{folder}/token_n-{part:05d}", [np.ascontiguousarray(np.stack([n, contexts], axis=1))])
+            _put(f"{folder}/token-{part:08d}", [word, np.ascontiguousarray(np.stack([n, contexts], axis=1))])
             numbers = [len(word), n.sum(), contexts.sum(), *((contexts == k).sum() for k in (1, 2, 3, 4)), (contexts >= 3).sum()]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in numbers)], ["part", *(f"x{i}" for i in range(8))])
 
     sums = _deal(met.where("part >= 0"), 3).mapInArrow(merge_tokens, "part int, " + ", ".join(f"x{i} long" for i in range(8)))
     rows = np.array([tuple(r) for r in sums.collect()], dtype=np.int64).reshape(-1, 9)  # a row of numbers for each part
     x = rows[:, 1:].sum(axis=0).tolist()
+    delete(docs.sparkSession, f"{folder}/met")
     return Model(folder, parts, heavy, totals, x[1], x[0], x[2], discounts(*facts[1:].tolist()), discounts(*x[3:7]), (x[3], x[4], x[7]), np.array(pair_parts, dtype=np.int64), rows[:, 0])
 
 
-def _look_up(model: Model, name: str, dtype, width: int, key: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The row of numbers stored for each key, zeros for keys that aren't there. Keys must be distinct."""
-    out = np.zeros((len(key), width), dtype=np.int64)
-    order = np.lexsort((key, part))
-    cuts = np.searchsorted(part[order], np.arange(model.parts + 1))
-    has = model.token_parts if name == "token" else model.pair_parts
-    for p in np.intersect1d(np.flatnonzero(np.diff(cuts)), has):
-        rows = order[cuts[p] : cuts[p + 1]]
-        stored = model.array(name, p, U64)
-        if len(stored):
-            at = np.minimum(np.searchsorted(stored, key[rows]), len(stored) - 1)
-            hit = stored[at] == key[rows]
-            out[rows[hit]] = model.array(f"{name}_n", p, dtype).reshape(-1, width)[at[hit]]
+#: Of each kind of key: the file it is in, the places of keys and numbers in it, and the numbers' type and how many a key has.
+STORED = {"pair": ("pair", 0, np.uint32, 1), "context": ("pair", 2, np.int64, 4), "token": ("token", 0, np.int64, 2)}
+
+
+def _look_up(model: Model, asked: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """For (keys, parts) of each kind, the rows of numbers stored for the keys, zeros for those that aren't there. Each file is visited once."""
+    out, orders = {}, {}
+    for kind, (key, part) in asked.items():
+        out[kind] = np.zeros((len(key), STORED[kind][3]), dtype=np.int64)
+        order = np.lexsort((key, part))
+        orders[kind] = order, part[order]
+    for file, has in (("pair", model.pair_parts), ("token", model.token_parts)):
+        kinds = [k for k in asked if STORED[k][0] == file]
+        for p in np.intersect1d(np.concatenate([orders[k][1] for k in kinds]), has).tolist():
+            arrays = model.arrays(file, p)
+            for kind in kinds:
+                _, at, dtype, width = STORED[kind]
+                order, parts = orders[kind]
+                rows = order[slice(*np.searchsorted(parts, (p, p + 1)))]
+                stored = arrays[at]
+                if len(stored) and len(rows):
+                    key = asked[kind][0][rows]
+                    place = np.minimum(np.searchsorted(stored, key), len(stored) - 1)
+                    hit = stored[place] == key
+                    numbers = arrays[at + 1].view(dtype)[: len(stored) * width].reshape(-1, width)
+                    out[kind][rows[hit]] = numbers[place[hit]]
     return out
 
 
@@ -257,25 +295,24 @@ def probabilities(model: Model, context: np.ndarray, token: np.ndarray) -> tuple
     if not model.total:
         return np.ones(len(token)), np.zeros(len(token), dtype=np.int64)
     cut = np.array([0.0, *model.token_discounts])
-    word, at = np.unique(token, return_inverse=True)
-    n, contexts = _look_up(model, "token", np.int64, 2, word, part_of(word, model.parts)).T
+    word, word_at = np.unique(token, return_inverse=True)
+    own, own_at = np.unique(context, return_inverse=True)
+    pair, first, pair_at = np.unique(pair_hash(context, token), return_index=True, return_inverse=True)
+    asked = {"token": (word, part_of(word, model.parts)), "context": (own, part_of(own, model.parts)), "pair": (pair, pair_part(context[first], token[first], model.heavy, model.parts))}
+    found = _look_up(model, asked)
+    n, contexts = found["token"].T
     share = sum(d * c for d, c in zip(model.token_discounts, model.classes, strict=True)) / model.types
     lower = np.maximum(contexts - cut[np.minimum(contexts, 3)], 0) / model.types + share / (model.distinct + 1)
-    lower, known = lower[at], n[at]
-    own, at = np.unique(context, return_inverse=True)
-    totals = _look_up(model, "context", np.int64, 4, own, part_of(own, model.parts))
+    totals = found["context"]
     if len(model.heavy):
         i = np.minimum(np.searchsorted(model.heavy, own), len(model.heavy) - 1)
         is_heavy = model.heavy[i] == own
         totals[is_heavy] = model.heavy_totals[i[is_heavy]]
-    h = pair_hash(context, token)
-    pair, first, back = np.unique(h, return_index=True, return_inverse=True)
-    count = _look_up(model, "pair", np.uint32, 1, pair, pair_part(context[first], token[first], model.heavy, model.parts))[:, 0][back]
+    count = found["pair"][pair_at, 0]
     cut = np.array([0.0, *model.pair_discounts])
     whole = np.maximum(totals[:, 0], 1)
-    left = (totals[:, 1:] @ np.array(model.pair_discounts)) / whole
-    left = np.where(totals[:, 0] > 0, left, 1.0)
-    return np.maximum(count - cut[np.minimum(count, 3)], 0) / whole[at] + left[at] * lower, known
+    left = np.where(totals[:, 0] > 0, (totals[:, 1:] @ np.array(model.pair_discounts)) / whole, 1.0)
+    return np.maximum(count - cut[np.minimum(count, 3)], 0) / whole[own_at] + left[own_at] * lower[word_at], n[word_at]
 
 
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -283,7 +320,7 @@ FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The rows with FIELDS: the log10 probability of the text by this model and by smoothed token counts, and its perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # numbers for 1000 contexts at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers for each part and heavy context
 
     def make(raw: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         model = shared.value
@@ -294,7 +331,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         total = row_sums(np.log10(p), cuts)
         return [pa.array(n), pa.array(row_sums(known > 0, cuts)), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(total), pa.array(10 ** (-total / n))]
 
-    return with_text_columns(docs, FIELDS, make, text=text, keep=keep)
+    # The more parts there are, the more text is scored at a time, up to 4 times a slice, so that files are opened less often.
+    return with_text_columns(docs, FIELDS, make, text=text, keep=keep, most=SLICE_BYTES * min(4, max(1, model.parts // OPEN)))
 
 
 def is_held_out(key: Column, folds: int = 5, fold: int = 1) -> Column:
