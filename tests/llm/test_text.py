@@ -312,6 +312,71 @@ def test_notices_in_long_lines():
             assert [(f["license"], f["form"], f["exact"]) for f in licenses.identify(text)] == [(*name.split("/"), True)], (name, n)
 
 
+def slow_licences(text):
+    """Every template at every start, without counts that rule places out."""
+    block, found = licenses.words(text), []
+    for i, (name, own, _) in enumerate(licenses._templates()):
+        size, least = len(own), math.ceil(licenses.LEAST_FOUND * len(own))
+        width, at, s = size + math.floor(licenses.MOST_OTHER * size), 0, 0
+        fits = {}
+        for start in range(len(block)):
+            n, missing, other, first, last = licenses.differences(block[start : start + width], own)
+            if n >= least and len(other) <= licenses.MOST_OTHER * size and first == 0:
+                fits[start] = ((-(n - len(missing) - len(other)) if size > 20 else len(missing) + len(other), -n), start + last, missing, other)
+        while s < len(block):
+            if s < at or s not in fits:
+                s += 1
+                continue
+            until, choice = s + width - least, s
+            for t in range(s, until + 1):
+                if t in fits and fits[t][0] < fits[choice][0]:
+                    choice = t
+                if not fits[choice][2] and not fits[choice][3]:
+                    break
+            key, last, missing, other = fits[choice]
+            found.append((key, -licenses.saved(block[choice:last], i), choice, last, name, missing, other))
+            at, s = last, s + 1
+    out, taken = [], set()
+    for _, _, first, last, name, missing, other in sorted(found):
+        if taken.isdisjoint(range(first, last)):
+            taken.update(range(first, last))
+            out.append((first, name, missing, other))
+    return [x[1:] for x in sorted(out)]
+
+
+def test_licences_against_every_window():
+    random.seed(31)
+    names = sorted(licenses.TEMPLATES)
+    filler = "the software license of work and by this copyright under version free permission notice released".split()
+    for _ in range(12):
+        parts = []
+        for _ in range(random.randint(1, 3)):
+            own = licenses.TEMPLATES[random.choice(names)].split()
+            for _ in range(random.randint(0, max(1, len(own) // 12))):
+                own[random.randrange(len(own))] = random.choice(filler)
+            parts += [" ".join(random.choices(filler, k=random.randint(0, 12))), " ".join(own)]
+        text = "\n".join(parts)
+        assert [(f"{f['license']}/{f['form']}", f["missing"], f["other"]) for f in licenses.identify(text)] == slow_licences(text)
+
+
+def test_licences_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "x " * 200_000 + "Licensed under CC BY 4.0.", "a"), (None, "Licensed under CC BY 4.0.", "b"), (None, "Licensed under CC BY 4.0.", "b")], "doc_id long, text string, Found string")
+    assert sorted((r.doc_id is None, [f.license for f in r.found]) for r in licenses.annotate(docs).collect()) == [(False, ["CC-BY-4.0"]), (True, ["CC-BY-4.0"]), (True, ["CC-BY-4.0"])]
+    assert licenses.annotate(docs.limit(0)).isEmpty()
+
+
+def test_giant_components_compare_neighbouring_sizes_alone(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    members = spark.createDataFrame([(7, i, 1, n) for i, n in enumerate([10] * 9 + [12] * 9 + [100] * 9 + [1000] * 9)], "cluster long, cls long, copies long, n long")
+    met = {}
+    for r in ngram_join.tiles(members).collect():
+        met.setdefault((r.i, r.j), set()).add((r.cls, r.right))
+    pairs = {frozenset((a, b)) for own in met.values() for a, ra in own for b, rb in own if a != b}
+    size = lambda c: [10, 12, 100, 1000][c // 9]
+    assert all(frozenset((a, b)) in pairs for a in range(36) for b in range(a) if 10 * size(b) >= 8 * size(a) and 10 * size(a) >= 8 * size(b))
+    assert not any(size(max(p)) >= 2 * size(min(p)) for p in pairs)
+
+
 def test_slices_cover_rows_and_unicode_words():
     texts = pa.array([None, "a b", "", "é　ü x", "tail"])
     raw, offsets = common.utf8(texts.slice(1))

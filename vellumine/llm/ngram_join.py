@@ -13,8 +13,8 @@ Groups of any size, without listing all pairs of a group:
 - Equal sets are one class, by hash, and take part once for each task that reads them.
 - Lists of up to SHORT classes give their pairs, which are counted. In longer ones every class is tied to the
   list's least class alone. The components of these ties hold every pair that may be similar.
-- Each component's sets are cut into blocks of bounded size; a tile of two blocks verifies all its
-  pairs by one matrix product over their shared shingles and returns one row for each set, not for each pair.
+- Each component's sets are put into bands of sizes, so that similar ones are in the same band or in neighbours, and each band is cut into blocks of
+  bounded size; a tile of two blocks verifies all its pairs by one matrix product over their shared shingles and returns one row for each set, not for each pair.
 - Components of the verified ties are the result.
 
 The table of frequent shingles only serves estimates, and ties without a shuffle, so that it may hold the most frequent alone; it changes no result.
@@ -24,6 +24,7 @@ blank texts have none and are linked with nothing. Repeated rows are members of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,6 +254,12 @@ def _bits_of(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(ids.astype(np.int64).view(U64)) & U64(bits - 1)).astype(np.int64)
 
 
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a filter has a bit for each of the ids."""
+    at = _bits_of(ids, 64 * len(words))
+    return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def id_filter(ids: DataFrame, key: str, most: int = MOST_BITS) -> np.ndarray:
     """A bit set, 16 MB at most, that has a bit for each of the ids and may have it for others too."""
     n = ids.count()
@@ -271,7 +278,7 @@ def id_filter(ids: DataFrame, key: str, most: int = MOST_BITS) -> np.ndarray:
     words = np.zeros(bits // 64, dtype=np.int64)
     for at, word in ids.select(F.col(key).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word")).collect():
         words[at] = word
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    return words
 
 
 def links(rows: list[tuple[int, int, int, np.ndarray]], left: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -315,11 +322,24 @@ def links(rows: list[tuple[int, int, int, np.ndarray]], left: int, percent: int
     return names[root], degree
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """(cluster, i, j, right, cls, copies): the tiles in which each class of (cluster, cls, copies, n) is compared, and on which side."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+#: Blocks of one band have numbers below this.
+_BAND = 1 << 40
+
+
+def tiles(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(cluster, i, j, right, cls, copies): the tiles in which each class of (cluster, cls, copies, n) is compared, and on which side.
+
+    Sets whose sizes differ by more than the least similarity allows are never more than one band apart, and bands further apart have no tile.
+    """
+    whole = members.groupBy("cluster").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("small"))
+    # A little wider than the similarity asks for, so that rounding can't put a pair two bands apart. What fits one block needs no bands.
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.000001)).cast("long")
+    banded = members.join(whole, "cluster").withColumn("band", F.when(F.col("small"), F.lit(0).cast("long")).otherwise(band)).drop("small")
+    sizes = banded.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    # A row for each band and neighbour that exists, the band itself included.
+    near = sizes.select("cluster", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other_band"), F.col("blocks").alias("other_blocks"))
+    placed = banded.join(sizes, ["cluster", "band"]).withColumn("block", F.col("band") * _BAND + F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(near, ["cluster", "band"])
+    placed = placed.withColumn("other", F.explode(F.sequence(F.col("other_band") * _BAND, F.col("other_band") * _BAND + F.col("other_blocks") - 1)))
     return placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "cls", "copies")
 
 
@@ -401,7 +421,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            wanted = bits.value[_bits_of(ids.fill_null(0).to_numpy(), len(bits.value))] | ids.is_null().to_numpy(zero_copy_only=False)
+            wanted = passes(bits.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
             for _, raw, offsets in text_slices(iter([batch.filter(pa.array(wanted))]), "t"):
                 h, cuts = shingle_sets(raw, offsets, k)
                 packed = pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
@@ -436,7 +456,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def maybe(ids):
         import pandas as pd
 
-        return pd.Series(bits.value[_bits_of(ids.fillna(0).to_numpy(dtype=np.int64), len(bits.value))] & ids.notna().to_numpy())
+        return pd.Series(passes(bits.value, ids.fillna(0).to_numpy(dtype=np.int64)) & ids.notna().to_numpy())
 
     inside, restored = guarded(docs, [key, text])
     flagged = inside.withColumn("_maybe", maybe(inside[key].cast("long")))

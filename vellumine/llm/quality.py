@@ -2,8 +2,8 @@
 
 A text's features are the shares of its hashed words, word pairs and 4-character windows; each of
 these families is divided by its number of occurrences, so a text's length doesn't matter. Weights
-are fitted on at most MOST_LABELLED labelled rows (those first by the MD5 of their id), a quarter of which is
-held back to calibrate probabilities by a two-parameter logistic curve. Scoring is one pass over the
+are fitted on at most MOST_LABELLED labelled rows of at most LONGEST_LABELLED bytes (those first by the MD5 of their id, one
+for each id), a quarter of which is held back to calibrate probabilities by a two-parameter logistic curve. Scoring is one pass over the
 documents in Arrow batches, against the fixed threshold LEAST_GOOD.
 
 Null and empty texts have no words and so fail the base rule. Repeated rows are judged alike. Without
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, U64, Words, guarded, mix64, repeated, row_sums, span_hash, text_slices, with_text_columns
 
-#: The most labelled rows that are fitted.
-MOST_LABELLED = 2_000
+#: The most labelled rows that are fitted, and the most bytes that such a row's text has: together they bound what the driver gathers.
+MOST_LABELLED, LONGEST_LABELLED = 2_000, 1 << 15
 #: A document stays if its calibrated probability of being good is this or more.
 LEAST_GOOD = 0.3
 #: Hashed features, by power of two.
@@ -115,10 +115,11 @@ def margins(words: Words, model: Model) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(text, quality) of the bounded sample that is fitted. An id that is labelled twice has its least quality; null labels don't count."""
+    """(text, quality) of the bounded sample that is fitted. An id that is labelled twice has its least quality, one that several rows have its least text; null labels don't count."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST_LABELLED).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
 
 
 def _sample_features(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
