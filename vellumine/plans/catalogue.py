@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,28 +10,14 @@ from vellumine.operators import agreement, curation, exports, graph, history, in
 from vellumine.params import CATEGORIES
 from vellumine.plans.bindings import ASSET_SQL, assets, table
 from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, SCORES
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from vellumine.plans.registry import QUERIES, SQL, Query, query
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -755,3 +739,7 @@ def preset_ids(spark: SparkSession, d: str) -> DataFrame:
 def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
     """How many settings a recipe writes, counted in its document."""
     return _recipes(spark, d).select("key", F.size(exports.settings_in(exports.metadata_packet())).alias("n"))
+
+
+# The other modules register their queries here too.
+from vellumine.plans import edits  # noqa: E402, F401
