@@ -742,4 +742,4 @@ def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries here too.
-from vellumine.plans import edits  # noqa: E402, F401
+from vellumine.plans import edits, learned  # noqa: E402, F401
