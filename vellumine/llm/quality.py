@@ -122,7 +122,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("text", "quality")
 
 
-def _sample_features(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _sample_features(sample: DataFrame) -> DataFrame:
+    """(quality, index, value): each row's features and their shares, packed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, offsets in text_slices(batches):
             words = Words(raw, offsets, fold=False)
@@ -139,9 +141,7 @@ def _sample_features(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarra
                 rows.append((np.concatenate(index).tobytes(), np.concatenate(value).tobytes()) if index else (b"", b""))
             yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["quality", "index", "value"])
 
-    rows = sample.mapInArrow(run, "quality int, index binary, value binary").collect()
-    rows.sort(key=lambda r: (bytes(r[1]), r[0]))
-    return [(int(r[0] > 0), np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows]
+    return sample.mapInArrow(run, "quality int, index binary, value binary")
 
 
 def _descend(index, value, row, y, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -180,9 +180,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(c)) if a > 0 else (1.0, 0.0)
 
 
-def fit(sample: DataFrame, penalty: float = 1e-6, rounds: int = 60) -> Model | None:
-    """The model of a bounded labelled sample, or None if a class is missing in it."""
-    rows = _sample_features(sample)
+def _fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], penalty: float, rounds: int) -> Model | None:
     y = np.array([q for q, _, _ in rows], dtype=np.int64)
     held = np.arange(len(rows)) % 4 == 3
     if len(rows) < 8 or len(set(y[~held].tolist())) < 2:
@@ -200,6 +198,20 @@ def fit(sample: DataFrame, penalty: float = 1e-6, rounds: int = 60) -> Model | N
     return Model(w.astype(np.float32), float(b), slope, shift)
 
 
+def fit(sample: DataFrame, penalty: float = 1e-6, rounds: int = 60) -> Model | None:
+    """The model of a bounded labelled sample, or None if a class is missing in it. One task gathers the sample and fits; the driver gets the weights alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = [(bytes(i), int(q > 0), bytes(v)) for batch in batches for q, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        packed.sort()
+        model = _fitted([(q, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, q, v in packed], penalty, rounds)
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([x]) for x in (model.bias, model.slope, model.shift))], ["weights", "bias", "slope", "shift"])
+
+    found = _sample_features(sample).repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").collect()  # one row of 2**BITS numbers
+    return Model(np.frombuffer(found[0][0], np.float32), *found[0][1:]) if found else None
+
+
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean"
 
 
