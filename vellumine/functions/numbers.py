@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp_score(value: Column) -> Column:
-    """0 to 100, rounded half to even, as a long."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(value.cast("double")))).cast("long")
+    """0 to 100, rounded half to even, as a long; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(value.cast("double"))))).cast("long")
 
 
 def clamp_or(value: Column, default: int) -> Column:

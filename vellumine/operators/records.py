@@ -237,12 +237,12 @@ def plain(text: Column) -> Column:
 
 def explanation(reasons: Column, fallback: Column) -> Column:
     """The first reason that a plain report shows."""
-    return F.coalesce(F.try_element_at(F.filter(F.transform(reasons, plain), lambda r: r != ""), F.lit(1)), fallback)
+    return F.coalesce(F.try_element_at(F.filter(F.transform(reasons, lambda r: plain(r)), lambda r: r != ""), F.lit(1)), fallback)
 
 
 def recommendations(steps: Column, most: int = 3) -> Column:
     """The first distinct steps, trimmed, without empty ones."""
-    return F.slice(F.array_distinct(F.filter(F.transform(steps, F.trim), lambda s: s != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(steps, lambda s: F.trim(s)), lambda s: s != "")), 1, most)
 
 
 def textbook(note: Column) -> Column:

@@ -120,6 +120,7 @@ def read_summary(df: DataFrame) -> Column:
     return F.when(F.col("status") != "completed", F.concat(F.lit("artistic: "), F.col("status"))).otherwise(F.concat(F.lit("artistic: "), first, F.lit(", confidence "), F.col("confidence").cast("string"), F.when(F.col("face_applies"), face).otherwise("")))
 
 
-def one_model(requests: DataFrame) -> DataFrame:
-    """(models, n_models, is_single) of a batch's requests, names in order."""
-    return requests.agg(F.array_sort(F.collect_set("model")).alias("m")).select(F.array_join("m", ",").alias("models"), F.size("m").cast("long").alias("n_models"), (F.size("m") <= 1).alias("is_single"))
+def one_model(requests: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, models, n_models, is_single) of each batch's requests, names in order: a batch may ask one model alone."""
+    models = requests.groupBy(batch).agg(F.array_sort(F.collect_set("model")).alias("m"))
+    return models.select(batch, F.array_join("m", ",").alias("models"), F.size("m").cast("long").alias("n_models"), (F.size("m") <= 1).alias("is_single"))
