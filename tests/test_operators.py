@@ -159,8 +159,9 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).first().t == "a; b"
     assert 'Rating="5"' in df.select(sinks.rating_sidecar(F.col("category"))).first()[0]
-    assert df.select(sinks.merged_rating(F.lit('<rdf:Description xmp:Rating="1" b="2"/>'), F.lit(3))).first()[0] == '<rdf:Description xmp:Rating="3" b="2"/>'
-    assert df.select(sinks.merged_rating(F.lit('<rdf:Description b="2"/>'), F.lit(3))).first()[0] == '<rdf:Description xmp:Rating="3" b="2"/>'
+    merged = lambda text, pile: df.select(sinks.merged_rating(F.lit(text), F.lit(pile))).first()[0]
+    assert merged('<rdf:Description xmlns:xmp="u" xmp:Rating = "1" b="2"/><rdf:Description xmp:Rating="4"/>', "NEEDS_DECISION") == '<rdf:Description xmp:Label="Purple" xmlns:xmp="u" xmp:Rating="3" b="2"/><rdf:Description xmp:Rating="4"/>'
+    assert merged('<rdf:Description b="$2"/>', "top") == '<rdf:Description xmp:Label="Yellow" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:Rating="5" b="$2"/>'
 
 
 def test_override_stream_keeps_the_last(spark, tmp_path):
@@ -171,12 +172,16 @@ def test_override_stream_keeps_the_last(spark, tmp_path):
     logs.latest_overrides(logs.log_stream(spark, str(log), schema), out, str(tmp_path / "cp")).awaitTermination()
     (log / "2.json").write_text('{"asset_id": "a", "route_class": "flagship", "decided_at": "2024-02-01"}\n')
     logs.latest_overrides(logs.log_stream(spark, str(log), schema), out, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.asset_id, r.route_class) for r in spark.read.parquet(f"{out}/version=1").collect()} == {("a", "flagship"), ("b", "review")}
+    assert spark.read.parquet(f"{out}/version=1").count() == 1
+    logs.compact_overrides(spark, out)
+    assert {(r.asset_id, r.route_class) for r in logs.current_overrides(spark, out).collect()} == {("a", "flagship"), ("b", "review")}
 
 
 def test_profiles():
-    assert abs(sum(params.PROFILES["stock-first"].shares().values()) - 1) < 1e-12
-    assert params.PROFILES["default-video"].threshold("stock_strong") == 64.0 and params.PROFILES["default-video"].threshold("nothing") == 0.0
+    assert abs(sum(params.PROFILES["stock-first"].parts.values()) - 1) < 1e-12
+    assert params.PROFILES["default-video"].limits["stock_strong"] == 64.0 and params.PROFILES["default-video"].limits["diversity_lambda"] == 0.65
+    assert params.fingerprint(params.chosen("stock-first")) == "stock-first@0.1.0-provisional+default-video@0.1.0-provisional"
+    assert params.chosen("default-video") == params.chosen(None) == params.chosen("nobody")
 
 
 def test_render_curves():
@@ -201,6 +206,8 @@ def test_file_operations(spark):
     assert {(r.group_id, r.source, r.ok) for r in quarantine.verified_groups(ops, states).collect()} == {("g", "a", False), ("g", "b", False), ("h", "a", True)}
     names = spark.createDataFrame([("/q/a.jpg", "1"), ("/q/a.jpg", "2"), ("/q/b", "3"), ("/q/b", "4")], "destination string, source string")
     assert [r.destination for r in quarantine.free_names(names).orderBy("source").collect()] == ["/q/a.jpg", "/q/a_1.jpg", "/q/b", "/q/b_1"]
+    met = spark.createDataFrame([("1", "a.jpg"), ("2", "a.jpg"), ("3", "a_1.jpg"), ("4", "a.jpg"), ("5", "a_1.jpg")], "source string, destination string")
+    assert [r.destination for r in quarantine.free_names(met).orderBy("source").collect()] == ["a.jpg", "a_3.jpg", "a_1.jpg", "a_2.jpg", "a_1_1.jpg"]
     seen = spark.createDataFrame([("a", ""), ("b", "keep")], "asset_id string, actual string")
     assert {tuple(r) for r in quarantine.resolved(seen, spark.createDataFrame([("a", "trash"), ("b", "trash")], "asset_id string, actual string")).collect()} == {("a", "trash"), ("b", "keep")}
 

@@ -134,7 +134,7 @@ def categorise(df: DataFrame, profile: params.Profile = params.PROFILES["default
         art = art + weight * _art(name)
     clears = F.coalesce(usable() & (_art("confidence") >= TOP_CONFIDENCE) & ~hero_blocked() & (clamp_score(art) >= TOP_FLOOR), F.lit(False))
     unsure = F.coalesce(usable() & (F.abs(c("final_score") - WEAK) <= BAND) & ((_art("uncertainty") >= UNSURE) | (portrait_verdict() == "review")), F.lit(False))
-    sells = c("present") & (c("stock_potential") >= profile.threshold("stock_standard"))
+    sells = c("present") & (c("stock_potential") >= profile.limits["stock_standard"])
     pile = F.when(c("worst_defect").isNotNull(), "WEAK").when((c("final_score") >= TOP) & clears, "TOP").when(c("final_score") < WEAK, "WEAK").when(unsure, "NEEDS_DECISION").when(sells, "GOOD_STOCK").otherwise("GOOD_PERSONAL")
     return df.withColumn("category", pile)
 

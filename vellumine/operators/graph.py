@@ -10,10 +10,13 @@ from vellumine.functions.vectors import HASH_BITS, hamming, hash_likeness
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the folder that the cluster names for checkpoints; a local one only where none is named."""
+    """The rows, kept in the folder that the cluster names for checkpoints; a local one only where none is named and all runs on one machine."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/vellumine-checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or "file:///tmp/vellumine-checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -134,5 +134,5 @@ def purgeable(evidence: Column, allowed: list[str]) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda x: x.isin(allowed))
 
 
-
-PURGE_EVIDENCE = [c for c in params.UNRECOVERABLE if c in ("corrupt_file", "encoding_corruption", "empty_frame", "no_usable_segment", "insufficient_resolution")]
+# Evidence on which files may be purged.
+PURGE_EVIDENCE = ["corrupt_file", "encoding_corruption", "empty_frame", "no_usable_segment", "insufficient_resolution"]

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 SCHEMA = "platform string, photo_min double, photo_max double, formats array<string>, video_min double, video_max double, ideal_min double, ideal_max double, min_width long, min_height long, containers array<string>, ai string, exclusive boolean"
 
-# Limits of eight platforms.
+# Limits of eight platforms by their ids, as checked on 2026-08-11; rule set 2026.08.11.
+NAMES = {"adobe_stock": "Adobe Stock", "shutterstock": "Shutterstock", "getty_istock": "Getty Images / iStock", "alamy": "Alamy", "pond5": "Pond5", "dreamstime": "Dreamstime", "depositphotos": "Depositphotos", "123rf": "123RF"}
 RULES = [
-    ("p1", 4.0, 100.0, ["JPEG"], 5.0, 60.0, 10.0, 20.0, 1920, 1080, ["mov", "mp4", "mpeg"], "accepted_with_label", False),
-    ("p2", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", False),
-    ("p3", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", True),
-    ("p4", 4.0, None, ["JPEG", "TIFF"], 5.0, 120.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", False),
-    ("p5", 4.0, None, ["JPEG"], 3.0, 600.0, None, None, 1280, 720, ["mov", "mp4", "mxf"], "accepted_with_label", False),
-    ("p6", 3.0, None, ["JPEG"], 5.0, 120.0, None, None, 1280, 720, ["mov", "mp4"], "accepted_with_label", False),
-    ("p7", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "accepted_with_label", False),
-    ("p8", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "accepted_with_label", False),
+    ("adobe_stock", 4.0, 100.0, ["JPEG"], 5.0, 60.0, 10.0, 20.0, 1920, 1080, ["mov", "mp4", "mpeg"], "accepted_with_label", False),
+    ("shutterstock", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", False),
+    ("getty_istock", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", True),
+    ("alamy", 4.0, None, ["JPEG", "TIFF"], 5.0, 120.0, None, None, 1920, 1080, ["mov", "mp4"], "rejected", False),
+    ("pond5", 4.0, None, ["JPEG"], 3.0, 600.0, None, None, 1280, 720, ["mov", "mp4", "mxf"], "accepted_with_label", False),
+    ("dreamstime", 3.0, None, ["JPEG"], 5.0, 120.0, None, None, 1280, 720, ["mov", "mp4"], "accepted_with_label", False),
+    ("depositphotos", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "accepted_with_label", False),
+    ("123rf", 4.0, None, ["JPEG"], 5.0, 60.0, None, None, 1920, 1080, ["mov", "mp4"], "accepted_with_label", False),
 ]
 
 

@@ -35,10 +35,29 @@ def restorable(log: DataFrame) -> DataFrame:
 
 
 def free_names(planned: DataFrame, name: str = "destination", order: str = "source") -> DataFrame:
-    """Planned names that meet get _1, _2 and so on before their suffix."""
+    """Planned names that meet get _1, _2 and so on before their suffix, until no two are equal, made ones and planned ones alike.
+
+    The first of equal names keeps it; `order` must be unique. Each round settles every name that nobody has; what is left goes on by one.
+    """
+    from vellumine.operators.graph import checkpointed
+
+    stem, suffix = F.regexp_replace("_base", r"\.[^./]*$", ""), F.regexp_extract("_base", r"(\.[^./]*)$", 1)
     n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    stem, suffix = F.regexp_replace(name, r"\.[^./]*$", ""), F.regexp_extract(name, r"(\.[^./]*)$", 1)
-    return planned.withColumn(name, F.when(n > 0, F.concat(stem, F.lit("_"), n.cast("string"), suffix)).otherwise(F.col(name)))
+    rows = checkpointed(planned.withColumn("_base", F.col(name)).withColumn("_n", n))
+    settled, open_ = rows.where("_n = 0"), rows.where("_n > 0")
+    while not open_.isEmpty():
+        tried = open_.withColumn(name, F.concat(stem, F.lit("_"), F.col("_n").cast("string"), suffix))
+        taken = settled.select(F.col(name).alias("_name"), F.lit(True).alias("_taken"))
+        first = F.row_number().over(Window.partitionBy(name).orderBy("_base", order))
+        tried = checkpointed(tried.withColumn("_first", first).join(taken, F.col(name) == F.col("_name"), "left").withColumn("_free", F.col("_taken").isNull() & (F.col("_first") == 1)))
+        keep = [c for c in rows.columns]
+        settled = checkpointed(settled.unionByName(tried.where("_free").select(*keep)))
+        # Those of one base that are left move on together, so that they don't meet each other.
+        step = tried.where("NOT _free").select(*keep)
+        most = tried.groupBy("_base").agg(F.max("_n").alias("_m"))
+        rank = F.row_number().over(Window.partitionBy("_base").orderBy("_n", order))
+        open_ = checkpointed(step.join(most, "_base").withColumn("_n", F.col("_m") + rank).select(*keep))
+    return settled.select(*planned.columns)
 
 
 def resolved(observations: DataFrame, truths: DataFrame, key: str = "asset_id") -> DataFrame:

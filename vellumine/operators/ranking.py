@@ -106,10 +106,16 @@ def repair_ranks(df: DataFrame, group: str = "group_id", value: str = "rank", pl
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """The rows with the average rank of their value (1 is least) among all rows, from counts of distinct values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    order = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("_c").over(order), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias(name))
-    return df.join(ranks, value)
+    from vellumine.operators.graph import checkpointed
+
+    # Ranges of values are summed apart and shifted by what lies before them, so that no task sees all values.
+    counts = df.groupBy(value).agg(F.count("*").alias("_c")).repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id())
+    counts = checkpointed(counts)
+    order = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each partition
+    ranks = counts.withColumn("_local", F.coalesce(F.sum("_c").over(order), F.lit(0))).join(F.broadcast(starts), "_part")
+    return df.join(ranks.select(value, (F.col("_start") + F.col("_local") + (F.col("_c") + 1) / 2.0).alias(name)), value)
 
 
 def spearman(df: DataFrame, x: str, y: str, degenerate: float = 0.0) -> DataFrame:

@@ -57,7 +57,7 @@ def score_dimensions(df: DataFrame, profile: params.Profile = params.PROFILES["d
     torn = (c("n_unrecoverable") > 0) & (c("n_fixable") > 0) & (c("n_partial") == 0)
     df = df.withColumn("confidence", clamp_score(sure - F.when(torn, 10.0).otherwise(0.0)))
     blend = F.lit(0.0)
-    for name, share in profile.shares().items():
+    for name, share in profile.parts.items():
         blend = blend + F.lit(share) * c(name)
     return df.withColumn("routing_score", clamp_score(blend))
 
@@ -67,7 +67,7 @@ def route_class(df: DataFrame, profile: params.Profile = params.PROFILES["defaul
 
     Besides the scores it reads flagship_selected and hero_blocked (boolean) and semantic_ran.
     """
-    c, t = F.col, profile.threshold
+    c, t = F.col, profile.limits.__getitem__
     low = c("post_edit_potential") < t("trash_potential")
     strong, standard = c("stock_potential") >= t("stock_strong"), c("stock_potential") >= t("stock_standard")
     rules = [
@@ -92,7 +92,7 @@ def route_class(df: DataFrame, profile: params.Profile = params.PROFILES["defaul
 
 def tags(df: DataFrame, profile: params.Profile = params.PROFILES["default-photo"]) -> DataFrame:
     """The rows with `tags`, joined by commas in a fixed order."""
-    c, t = F.col, profile.threshold
+    c, t = F.col, profile.limits.__getitem__
     each = [
         F.lit("commercial_ok"), F.when(c("is_best"), "best_in_cluster").otherwise("weaker_duplicate"), F.when(c("route_class") == "flagship", "portfolio"),
         F.when(c("route_class").isin("stock_standard", "stock_strong") & (c("stock_potential") < t("stock_strong")), "low_stock_demand"),
@@ -114,4 +114,4 @@ def strengths(df: DataFrame) -> DataFrame:
 
 def flagship_eligible(df: DataFrame, profile: params.Profile = params.PROFILES["default-photo"]) -> DataFrame:
     """Rows over both absolute floors."""
-    return df.where((F.col("portfolio_potential") >= profile.threshold("flagship_portfolio")) & (F.col("post_edit_potential") >= profile.threshold("flagship_potential_floor")))
+    return df.where((F.col("portfolio_potential") >= profile.limits["flagship_portfolio"]) & (F.col("post_edit_potential") >= profile.limits["flagship_potential_floor"]))

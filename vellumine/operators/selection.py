@@ -10,7 +10,7 @@ from vellumine import params
 
 def flagship_quota(df: DataFrame, profile: params.Profile = params.PROFILES["default-photo"]) -> DataFrame:
     """(candidates, quota): a share of all rows rounded half to even, between 1 and a most."""
-    share, most = profile.threshold("flagship_top_fraction"), profile.threshold("flagship_max_total")
+    share, most = profile.limits["flagship_top_fraction"], profile.limits["flagship_max_total"]
     return df.agg(F.count("*").alias("candidates")).select("candidates", F.greatest(F.lit(1.0), F.least(F.lit(most), F.bround(F.col("candidates") * share))).cast("long").alias("quota"))
 
 

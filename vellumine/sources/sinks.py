@@ -47,12 +47,33 @@ def rating_sidecar(category: Column) -> Column:
     return F.concat(F.lit(head), stars.cast("string"), F.lit('" xmp:Label="'), category, F.lit('"/></rdf:RDF></x:xmpmeta>'))
 
 
-def merged_rating(existing: Column, stars: Column) -> Column:
-    """An existing sidecar with its rating replaced, or put into its first description; all else stays."""
-    attribute = F.concat(F.lit('xmp:Rating="'), stars.cast("string"), F.lit('"'))
-    replaced = F.regexp_replace(existing, F.lit(r'xmp:Rating="[^"]*"'), attribute)
-    inserted = F.regexp_replace(existing, F.lit(r"<rdf:Description(?=[\s/>])"), F.concat(F.lit("<rdf:Description "), attribute))
-    return F.when(existing.contains('xmp:Rating="'), replaced).otherwise(inserted)
+# Labels by pile, and the namespace that ratings are in.
+LABELS = {"TOP": "Yellow", "GOOD_STOCK": "Green", "GOOD_PERSONAL": "Blue", "NEEDS_DECISION": "Purple", "WEAK": "Red"}
+XMP = 'xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
+
+
+def with_attribute(document: Column, key: str, value: Column) -> Column:
+    """A document whose first attribute of a key has the value; without one, its first description gets it, and the namespace if that isn't declared."""
+    value = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    attribute = F.concat(F.lit(f'{key}="'), value, F.lit('"'))
+    # Anchored at the start, a pattern meets its first place alone; a text between quotes has neither backslash nor dollar sign after this.
+    put = F.regexp_replace(attribute, r"([\\\\$])", r"\\\\$1")
+    there = rf'\A([\s\S]*?){key}\s*=\s*"[^"]*"'
+    declared = F.when(F.contains(document, F.lit("xmlns:xmp=")), F.lit("")).otherwise(F.lit(XMP + " "))
+    inserted = F.regexp_replace(document, F.lit(r"\A([\s\S]*?<rdf:Description)(?=[\s/>])"), F.concat(F.lit("$1 "), declared, put))
+    return F.when(document.rlike(there), F.regexp_replace(document, F.lit(there), F.concat(F.lit("$1"), put))).otherwise(inserted)
+
+
+def merged_rating(existing: Column, category: Column) -> Column:
+    """An existing sidecar with a pile's stars and label in place of its first ones, or in its first description; all else stays."""
+    of = lambda table, other: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.upper(F.coalesce(category, F.lit("")))), F.lit(other))
+    return with_attribute(with_attribute(existing, "xmp:Rating", of(STARS, 0).cast("string")), "xmp:Label", of(LABELS, ""))
+
+
+def plan_ratings(records: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(key, exists, document): what each record's sidecar would hold, from (key, category) and the existing (key, document)."""
+    j = records.join(sidecars.select("key", F.col("document").alias("_d")), "key", "left")
+    return j.select("key", F.col("_d").isNotNull().alias("exists"), F.when(F.col("_d").isNull(), rating_sidecar(F.col("category"))).otherwise(merged_rating(F.col("_d"), F.col("category"))).alias("document"))
 
 
 def write_texts(df: DataFrame, path: str, text: str) -> None:

@@ -19,17 +19,28 @@ def unfamiliar_by_window(observations: DataFrame, window: str = "1 hour", late:
     return w.select(F.col("window.start").alias("start"), "n", "unfamiliar")
 
 
+def _last(rows: DataFrame, key: str, at: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("r")).select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in rows.columns))
+
+
 def latest_overrides(stream: DataFrame, target: str, checkpoint: str, key: str = "asset_id", at: str = "decided_at") -> StreamingQuery:
-    """Keep the last override of each asset: every batch is merged with the table written before, and put in its place as a new version.
+    """Keep the last override of each asset: every batch writes its own last ones as a version, which `current_overrides` puts over the earlier ones.
 
-    A batch that runs again after a failure writes the same version again.
+    A batch writes no more than it read, and one that runs again after a failure writes the same version again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/version={number - 1}"))
-        rest = [c for c in rows.columns if c != key]
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in rest))
-        last.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
+        _last(batch, key, at).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_overrides(spark: SparkSession, target: str, key: str = "asset_id", at: str = "decided_at") -> DataFrame:
+    """The last override of each asset over all versions."""
+    return _last(spark.read.parquet(target).drop("version"), key, at)
+
+
+def compact_overrides(spark: SparkSession, target: str, key: str = "asset_id", at: str = "decided_at") -> None:
+    """Write the last overrides once more as a version before all others, so that earlier ones may be removed. Not while the stream runs."""
+    current_overrides(spark, target, key, at).write.mode("overwrite").parquet(f"{target}/version=-1")
