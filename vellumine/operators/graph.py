@@ -32,8 +32,10 @@ def hamming_pairs(df: DataFrame, key: str, code: str, radius: int) -> DataFrame:
     """(a, b, distance) with a < b for all pairs of distinct keys within the radius: an equi-join on bands, then the exact distance.
 
     Each pair is made once, at the first band that it shares, so that no duplicates are shuffled away.
-    Wide radii leave few bits in a band and so long lists; the join is meant for radii up to a sixth of the bits.
+    Wide radii leave few bits in a band and so long lists; those over a sixth of the bits are refused.
     """
+    if not 0 <= radius <= HASH_BITS // 6:
+        raise ValueError(f"the radius must be from 0 to {HASH_BITS // 6}")
     side = df.where(F.col(code).isNotNull()).select(F.col(key).alias("k"), F.col(code).alias("c")).select("k", "c", bands(F.col("c"), radius).alias("x")).select("k", "c", "x.band", "x.bits")
     a, b = side.select(F.col("k").alias("a"), F.col("c").alias("ca"), "band", "bits"), side.select(F.col("k").alias("b"), F.col("c").alias("cb"), "band", "bits")
     n = min(radius + 1, HASH_BITS)

@@ -9,7 +9,7 @@ from vellumine.functions import numbers, text, vectors
 from vellumine.operators import agreement, curation, exports, graph, history, intent, kernels, media, platforms, provider, quarantine, ranking, reporting, scoring, selection
 from vellumine.params import CATEGORIES
 from vellumine.plans.bindings import ASSET_SQL, assets, table
-from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, SCORES
+from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, HASH, HASHES, SCORES
 from vellumine.plans.registry import QUERIES, SQL, Query, query
 
 def queries() -> dict[str, Query]:
@@ -36,6 +36,14 @@ def coded(spark: SparkSession, d: str) -> DataFrame:
     return assets(spark, d).withColumn("code", vectors.sign_code(F.col("vector")))
 
 
+def hashed(spark: SparkSession, d: str) -> DataFrame:
+    """The assets with `code`: runs of three frames whose hashes are a bit or two apart."""
+    run = F.floor(F.col("key") / 3)
+    bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), (place % 61).cast("int"))
+    flips = F.when(F.col("key") % 3 > 0, bit(run)).otherwise(F.lit(0).cast("long")).bitwiseXOR(F.when(F.col("key") % 3 == 2, bit(run * 7 + 5)).otherwise(F.lit(0).cast("long")))
+    return assets(spark, d).withColumn("code", F.expr(HASH).bitwiseXOR(flips))
+
+
 def human_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(pile, score): labelled documents as rated frames."""
     pile = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "top").when(F.col("quality") == 1, "good").otherwise("weak")
@@ -128,21 +136,26 @@ def xmp_value_extract(spark: SparkSession, d: str) -> DataFrame:
 
 # --- likeness, clusters, bursts -------------------------------------------------------------------
 
-RADIUS = 18
-_PAIRS = f"{CODES}, Q AS (SELECT x.key AS a, y.key AS b, CAST(bit_count(xor(x.code, y.code)) AS BIGINT) AS distance, x.genre = y.genre AS same_genre, x.vector AS vx, y.vector AS vy FROM H x JOIN H y ON x.key < y.key WHERE bit_count(xor(x.code, y.code)) <= {RADIUS})"
+RADIUS = 8
+_PAIRS = f"{HASHES}, Q AS (SELECT x.key AS a, y.key AS b, CAST(bit_count(xor(x.code, y.code)) AS BIGINT) AS distance, x.genre = y.genre AS same_genre, x.vector AS vx, y.vector AS vy FROM H x JOIN H y ON x.key < y.key WHERE bit_count(xor(x.code, y.code)) <= {RADIUS})"
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, distance, round_even(1 - distance / 64.0::DOUBLE, 4) AS likeness FROM Q")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.hamming_pairs(coded(spark, d), "key", "code", RADIUS).select("a", "b", "distance", F.bround(1 - F.col("distance") / F.lit(64.0), 4).alias("likeness"))
+    return graph.hamming_pairs(hashed(spark, d), "key", "code", RADIUS).select("a", "b", "distance", F.bround(1 - F.col("distance") / F.lit(64.0), 4).alias("likeness"))
 
 
 def _pair_facts(spark: SparkSession, d: str) -> DataFrame:
-    df = coded(spark, d).select("key", "code", "genre", "vector")
+    df = hashed(spark, d).select("key", "code", "genre", "vector")
     x, y = (df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns)) for s in "ab")
     return graph.hamming_pairs(df, "key", "code", RADIUS).join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b"))
 
 
+@query(f"WITH {CODES} SELECT key, code FROM H")
+def sign_codes(spark: SparkSession, d: str) -> DataFrame:
+    return coded(spark, d).select("key", "code")
+
+
 @query(f"WITH {_PAIRS} SELECT a, b, round_even(least(1.0::DOUBLE, round_even(1 - distance / 64.0::DOUBLE, 4) + CASE WHEN same_genre THEN 0.12::DOUBLE ELSE 0.0 END), 4) AS likeness FROM Q")
 def visual_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _pair_facts(spark, d).select("a", "b", vectors.visual_likeness(F.col("code_a"), F.col("code_b"), F.col("genre_a") == F.col("genre_b")).alias("likeness"))
@@ -155,14 +168,14 @@ def embedding_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _pair_facts(spark, d).withColumn("cosine", cos).select("a", "b", "cosine", vectors.embedding_likeness(F.col("cosine"), F.col("genre_a") == F.col("genre_b")).alias("likeness"))
 
 
-_CLUSTERS = f"""{CODES}, L AS (SELECT x.key AS a, y.key AS b FROM H x JOIN H y ON x.key <> y.key WHERE bit_count(xor(x.code, y.code)) <= {RADIUS} AND NOT (abs(epoch_us(x.shot) - epoch_us(y.shot)) / 1e6 > 86400)),
+_CLUSTERS = f"""{HASHES}, L AS (SELECT x.key AS a, y.key AS b FROM H x JOIN H y ON x.key <> y.key WHERE bit_count(xor(x.code, y.code)) <= {RADIUS} AND NOT (abs(epoch_us(x.shot) - epoch_us(y.shot)) / 1e6 > 86400)),
   W AS (SELECT key AS v, key AS r FROM H UNION SELECT L.b, W.r FROM W JOIN L ON L.a = W.v), M AS (SELECT v, min(r) AS root FROM W GROUP BY v),
   B AS (SELECT root, arg_max(key, struct_pack(q := quality, k := key)) AS w, arg_max(code, struct_pack(q := quality, k := key)) AS wc, max(quality) AS wq, count(*) AS n FROM M JOIN H ON H.key = M.v GROUP BY root)"""
 
 
 @query(f"""WITH RECURSIVE {_CLUSTERS} SELECT v AS key, w AS cluster_id, n AS cluster_size, w = v AS is_best, CASE WHEN w = v THEN 0.0::DOUBLE ELSE round_even(1 - bit_count(xor(code, wc)) / 64.0::DOUBLE, 4) END AS similarity, round_even(wq - quality, 2) AS margin FROM M JOIN H ON H.key = M.v JOIN B USING (root)""")
 def near_duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return graph.scene_clusters(coded(spark, d), "key", "code", "quality", "shot", RADIUS, 86_400.0)
+    return graph.scene_clusters(hashed(spark, d), "key", "code", "quality", "shot", RADIUS, 86_400.0)
 
 
 _BURST = "Z AS (SELECT event_id, user_id, ts, CAST(event_id * 2654435761 % 4096 AS BIGINT) AS code FROM events), Y AS (SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 <= 3600 AND bit_count(xor(code, lag(code) OVER w)) <= 6 THEN 0 ELSE 1 END AS nw FROM Z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
@@ -230,7 +243,15 @@ def pairwise_wins(spark: SparkSession, d: str) -> DataFrame:
     return ranking.pairwise_wins(_ranked(spark, d))
 
 
-@query()
+#: Sixty steps: each item's wins and meetings by the strengths before, then divided by their axis's mean.
+_BT = f"""WITH RECURSIVE {ASSET_SQL}, T AS (SELECT CAST(key % 3 AS VARCHAR) AS axis, key // 36 AS g, key AS item, quality FROM A), W AS (SELECT x.axis, x.item AS winner, y.item AS loser FROM T x JOIN T y ON x.axis = y.axis AND x.g = y.g AND x.quality > y.quality),
+  E AS (SELECT axis, winner AS i, loser AS j, 1 AS won, 1 AS met FROM W UNION ALL SELECT axis, loser, winner, 0, 1 FROM W),
+  Z AS (SELECT 0 AS step, axis, i AS item, 1.0::DOUBLE AS s FROM (SELECT DISTINCT axis, i FROM E)
+    UNION ALL SELECT step + 1, axis, item, r / avg(r) OVER (PARTITION BY axis) FROM (SELECT a.step, E.axis, E.i AS item, (sum(E.won) + 0.5::DOUBLE) / (sum(E.met / (a.s + b.s)) + 0.5::DOUBLE) AS r FROM E JOIN Z a ON a.axis = E.axis AND a.item = E.i JOIN Z b ON b.axis = E.axis AND b.item = E.j WHERE a.step < 60 GROUP BY a.step, E.axis, E.i))
+  SELECT axis, item, round_even(s, 6) AS strength FROM Z WHERE step = 60"""
+
+
+@query(_BT)
 def bradley_terry_strength(spark: SparkSession, d: str) -> DataFrame:
     """Strengths on three axes of some hundred assets each, a kernel an axis."""
     df = assets(spark, d).select((F.col("key") % 3).cast("string").alias("axis"), F.floor(F.col("key") / 36).alias("g"), F.col("key").alias("item"), "quality")
@@ -344,7 +365,16 @@ def strongest_per_genre(spark: SparkSession, d: str) -> DataFrame:
     return selection.strongest_per_genre(scored(spark, d).withColumn("relevance", F.col("portfolio_potential")))
 
 
-@query()
+#: Every step carries all candidates with their likeness to the nearest pick, and marks the best one that is free.
+_MMR = f"""WITH RECURSIVE {SCORES}, V AS (SELECT key, genre, portfolio_potential AS rel, CAST(vector AS DOUBLE[]) AS v FROM S), U AS (SELECT key, genre, rel, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM V),
+  M AS (SELECT 0 AS step, key, genre, rel, u, 0.0::DOUBLE AS worst, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS near FROM U
+    UNION ALL SELECT m.step + 1, m.key, m.genre, m.rel, m.u, CASE WHEN m.pick IS NULL THEN greatest(m.worst, round_even(least(1.0::DOUBLE, greatest(0.0, least(1.0, (list_dot_product(m.u, b.u) - 0.55::DOUBLE) / (1 - 0.55::DOUBLE))) + CASE WHEN m.genre = b.genre THEN 0.12::DOUBLE ELSE 0.0 END), 4)) ELSE m.worst END,
+      CASE WHEN m.key = b.key THEN m.step + 1 ELSE m.pick END, CASE WHEN m.key = b.key THEN b.value ELSE m.score END, CASE WHEN m.key = b.key THEN b.worst ELSE m.near END
+    FROM M m, (SELECT *, 0.65::DOUBLE * (rel / 100.0::DOUBLE) - (1 - 0.65::DOUBLE) * worst AS value FROM M WHERE pick IS NULL AND genre NOT IN (SELECT genre FROM M WHERE pick IS NOT NULL GROUP BY genre HAVING count(*) >= 5) ORDER BY value DESC, key LIMIT 1) b WHERE m.step < 30)
+  SELECT key, pick, round_even(score, 6) AS score, round_even(near, 4) AS redundancy FROM M WHERE step = (SELECT max(step) FROM M) AND pick IS NOT NULL"""
+
+
+@query(_MMR)
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     """Thirty diverse picks, five of a genre at most."""
     return selection.select_diverse(scored(spark, d).withColumn("relevance", F.col("portfolio_potential")), 30, 0.65, 5)
@@ -620,7 +650,17 @@ def purge_gate(spark: SparkSession, d: str) -> DataFrame:
 # --- kernels --------------------------------------------------------------------------------------
 
 
-@query()
+#: Cells of 8 x 8 pictures; a Gaussian of 13 weights along both sides, edges repeated; the Laplacian inside.
+_lap = lambda t: f"(SELECT a.key, var_pop(u.v + d.v + l.v + r.v - 4 * a.v) AS s FROM {t} a JOIN {t} u ON u.key = a.key AND u.x = a.x AND u.y = a.y - 1 JOIN {t} d ON d.key = a.key AND d.x = a.x AND d.y = a.y + 1 JOIN {t} l ON l.key = a.key AND l.y = a.y AND l.x = a.x - 1 JOIN {t} r ON r.key = a.key AND r.y = a.y AND r.x = a.x + 1 WHERE a.x BETWEEN 1 AND 6 AND a.y BETWEEN 1 AND 6 GROUP BY a.key)"
+_IMAGE = f"""WITH C AS (SELECT vec_id AS key, i // 8 AS y, i % 8 AS x, least(255.0::DOUBLE, greatest(0.0, 128.0::DOUBLE + CAST(embedding[i + 1] AS DOUBLE) * 300)) AS v FROM embeddings, range(64) t(i)),
+  W AS (SELECT o, exp(-0.5::DOUBLE * (o / 2.0::DOUBLE) ** 2) AS e FROM range(-6, 7) t(o)), G AS (SELECT o, e / sum(e) OVER () AS w FROM W),
+  B1 AS (SELECT c.key, n.y, c.x, sum(G.w * c.v) AS v FROM range(8) n(y), G, C c WHERE c.y = least(7, greatest(0, n.y + G.o)) GROUP BY 1, 2, 3), B2 AS (SELECT c.key, c.y, n.x, sum(G.w * c.v) AS v FROM range(8) n(x), G, B1 c WHERE c.x = least(7, greatest(0, n.x + G.o)) GROUP BY 1, 2, 3),
+  L AS (SELECT key, s AS sharp FROM {_lap("C")}), K AS (SELECT key, s AS soft FROM {_lap("B2")}), T AS (SELECT key, avg(v) AS m, stddev_pop(v) AS d, avg(CASE WHEN v >= 253 OR v <= 2 THEN 1.0::DOUBLE ELSE 0.0 END) AS c FROM C GROUP BY key)
+  SELECT key, round_even(sharp, 6) AS sharpness, round_even(CASE WHEN soft > 1e-12 THEN sharp / soft ELSE 0.0 END, 6) AS blur_ratio, 0.0::DOUBLE AS sharpest_tile, round_even(m, 6) AS mean_luma, round_even(d, 6) AS stddev_luma, round_even(c, 6) AS clipped,
+    round_even((0.36::DOUBLE * 100 * exp(-(((m - 118.0::DOUBLE) / 45.0::DOUBLE) ** 2)) + 0.28::DOUBLE * 100 * least(1.0, greatest(0.0, (d - 25.0::DOUBLE) / 55.0::DOUBLE)) + 0.36::DOUBLE * least(100.0, greatest(0.0, 42.0::DOUBLE * log10(greatest(sharp, 1e-6)) - 59.5::DOUBLE + 42.0::DOUBLE))) * greatest(0.4::DOUBLE, 1 - 3 * c), 2) AS quality FROM L JOIN K USING (key) JOIN T USING (key)"""
+
+
+@query(_IMAGE)
 def image_measures(spark: SparkSession, d: str) -> DataFrame:
     """Sharpness, blur and quality of the vectors as 8 x 8 pictures."""
     pixels = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.lit(128.0) + x.cast("double") * 300)))

@@ -56,3 +56,7 @@ K AS (SELECT *, CASE WHEN worst_defect IS NOT NULL THEN 'WEAK' WHEN final_score
 
 #: 64-bit sign codes of the vectors.
 CODES = ASSET_SQL + ", H AS (SELECT *, " + " | ".join(f"(CASE WHEN vector[{i + 1}] > 0 THEN {f'(1::BIGINT << {i})' if i < 63 else '(-9223372036854775807 - 1)'} ELSE 0 END)" for i in range(64)) + " AS code FROM A)"
+
+#: 64-bit hashes as a camera's frames have them: runs of three, the second one bit from the first and the third two.
+HASH = """(((CAST(floor(key / 3) AS BIGINT) * 2654435761) % 2147483647) * 4294967296 + (CAST(floor(key / 3) AS BIGINT) * 2797491607 + 12345) % 4294967291)"""
+HASHES = ASSET_SQL + f", H AS (SELECT *, xor(xor({HASH}, CASE WHEN key % 3 > 0 THEN 1::BIGINT << CAST(key // 3 % 61 AS INTEGER) ELSE 0 END), CASE WHEN key % 3 = 2 THEN 1::BIGINT << CAST((key // 3 * 7 + 5) % 61 AS INTEGER) ELSE 0 END) AS code FROM A)"
