@@ -115,3 +115,9 @@ def strengths(df: DataFrame) -> DataFrame:
 def flagship_eligible(df: DataFrame, profile: params.Profile = params.PROFILES["default-photo"]) -> DataFrame:
     """Rows over both absolute floors."""
     return df.where((F.col("portfolio_potential") >= profile.limits["flagship_portfolio"]) & (F.col("post_edit_potential") >= profile.limits["flagship_potential_floor"]))
+
+
+def reclassified(stored: DataFrame, profiles: dict[str, params.Profile], kind: str = "kind") -> DataFrame:
+    """Stored rows with their class under other profiles, each kind by its own, and whether it `changed` from `previous`. Nothing is measured again."""
+    photo, video = (route_class(stored.where(rule), profiles[name]) for name, rule in (("photo", F.col(kind) != "video"), ("video", F.col(kind) == "video")))
+    return photo.unionByName(video).withColumn("changed", F.col("route_class") != F.col("previous"))
