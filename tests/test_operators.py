@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumine import params
 from vellumine.functions import numbers, text, vectors
-from vellumine.operators import agreement, curation, graph, history, kernels, ranking, selection
+from vellumine.operators import agreement, clips, curation, graph, history, kernels, ranking, selection
 from vellumine.sources import readers, sinks
 from vellumine.streaming import logs
 
@@ -195,6 +195,30 @@ def test_render_curves():
     assert kernels.channel_percentiles(np.full((8, 8), 50.0), 100.0)["headroom"] == 1.0
 
 
+def test_pictures():
+    rng = np.random.default_rng(4)
+    flat = np.full((1, 64, 64), 100.0)
+    grain = flat + rng.normal(0, 5, flat.shape)
+    assert kernels.noise(flat)[0] == 0 and 3 < kernels.noise(grain)[0] < 7 and kernels.noise(np.ones((2, 8, 8))).tolist() == [0, 0]
+    slow = [np.median(np.floor(np.pad(grain[0], 1, mode="edge"))[i : i + 3, j : j + 3]) for i in range(64) for j in range(64)]
+    assert np.allclose(kernels._median3(np.floor(grain))[0].ravel(), slow)
+    lines = np.tile(rng.uniform(0, 255, 64), (64, 1))[None]
+    share, angle = kernels.anisotropy(np.concatenate([lines, lines.transpose(0, 2, 1), flat]))
+    assert share[0] > 0.9 and share[1] > 0.9 and share[2] == 0 and angle.tolist() == [0.0, 90.0, 0.0]
+
+
+def test_burst_motion(spark):
+    rng = np.random.default_rng(8)
+    base = rng.uniform(0, 255, (32, 32))
+    pan = [np.roll(base, (0, 3 * i), (0, 1)).ravel().tolist() for i in range(4)]
+    still = [base.ravel().tolist()] * 3
+    leaning = np.concatenate([base[:16], np.roll(base[16:], 2, axis=1)])
+    df = spark.createDataFrame([(1, 0, 32, 32, pan), (1, 1, 32, 32, still), (2, 0, 32, 32, [base.ravel().tolist(), leaning.ravel().tolist()]), (3, 0, 32, 32, [still[0]]), (4, 0, 32, 32, None)], "clip int, burst int, height int, width int, frames array<array<double>>")
+    pairs = kernels.burst_motion(df)
+    worst = {r.clip: r for r in clips.combined_motion(clips.motion(pairs)).collect()}
+    assert set(worst) == {1, 2} and (worst[1].pan, worst[1].jitter, worst[1].frozen, worst[1].movement) == (3.0, 0.0, 2, "pan or tilt") and worst[2].shear == 2.0
+
+
 def test_file_operations(spark):
     from vellumine.operators import quarantine
 

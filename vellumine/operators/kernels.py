@@ -96,25 +96,27 @@ def measure(df: DataFrame, key: str = "key") -> DataFrame:
     return df.select(key, "height", "width", "pixels").mapInPandas(run, schema)
 
 
-# Render curves over display values from 0 to 1; amounts from -100 to 100.
-HIGHLIGHT_PIVOT, SHADOW_PIVOT = 0.72, 0.28
+# Render curves over display values from 0 to 1; amounts from -100 to 100. `tones` has them as column expressions.
+# Where highlights begin and shadows end, and how strong either curve is.
+HIGHLIGHT_PIVOT, SHADOW_PIVOT, HIGHLIGHT_GAIN, SHADOW_GAIN = 0.72, 0.28, 0.9, 0.8
 
 
 def highlights(display: np.ndarray, amount: float) -> np.ndarray:
-    """Values above the pivot drawn towards it (negative) or away, more the further above they are."""
-    mask = np.clip((display - HIGHLIGHT_PIVOT) / (1 - HIGHLIGHT_PIVOT), 0, 1)
-    return np.clip(display + mask * amount / 100 * (display - HIGHLIGHT_PIVOT), 0, 1)
+    """Values above the pivot moved towards white (positive) or away, more the further above they are and the further from white."""
+    above = np.clip((display - HIGHLIGHT_PIVOT) / (1 - HIGHLIGHT_PIVOT), 0, 1)
+    return np.clip(display + above * (1 - display) * HIGHLIGHT_GAIN * amount / 100, 0, 1)
 
 
 def shadows(display: np.ndarray, amount: float) -> np.ndarray:
     """Values below the pivot lifted (positive) or lowered, more the further below they are."""
-    mask = np.clip((SHADOW_PIVOT - display) / SHADOW_PIVOT, 0, 1)
-    return np.clip(display + mask * amount / 100 * (SHADOW_PIVOT - display), 0, 1)
+    depth = np.maximum(SHADOW_PIVOT - display, 0)
+    return np.clip(display + np.minimum(depth / SHADOW_PIVOT, 1) * depth * SHADOW_GAIN * amount / 100, 0, 1)
 
 
 def contrast(display: np.ndarray, amount: float) -> np.ndarray:
-    """An S-curve through the middle that leaves both ends in place."""
-    return np.clip(display + amount / 100 * 0.5 * np.sin(2 * np.pi * (display - 0.5)) / (2 * np.pi) * 2, 0, 1)
+    """A curve through the middle that leaves both ends in place."""
+    off = display - 0.5
+    return np.clip(display + off * (1 - 2 * np.abs(off)) * amount / 100, 0, 1)
 
 
 def exposure(rgb: np.ndarray, ev: float, gamma: float = 2.2) -> np.ndarray:
@@ -139,3 +141,58 @@ def channel_percentiles(plane: np.ndarray, white: float, margin: float = 0.995)
     """A sensor channel's p01, p50, p99, p99.9, largest value and clipped share, and the headroom over p99.9 in stops."""
     p = np.percentile(plane, [1, 50, 99, 99.9])
     return dict(zip(("p01", "p50", "p99", "p999"), map(float, p), strict=True)) | {"max": float(plane.max()), "clipped": float((plane >= white * margin).mean()), "headroom": float(np.log2(white / max(p[3], 1e-6)))}
+
+
+def burst_motion(df: DataFrame) -> DataFrame:
+    """(clip, burst, pair, dx, dy, shear, difference) of neighbouring frames of (clip, burst, height, width, frames), frames being flat arrays of light in order.
+
+    Movement is that of the phase correlation, shear the difference between the sideways movements of the upper and the lower half (0 for
+    halves of fewer than 8 lines). Bursts are a few small frames, one row each; those of fewer than two frames give no rows.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                if row.frames is None or len(row.frames) < 2:
+                    continue
+                stack = np.stack([np.asarray(f, dtype=float).reshape(row.height, row.width) for f in row.frames])
+                a, b = stack[:-1], stack[1:]
+                moved, half = phase_shift(a, b), row.height // 2
+                shear = np.abs(phase_shift(a[:, :half], b[:, :half])[:, 1] - phase_shift(a[:, half:], b[:, half:])[:, 1]) if half >= 8 else np.zeros(len(a))
+                differ = np.abs(a - b).mean(axis=(1, 2))
+                out += [(row.clip, row.burst, i, float(moved[i, 1]), float(moved[i, 0]), float(shear[i]), round(float(differ[i]), 6)) for i in range(len(a))]
+            yield pd.DataFrame(out, columns=["clip", "burst", "pair", "dx", "dy", "shear", "difference"])
+
+    return df.select("clip", "burst", "height", "width", "frames").mapInPandas(run, f"clip {kinds['clip']}, burst {kinds['burst']}, pair int, dx double, dy double, shear double, difference double")
+
+
+def _median3(stack: np.ndarray) -> np.ndarray:
+    """The median of each 3 x 3 neighbourhood, edges repeated."""
+    wide = np.pad(stack, ((0, 0), (1, 1), (1, 1)), mode="edge")
+    h, w = stack.shape[1:]
+    return np.median(np.stack([wide[:, i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0)
+
+
+def noise(stack: np.ndarray, tiles: int = 4) -> np.ndarray:
+    """What whole light values differ from their median by, in the quietest third of the tiles; 0 for pictures under 16 pixels a side."""
+    n, h, w = stack.shape
+    if min(h, w) < 16:
+        return np.zeros(n)
+    rest = stack - _median3(np.floor(stack))
+    spread = np.stack([rest[:, i * h // tiles : (i + 1) * h // tiles, j * w // tiles : (j + 1) * w // tiles].std(axis=(1, 2)) for i in range(tiles) for j in range(tiles)], axis=1)
+    return np.round(np.sort(spread, axis=1)[:, : max(1, tiles * tiles // 3)].mean(axis=1), 3)
+
+
+def anisotropy(stack: np.ndarray, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """How much more detail one direction has than the other (0 to 1), and the direction of the blur in degrees; 0 for small and flat pictures."""
+    n, h, w = stack.shape
+    if min(h, w) < 16:
+        return np.zeros(n), np.zeros(n)
+    soft = np.floor(blurred(np.floor(np.clip(stack, 0, 255)), sigma) + 0.5)
+    gy, gx = soft[:, 2:, 1:-1] - soft[:, :-2, 1:-1], soft[:, 1:-1, 2:] - soft[:, 1:-1, :-2]
+    across, down = np.diff(gx, axis=2).var(axis=(1, 2)), np.diff(gy, axis=1).var(axis=(1, 2))
+    total = across + down
+    share = np.divide(np.abs(across - down), total, out=np.zeros(n), where=total > 1e-9)
+    return np.round(share, 4), np.where((across >= down) | (total <= 1e-9), 0.0, 90.0)

@@ -782,4 +782,4 @@ def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries here too.
-from vellumine.plans import edits, learned, parsed, stored, written  # noqa: E402, F401
+from vellumine.plans import edits, learned, parsed, stored, toned, written  # noqa: E402, F401
