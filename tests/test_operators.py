@@ -126,8 +126,8 @@ def test_repetitions(spark):
 
 
 def test_texts(spark):
-    df = spark.createDataFrame([("a password=abc123, sk-abcdefghij Bearer abcdefgh1",)], "t string")
-    assert df.select(text.redact(F.col("t"))).first()[0] == "a [REDACTED], [REDACTED] [REDACTED]"
+    df = spark.createDataFrame([("a password=abc123 sk-abcdefghijklmnop1 https://u:p@h/ ghp_abcdefghij0123456789 sk-short",)], "t string")
+    assert df.select(text.redact(F.col("t"))).first()[0] == "a [REDACTED] [REDACTED] [REDACTED]h/ [REDACTED] sk-short"
     got = df.select(numbers.parse_ratio(F.lit("30000/1001")), numbers.parse_ratio(F.lit("1/0")), numbers.parse_ratio(F.lit("x"))).first()
     assert tuple(got) == (29.97, 0.0, 0.0)
 

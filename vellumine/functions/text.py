@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 REDACTED = "[REDACTED]"
 # Forms of credentials.
 CREDENTIALS = [
-    r"sk-[A-Za-z0-9_-]{8,}",
-    r"Bearer\s+[A-Za-z0-9._-]{8,}",
-    r"AKIA[A-Z0-9]{12,}",
-    r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[^\s,;]+",
+    r"sk-[A-Za-z0-9_\-]{16,}",
+    r"xai-[A-Za-z0-9_\-]{16,}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}",
+    r"github_pat_[A-Za-z0-9_]{20,}",
+    r"(?i)\b(api[_-]?key|token|secret|password|authorization)\b\s*[=:]\s*\S+",
+    r"https://[^/\s:@]+:[^/\s@]+@",
 ]
 # Suffixes by kind.
 RAW = ["rw2", "cr2", "cr3", "nef", "arw", "raf", "orf", "dng", "pef", "srw"]

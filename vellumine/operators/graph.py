@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.numbers import seconds_between
 from vellumine.functions.vectors import HASH_BITS, hamming, hash_likeness
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a local one only where none is named and all runs on one machine."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or "file:///tmp/vellumine-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all machines see."""
+    return f"{checkpoint_root(spark).rstrip('/')}/vellumine-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the folder that the cluster names for checkpoints; a local one only where none is named and all runs on one machine."""
+    """The rows, kept in the shared folder; later plans start from them."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(named or "file:///tmp/vellumine-checkpoints")
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -506,7 +506,12 @@ def provenance(spark: SparkSession, d: str) -> DataFrame:
 # --- text and replies -----------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), 'Bearer\s+[A-Za-z0-9._-]{8,}', '[REDACTED]', 'g'), 'AKIA[A-Z0-9]{12,}', '[REDACTED]', 'g'), '(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[^\s,;]+', '[REDACTED]', 'g') AS redacted FROM documents""")
+_REDACTED = "text"
+for _pattern in text.CREDENTIALS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '[REDACTED]', 'g')"
+
+
+@query(f"SELECT doc_id, {_REDACTED} AS redacted FROM documents")
 def redact(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
@@ -782,4 +787,4 @@ def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries here too.
-from vellumine.plans import edits, learned, parsed, stored, toned, written  # noqa: E402, F401
+from vellumine.plans import edits, kept, learned, parsed, stored, toned, written  # noqa: E402, F401
