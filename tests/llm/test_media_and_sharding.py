@@ -31,6 +31,17 @@ def test_round_trip(data):
     assert found["samples"] == 1152 * found["n_frames"] and found["duration_ns"] == found["samples"] * 10**9 // 32000
 
 
+@pytest.mark.parametrize(("mark", "back"), [(b"TAG", 128), (b"APETAGEX", 32)])
+def test_data_that_look_like_a_tag(mark, back):
+    """At every place in the last frame, so also where a tag at the stream's end would begin."""
+    for n in (64, 300, 1417, 3000):
+        for at in range(max(0, n - 200), n - len(mark) + 1):
+            data = b"x" * at + mark + b"y" * (n - at - len(mark))
+            blob = media_mpeg.encode(data)
+            found = media_mpeg.parse(blob)
+            assert media_mpeg.payload(blob, found) == media_mpeg.padded(data) and found["audio_end"] == len(blob) and found["n_frames"] == found["vbr"]["frames"]
+
+
 def test_checksums_are_those_of_the_format():
     blob = media_mpeg.encode(b"x" * 3000)
     found = media_mpeg.parse(blob)

@@ -5,6 +5,10 @@ APE tags, resynchronises after damage, reads Xing, Info and VBRI tables, verifie
 checksum of protected Layer III frames, and gives the exact duration and each frame's offset.
 `encode` stores arbitrary bytes losslessly as a valid Layer III stream: the side information says
 that frames hold no audio data, and the payload fills their ancillary bytes.
+
+Checksums of layers I and II cover sample data that depends on its decoding and aren't verified; frames of a free bit rate count as damage. Null and empty
+texts give one padded block, repeated rows equal streams, texts of any length as many frames as they need, an empty table no rows; other
+columns than key and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -255,6 +259,9 @@ def encode(data: bytes) -> bytes:
         rate = next(r for r in range(1, 15) if _CAPACITY[r] >= rest)
         audio += _OPENINGS[rate] + payload[full * _CAPACITY[14] :] + bytes(_CAPACITY[rate] - rest)
         frames += 1
+    if _trailing(audio, len(audio))[0] < len(audio):  # data that look like a tag at the stream's end: an empty frame keeps them from being one
+        audio += _OPENINGS[1] + bytes(_CAPACITY[1])
+        frames += 1
     size = _SIZES[1] + len(audio)
     toc = bytes(min(255, (_SIZES[1] + min(len(audio), p * frames // 100 * _SIZES[14])) * 256 // size) for p in range(100))
     table = (_head(1, False) + bytes(_SIDE) + b"Xing" + struct.pack(">III", 15, frames, size) + toc + struct.pack(">I", 0)).ljust(_SIZES[1], b"\0")
