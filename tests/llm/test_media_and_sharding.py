@@ -31,8 +31,8 @@ def test_round_trip(data):
     assert found["samples"] == 1152 * found["n_frames"] and found["duration_ns"] == found["samples"] * 10**9 // 32000
 
 
-@pytest.mark.parametrize(("mark", "back"), [(b"TAG", 128), (b"APETAGEX", 32)])
-def test_data_that_look_like_a_tag(mark, back):
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX"])
+def test_data_that_look_like_a_tag(mark):
     """At every place in the last frame, so also where a tag at the stream's end would begin."""
     for n in (64, 300, 1417, 3000):
         for at in range(max(0, n - 200), n - len(mark) + 1):
