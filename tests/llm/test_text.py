@@ -171,6 +171,20 @@ def test_join_by_ties_and_small_tiles(spark, copies, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.join(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()) == slow_join(copies)
 
 
+def test_one_passage_in_every_document(spark, monkeypatch):
+    """Texts of their own around a passage that all have aren't tied: few sets are verified, and the near copies among them are found."""
+    random.seed(23)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [" ".join(f"w{random.randint(0, 10**6)}" for _ in range(60)) + " " + passage for _ in range(600)]
+    texts += [texts[i].replace(" w", " w", 1) + " more" for i in range(0, 60, 3)] + [passage, passage + " x", passage + " y z", *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    dealt = []
+    whole = ngram_join.tiles
+    monkeypatch.setattr(ngram_join, "tiles", lambda members: (dealt.append(members.count()), whole(members))[1])
+    assert sorted(tuple(r) for r in ngram_join.join(df).select("doc_id", "n_shingles", "component_id", "n_links").collect()) == slow_join(texts)
+    assert dealt[0] <= 2 * 20 + 3
+
+
 def test_bound_on_matches_never_drops_a_link():
     rng = np.random.default_rng(2)
     for _ in range(300):

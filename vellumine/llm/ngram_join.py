@@ -11,8 +11,10 @@ in any other document's prefix can't be similar to any and takes no further part
 
 Groups of any size, without listing all pairs of a group:
 - Equal sets are one class, by hash, and take part once for each task that reads them.
-- Lists of up to SHORT classes give their pairs, which are counted. In longer ones every class is tied to the
-  list's least class alone. The components of these ties hold every pair that may be similar.
+- Lists of up to SHORT classes give their pairs, which are counted. How many of its shown shingles lie in longer lists, or are known to be frequent,
+  each class is told; so many fewer matches are asked of its pairs. Only a class that might be similar to another by such
+  shingles alone is tied, along each of its long lists, to the list's least such class. The components of pairs and ties hold every pair that may be
+  similar: sets that share a common passage and have enough text of their own are not tied.
 - Each component's sets are put into bands of sizes, so that similar ones are in the same band or in neighbours, and each band is cut into blocks of
   bounded size; a tile of two blocks verifies all its pairs by one matrix product over their shared shingles and returns one row for each set, not for each pair.
 - Components of the verified ties are the result.
@@ -42,6 +44,8 @@ LINES = [(1 / 3, 0.0), (2 / 3, 0.0), (1.0, 0.0), (1.0, 0.5), (1.0, 1.0)]
 FREQUENT = 8
 #: Lists up to this long give pairs.
 SHORT = 64
+#: What is added to the level of a class that is tied along its long lists.
+TIED = 8
 #: Frequent shingles in the broadcast table, and bits of the broadcast id filter (16 MB), at most.
 MOST_FREQUENT, MOST_BITS = 1 << 17, 1 << 27
 #: A verification costs about this many postings.
@@ -157,24 +161,33 @@ def matches_needed(n: np.ndarray, below: np.ndarray, other_n: np.ndarray, other_
     return np.maximum(1, np.maximum(below - n, other_below - other_n) + overlap)
 
 
-def _lists(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of postings sorted by token and class: which to keep (each class once a list), and of these each list's start and size."""
+def packed(below: np.ndarray, long_: np.ndarray) -> np.ndarray:
+    """Two counts of up to 2**31 in one number: how many shingles are below a line, and how many of these lie in long lists."""
+    return below | long_ << 32
+
+
+def _lists(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings sorted by token and class: which to keep (each class once a list), and of these each list's start, its size, and whether it is long.
+
+    A list of more than RUN postings is long however few classes it has, as it may be a piece of one.
+    """
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token = token[new]
-    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(token)))
-    return new, np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)) if len(token) else np.zeros(0, np.int64)
+    rows = np.diff(np.append(0, ends))
+    sizes = np.add.reduceat(new.astype(np.int64), ends - rows) if len(ends) else rows
+    starts = np.cumsum(sizes) - sizes
+    return new, np.repeat(starts, sizes), np.repeat(sizes, sizes), np.repeat((sizes > SHORT) | (rows > RUN), sizes)
 
 
 def _pairs(token: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray, *below: np.ndarray) -> list[tuple]:
-    """(a, b, need, n) for the pairs of short lists, and for ties of long ones with need 0."""
-    new, start_of, size_of = _lists(token, cls)
-    cls, n, level = cls[new], n[new], level[new]
-    below = np.stack([b[new] for b in below], axis=1)
-    long_ = size_of > SHORT
-    tie = long_ & (np.arange(len(cls)) > start_of)
-    found = [(cls[tie], cls[start_of[tie]], np.zeros(tie.sum(), np.int64), np.zeros(tie.sum(), np.int64))]
+    """(a, b, need, n) for the pairs of short lists, and for ties of long ones with need 0. A level of TIED more marks classes to be tied."""
+    new, start_of, size_of, long_ = _lists(token, cls)
+    cls, n, level, token = cls[new], n[new], level[new], token[new]
+    both = np.stack([b[new] for b in below], axis=1)
+    below, common = both & 0xFFFFFFFF, both >> 32
+    found = [_ties(token[long_], cls[long_], level[long_])]
+    level = level % TIED
     for step in range(1, SHORT):
         i = np.flatnonzero((size_of > step) & ~long_)
         i = i[i + step < start_of[i] + size_of[i]]
@@ -184,10 +197,21 @@ def _pairs(token: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray,
         if ok.any():
             i, j = i[ok], j[ok]
             line = np.minimum(level[i], level[j]) - 1
-            found.append((cls[i], cls[j], matches_needed(n[i], below[i, line], n[j], below[j, line]), np.ones(len(i), np.int64)))
+            need = matches_needed(n[i], below[i, line], n[j], below[j, line]) - np.minimum(common[i, line], common[j, line])
+            found.append((cls[i], cls[j], np.maximum(1, need), np.ones(len(i), np.int64)))
     return found
 
 
+def _ties(token: np.ndarray, cls: np.ndarray, level: np.ndarray) -> tuple:
+    """(a, b, 0, 0) that ties each marked class of a list to the list's first marked one; rows are sorted by token."""
+    own = level >= TIED
+    token, cls = token[own], cls[own]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    head = np.repeat(cls[first], np.diff(np.append(first, len(token))))
+    zero = np.zeros(len(cls), np.int64)
+    return cls, head, zero, zero
+
+
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
     """Batches sorted by their first column, cut so that its runs stay whole. A run of more than RUN rows comes in pieces, each after the first
     opened again by the run's first row; the flag tells so."""
@@ -216,37 +240,62 @@ def candidates(sets: DataFrame) -> DataFrame:
     shown = sets.where("shown IS NOT NULL")
     postings = shown.select("cls", F.explode("shown").alias("token"))
 
+    # Shingles that aren't known to be frequent lie between lines by their hash alone.
+    edges = np.array([min((1 << 64) - 1, int(share * (1 << 64))) for share, _ in LINES[:3]], dtype=U64)
+
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, cls), _ in _whole_lists(batches):
-            new, _, size_of = _lists(token, cls)
-            name, n = np.unique(cls[new][size_of > 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], ["cls", "live"])
+        for (token, cls), again in _whole_lists(batches):
+            new, _, size_of, long_ = _lists(token, cls)
+            token, cls = token[new], cls[new]
+            long_ |= again & (token == token[0])
+            name, at = np.unique(cls[(size_of > 1) | long_], return_inverse=True)
+            line = np.searchsorted(edges, token.view(U64))[(size_of > 1) | long_]
+            own = long_[(size_of > 1) | long_]
+            counts = [np.bincount(at[own & (line == i)], minlength=len(name)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.bincount(at, minlength=len(name))), *(pa.array(c) for c in counts)], ["cls", "live", "l0", "l1", "l2"])
 
     # A long run's pieces name its first class once more; counts may be too high by that, never too low.
     sorted_ = postings.select("token", "cls").repartition("token").sortWithinPartitions("token", "cls")
-    counted = sorted_.mapInArrow(live, "cls long, live long").groupBy("cls").agg(F.sum("live").alias("live"))
+    counted = sorted_.mapInArrow(live, "cls long, live long, l0 long, l1 long, l2 long").groupBy("cls").agg(*(F.sum(c).alias(c) for c in ("live", "l0", "l1", "l2")))
     facts = shown.groupBy("cls").agg(F.max("known").alias("known"), F.max("n").alias("n"), F.max(F.col("below")[0]).alias("s"))
     # A partner may show less than the set itself: what must be found is bounded by the lowest line.
     fit = facts.join(counted, "cls", "left").where(F.coalesce("live", F.lit(0)) + F.col("known") >= F.greatest(F.lit(1), F.col("s") - (F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100))))
-    alive = checkpointed(shown.join(fit.select("cls"), "cls", "left_semi"))
-    # Tokens known to be frequent: the least class of each, at most MOST_FREQUENT rows, meets the postings without a shuffle of them.
-    common = alive.select("cls", F.explode("frequent").alias("token"))
-    heads = F.broadcast(common.groupBy("token").agg(F.min("cls").alias("head")))
-    ties = common.join(heads, "token").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    zero = F.lit(0).cast("long")
+    alive = shown.join(fit.select("cls", *(F.coalesce(c, zero).alias(c) for c in ("l0", "l1", "l2"))), "cls")
+    # For each line, how many of the shingles below it are long or frequent, and whether a similar set might share these alone.
+    below = [F.col("below")[i] for i in range(len(LINES))]
+    common = [F.col("l0"), F.col("l0") + F.col("l1"), *(F.col("l0") + F.col("l1") + F.col("l2") + more for more in (zero, below[3] - below[2], below[4] - below[2]))]
+    allowed_ = F.col("n") - F.floor((PERCENT * F.col("n") + 99) / 100)
+    tied = F.lit(False)
+    for i in range(len(LINES)):
+        tied = tied | ((F.col("level") > i) & (common[i] >= F.greatest(F.lit(1), below[i] - allowed_)))
+    both = F.array(*(b.bitwiseOR(F.call_function("shiftleft", c, F.lit(32))) for b, c in zip(below, common, strict=True)))
+    alive = checkpointed(alive.select("cls", "n", "shown", "frequent", both.alias("both"), (F.col("level") + F.when(tied, TIED).otherwise(0)).alias("level")))
+    # Tokens known to be frequent: the least tied class of each, at most MOST_FREQUENT rows, meets the postings without a shuffle of them.
+    often = alive.where(F.col("level") >= TIED).select("cls", F.explode("frequent").alias("token"))
+    heads = F.broadcast(often.groupBy("token").agg(F.min("cls").alias("head")))
+    ties = often.join(heads, "token").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None  # of the run that may be cut: its token and the class that its marked classes are tied to
         for columns, again in _whole_lists(batches):
-            found = _pairs(*columns)
-            if again:  # the rest of a cut run: all of it is tied, however short
-                own = columns[0] == columns[0][0]
-                tied = columns[1][own]
-                found = _pairs(*(x[~own] for x in columns)) + [(tied, np.full(len(tied), tied[0]), np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64))]
+            first, last = columns[0][0], columns[0][-1]
+            own = np.full(len(columns[0]), again) & (columns[0] == first)  # the rest of a cut run is long, however short
+            found = _pairs(*(x[~own] for x in columns))
+            if again:
+                tied = columns[1][own & (columns[3] >= TIED)]
+                head = head if head is not None and head[0] == first else (first, tied[0]) if len(tied) else None
+                if head is not None:
+                    found.append((tied, np.full(len(tied), head[1]), np.zeros(len(tied), np.int64), np.zeros(len(tied), np.int64)))
+            if not (again and last == first):
+                tied = columns[1][(columns[0] == last) & (columns[3] >= TIED)]
+                head = (last, tied[0]) if len(tied) else None
             a, b, need, n = (np.concatenate(c) for c in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need), pa.array(n)], ["a", "b", "need", "n"])
 
-    rare = alive.select(F.explode("shown").alias("token"), "cls", "n", "level", *(F.col("below")[i].alias(f"b{i}") for i in range(len(LINES)))).repartition("token").sortWithinPartitions("token", "cls")
+    rare = alive.select(F.explode("shown").alias("token"), "cls", "n", "level", *(F.col("both")[i].alias(f"b{i}") for i in range(len(LINES)))).repartition("token").sortWithinPartitions("token", "cls")
     met = rare.mapInArrow(run, "a long, b long, need long, n long").where("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("need").alias("tie"))
-    # Matches in lists of frequent tokens aren't counted here, but their classes are tied anyway.
+    # Matches in long lists and of frequent tokens aren't counted here; so many fewer are needed, and classes that need no others are tied.
     return met.where("tie = 0 OR n >= need").select("a", "b").union(ties).distinct()
 
 
