@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 
 def clamp_score(value: Column) -> Column:
-    """0 to 100, rounded half to even, as a long; null stays null."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(value.cast("double"))))).cast("long")
+    """0 to 100, rounded half to even, as a long. The value must not be null; it stands here once, so that nested scores stay small."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(value.cast("double")))).cast("long")
+
+
+def score_or_null(value: Column) -> Column:
+    """The same of a value that may be null, which stays null."""
+    return F.when(value.isNotNull(), clamp_score(value))
 
 
 def clamp_or(value: Column, default: int) -> Column:
     """A text as a score; what isn't a number gives the default."""
-    return F.coalesce(clamp_score(value.try_cast("double")), F.lit(default).cast("long"))
+    return F.coalesce(score_or_null(value.try_cast("double")), F.lit(default).cast("long"))
 
 
 def rank_to_percentile(rank: Column, size: Column) -> Column:

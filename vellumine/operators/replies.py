@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.functions.numbers import clamp_or, clamp_score
+from vellumine.functions.numbers import clamp_or, score_or_null
 
 ITEMS = "array<map<string,string>>"
 # Choices of the reads, each with the one that stands for all others.
@@ -93,8 +93,8 @@ def artistic_read(df: DataFrame) -> DataFrame:
     errors = sum((outside(number[n]) for n in number), F.lit(0))
     for n in ("artistic_confidence", "uncertainty"):
         errors = errors + F.when(F.map_contains_key("item", F.lit(n)) & number[n].isNull(), 1).otherwise(0)
-    default = lambda n, d: F.when(F.map_contains_key("item", F.lit(n)), F.coalesce(clamp_score(number[n]), F.lit(0).cast("long"))).otherwise(d)
-    fields = {n: clamp_score(number[n]) for n in ARTISTIC} | {
+    default = lambda n, d: F.when(F.map_contains_key("item", F.lit(n)), F.coalesce(score_or_null(number[n]), F.lit(0).cast("long"))).otherwise(d)
+    fields = {n: score_or_null(number[n]) for n in ARTISTIC} | {
         "candidate": flag(value("artistic_candidate"), False), "confidence": default("artistic_confidence", 0), "uncertainty": default("uncertainty", 50), "series_role": choice(value("series_role"), ROLES, "NONE"), "reasoning": F.substring(F.coalesce(value("artistic_reasoning"), F.lit("")), 1, REASONING_CHARS), "errors": errors,
     }
     out = df.withColumn("status", F.when(usable, "completed").otherwise("failed")).withColumns({k: F.when(usable, v) for k, v in fields.items()})
