@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.operators.kernels import HIGHLIGHT_GAIN, HIGHLIGHT_PIVOT, SHADOW_GAIN, SHADOW_PIVOT
@@ -41,33 +41,29 @@ def light(r: Column, g: Column, b: Column) -> Column:
     return r * LIGHT[0] + g * LIGHT[1] + b * LIGHT[2]
 
 
-def saturated(r: Column, g: Column, b: Column, saturation: Column, vibrance: Column) -> list[Column]:
-    """The three values drawn from their light; vibrance acts the less the more colour there is."""
-    own = light(r, g, b)
-    strongest = F.greatest(F.abs(r - own), F.abs(g - own), F.abs(b - own))
-    gain = 1 + saturation / 100 + vibrance / 100 * (1 - _unit(strongest * 2.5))
-    return [_unit(own + (x - own) * gain) for x in (r, g, b)]
-
-
 def balance_gains(kelvin: Column, tint: Column) -> list[Column]:
     """Factors of linear red, green and blue for a change in kelvin and tint, from 0.2 to 5."""
     warm, green = kelvin / 4000.0, tint / 200.0
     return [F.greatest(F.lit(0.2), F.least(F.lit(5.0), 1 + x)) for x in (warm, green * 0.5, -warm)]
 
 
-def rendered(r: Column, g: Column, b: Column) -> list[Column]:
-    """Linear values as they are shown after an edit, point by point: balance, exposure, curves, colour, and light alone for `monochrome`.
+def rendered(df: DataFrame, names: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """The rows with linear red, green and blue as they are shown after an edit, point by point: balance, exposure, curves, colour, and light alone for `monochrome`.
 
-    Reads exposure_ev, temperature, tint, highlights, shadows, whites, blacks, contrast, saturation, vibrance, monochrome. What looks at neighbours (clarity, denoising, sharpening) and at places isn't here.
+    Reads exposure_ev, temperature, tint, highlights, shadows, whites, blacks, contrast, saturation, vibrance, monochrome. What looks at neighbours (clarity, denoising,
+    sharpening) and at places isn't here. Every step is a projection of its own, as its value stands in the next one more than once.
     """
     c = F.col
-    shown = []
-    for x, gain in zip((r, g, b), balance_gains(c("temperature"), c("tint")), strict=True):
-        v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x * gain * F.pow(F.lit(2.0), c("exposure_ev"))) ** (1 / 2.2))
-        shown.append(contrast(whites_blacks(shadows(highlights(v, c("highlights")), c("shadows")), c("whites"), c("blacks")), c("contrast")))
-    shown = saturated(*shown, c("saturation"), c("vibrance"))
-    grey = light(*shown)
-    return [F.when(c("monochrome"), grey).otherwise(x) for x in shown]
+    gains = balance_gains(c("temperature"), c("tint"))
+    df = df.withColumns({n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c(n) * gain * F.pow(F.lit(2.0), c("exposure_ev"))) ** (1 / 2.2)) for n, gain in zip(names, gains, strict=True)})
+    for curve, amounts in ((highlights, ["highlights"]), (shadows, ["shadows"]), (whites_blacks, ["whites", "blacks"]), (contrast, ["contrast"])):
+        df = df.withColumns({n: curve(c(n), *map(c, amounts)) for n in names})
+    # Vibrance acts the less the more colour there is.
+    df = df.withColumn("_light", light(*map(c, names)))
+    df = df.withColumn("_strong", F.greatest(*(F.abs(c(n) - c("_light")) for n in names)))
+    df = df.withColumn("_gain", 1 + c("saturation") / 100 + c("vibrance") / 100 * (1 - _unit(c("_strong") * 2.5)))
+    df = df.withColumns({n: _unit(c("_light") + (c(n) - c("_light")) * c("_gain")) for n in names}).withColumn("_light", light(*map(c, names)))
+    return df.withColumns({n: F.when(c("monochrome"), c("_light")).otherwise(c(n)) for n in names}).drop("_light", "_strong", "_gain")
 
 
 def suggested_stops(mean_light: Column) -> Column:
@@ -83,12 +79,17 @@ def grey_gains(r: Column, g: Column, b: Column) -> list[Column]:
 
 def brightest_tenth(values: Column) -> Column:
     """The mean of the values from the 90th percentile (between neighbours by their distance) on, 2 places; 0 without values."""
-    own = F.array_sort(values)
-    at = (F.size(own) - 1) * 0.9
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    cut = F.element_at(own, low + 1) + (F.element_at(own, high + 1) - F.element_at(own, low + 1)) * (at - low)
-    top = F.filter(own, lambda v: v >= cut)
-    return F.when(F.size(own) > 0, F.bround(F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top), 2)).otherwise(0.0)
+    def mean_from(own: Column, cut: Column) -> Column:
+        top = F.filter(own, lambda v: v >= cut)
+        return F.bround(F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top), 2)
+
+    def of(own: Column) -> Column:
+        at = (F.size(own) - 1) * 0.9
+        low, high = F.element_at(own, F.floor(at).cast("int") + 1), F.element_at(own, F.ceil(at).cast("int") + 1)
+        return F.element_at(F.transform(F.array(low + (high - low) * (at - F.floor(at))), lambda cut: mean_from(own, cut)), 1)
+
+    # Arrays of one element, so that the order and the cut are found once.
+    return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(F.array_sort(values)), of), 1)).otherwise(0.0)
 
 
 def edit_cost(keep: Column, stops: Column, denoised: Column) -> Column:

@@ -38,8 +38,7 @@ _CHAIN = ", ".join([
 def render_points(spark: SparkSession, d: str) -> DataFrame:
     """Each event as a point: balance, exposure, every curve, colour."""
     p = table(spark, d, "events").selectExpr("event_id AS key").selectExpr("key", *(f"{sql} AS {name}" for name, sql in POINT.items()))
-    out = tones.rendered(F.col("r"), F.col("g"), F.col("b"))
-    return p.select("key", *(F.bround(v, 6).alias(c) for v, c in zip(out, "rgb", strict=True)))
+    return tones.rendered(p).select("key", *(F.bround(c, 6).alias(c) for c in "rgb"))
 
 
 @query("""WITH N AS (SELECT event_id AS key, CAST(event_id % 256 AS DOUBLE) AS m, CAST(event_id * 3 % 256 AS DOUBLE) AS r, CAST(event_id * 5 % 256 AS DOUBLE) AS g, CAST(event_id * 7 % 256 AS DOUBLE) AS b, event_id % 10 / 20.0::DOUBLE + 0.5 AS keep, event_id % 21 / 10.0::DOUBLE AS stops, event_id % 4 = 0 AS dn, event_id % 100 / 1.0::DOUBLE AS cur, event_id * 7 % 100 / 1.0::DOUBLE AS best, event_id % 3 = 0 AS raw FROM events),
