@@ -216,6 +216,42 @@ def test_keep_one(spark, copies):
     assert ngram_join.keep_one(df.limit(0)).isEmpty() and ngram_join.keep_one(df).columns == df.columns
 
 
+def test_keep_one_of_each_component(spark, copies):
+    """Repeated and null ids, with the same text and others: one row of each component, whichever ids it has."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    for rows, want in (
+        ([(1, a), (2, a), (2, b)], [(1, a), (2, b)]),
+        ([(1, a), (2, b), (2, c)], [(1, a), (2, b), (2, c)]),
+        ([(None, a), (None, a)], [(None, a)]),
+        ([(None, a), (7, a), (None, b), (7, b), (7, c), (7, c)], [(7, a), (7, b), (7, c)]),
+        ([(None, None), (None, " "), (3, None), (3, None)], [(None, None), (None, " "), (3, None), (3, None)]),
+    ):
+        got = ngram_join.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _key string")).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    random.seed(8)
+    rows = [(random.choice([None, *range(len(copies) // 2)]), t) for t in copies + random.choices(copies, k=40)]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert not set(got) - set(rows)
+    lone = slow_join([t for _, t in rows])
+    of = {}
+    for (_, t), (_, n, root, _) in zip(rows, lone, strict=True):
+        of.setdefault(t, root if n else None)
+    seen = Counter(of[t] for _, t in got if of[t] is not None)
+    assert set(seen) == {root for _, n, root, _ in lone if n} and set(seen.values()) == {1}
+    assert sum(of[t] is None for _, t in got) == sum(n == 0 for _, n, _, _ in lone)
+
+
+def test_folders_of_two_callers(spark):
+    with common.folders() as mine:
+        one = common.checkpoint_dir(spark)
+    with common.folders() as others:
+        two = common.checkpoint_dir(spark)
+    assert (mine, others) == ([one], [two])
+    kept = common.written(spark.range(3), f"{two}/x")
+    common.sweep(spark, mine)
+    assert kept.count() == 3 and not mine
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(90, 80), (80, 85), (7, 7), (None, 3)]
     random.seed(5)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +134,19 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
-#: Folders that operators of this session have made, for `sweep`.
-_made: list[str] = []
+#: Where the folders made in the current context are listed, for the caller that asked for it with `folders`.
+_listed: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """A list of the folders that operators make while the block runs, in this thread alone, so that its caller can `sweep` them and no others."""
+    made: list[str] = []
+    before = _listed.set(made)
+    try:
+        yield made
+    finally:
+        _listed.reset(before)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -147,19 +160,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         base = current.get() if current.isDefined() else "file:///tmp/vellumine-checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
-    _made.append(f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def mark() -> int:
-    """Where the list of this session's folders ends now."""
-    return len(_made)
+    folder = f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
+    if (made := _listed.get()) is not None:
+        made.append(folder)
+    return folder
 
 
-def sweep(spark: SparkSession, since: int) -> None:
-    """Remove the folders made since a mark, once what was made from them is written elsewhere."""
-    while len(_made) > since:
-        delete(spark, _made.pop())
+def sweep(spark: SparkSession, made: list[str]) -> None:
+    """Remove the listed folders, once what was made from them is written elsewhere."""
+    while made:
+        delete(spark, made.pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -182,16 +192,23 @@ def local_path(uri: str) -> str | None:
 
 
 def put_bytes(uri: str, parts: list) -> None:
-    """Write a file whole or not at all: a task that runs again replaces its own earlier file."""
+    """Write a file whole or not at all, under another name first: a task that runs again replaces its own earlier file, whose content is the same."""
     path = local_path(uri)
     if path is None:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(os.path.dirname(path), recursive=True)
-        with store.open_output_stream(path) as out:
+        temporary = f"{path}.{uuid.uuid4().hex}"
+        with store.open_output_stream(temporary) as out:
             for p in parts:
                 out.write(memoryview(p).cast("B") if len(p) else b"")
+        try:
+            store.move(temporary, path)
+        except OSError:  # some stores don't rename onto a file
+            if store.get_file_info(path).type != fs.FileType.File:
+                raise
+            store.delete_file(temporary)
         return
     os.makedirs(os.path.dirname(path), exist_ok=True)
     temporary = f"{path}.{uuid.uuid4().hex}"

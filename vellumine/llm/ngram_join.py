@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpoint_dir, checkpointed, guarded, mix64, row_sums, text_slices, written
+from .common import U64, Words, checkpoint_dir, checkpointed, guarded, mix64, row_sums, slices, text_slices, utf8, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -309,6 +309,10 @@ def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63)) & 1 == 1
 
 
+#: Words of a filter that come to the driver together.
+_CHUNK = 1 << 13
+
+
 def id_filter(ids: DataFrame, key: str, most: int = MOST_BITS) -> np.ndarray:
     """A bit set, 16 MB at most, that has a bit for each of the ids and may have it for others too."""
     n = ids.count()
@@ -324,10 +328,18 @@ def id_filter(ids: DataFrame, key: str, most: int = MOST_BITS) -> np.ndarray:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
 
-    words = np.zeros(bits // 64, dtype=np.int64)
-    for at, word in ids.select(F.col(key).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word")).collect():
-        words[at] = word
-    return words
+    def packed_words(table: pa.Table) -> pa.Table:
+        words = np.zeros(_CHUNK, dtype=np.int64)
+        at = table.column("at").to_numpy()
+        words[at % _CHUNK] = table.column("word").to_numpy()
+        return pa.table({"chunk": [int(at[0]) // _CHUNK], "words": pa.array([words.tobytes()], pa.binary())})
+
+    found = ids.select(F.col(key).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    chunks = found.groupBy(F.floor(F.col("at") / _CHUNK).alias("c")).applyInArrow(packed_words, "chunk long, words binary")
+    words = np.zeros(max(bits // 64, _CHUNK), dtype=np.int64)
+    for chunk, own in chunks.toLocalIterator():  # 256 rows of 64 KB at most
+        words[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(own, np.int64)
+    return words[: bits // 64]
 
 
 def links(rows: list[tuple[int, int, int, np.ndarray]], left: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -429,8 +441,8 @@ def verify(dealt: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "v long, root long, n_links long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, n_links) of every row: the set's size, the least key it is connected with, and how many other rows it is linked with."""
+def _classified(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n, cls, ...) of every row, and of every class (cls, root, least, copies, component_id, n_links), both kept in the shared folder."""
     sc = docs.sparkSession.sparkContext
     folder = checkpoint_dir(docs.sparkSession)
     table = sc.broadcast(frequent(docs, text, k))
@@ -483,33 +495,52 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     known = by_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = linked.groupBy(F.col("v").alias("cls")).agg(F.sum("n_links").alias("other"))
-    facts = known.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    facts = known.join(least, "root").join(degree, "cls", "left").select("cls", "root", "least", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
     # Kept apart, so that the join of all rows has plain shuffles on both sides and adaptive execution can split a class of many copies.
-    facts = checkpointed(facts)
-    some = full.select("key", "n", "cls").join(facts, "cls").select("key", "n", "component_id", "n_links")
+    return sets, checkpointed(facts)
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, n_links) of every row: the set's size, the least key it is connected with, and how many other rows it is linked with."""
+    sets, facts = _classified(docs, key, text, k, percent)
+    some = sets.where("n > 0").select("key", "n", "cls").join(facts, "cls").select("key", "n", "component_id", "n_links")
     none = sets.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.union(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with one of each component: that of the least key, once. Rows without words stay, a null key's too, as they are linked with nothing.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows with exactly one of each component: of its least key (null last) the row of the least class, once. Rows without words stay, as they are linked with nothing.
 
-    Keys that are dropped or repeated are looked up exactly; all other rows pass by a bit set and are not shuffled.
+    Keys may be null or repeated, with the same text or others. What is dropped or comes more than once is listed by key and class; only rows whose key may be
+    in that list, by a bit set, or is null have their class made again and are shuffled to it.
     """
     sc = docs.sparkSession.sparkContext
-    found = checkpointed(join(docs, key, text))
-    doubtful = checkpointed(found.groupBy(key).agg(F.count("*").alias("n"), F.max((F.col("component_id") != F.col(key)).cast("int")).alias("dropped"), F.max("component_id").alias("c"), F.min("component_id").alias("d")).where(f"{key} IS NOT NULL AND (n > 1 OR dropped = 1)"))
-    bits = sc.broadcast(id_filter(doubtful, key))
-
-    @F.pandas_udf("boolean")
-    def maybe(ids):
-        import pandas as pd
-
-        return pd.Series(passes(bits.value, ids.fillna(0).to_numpy(dtype=np.int64)) & ids.notna().to_numpy())
+    sets, facts = _classified(docs, key, text, k, percent)
+    groups = facts.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(F.struct(F.col("least").isNull(), F.col("least").alias("k"), F.col("cls").alias("c"))).alias("first")).where("rows > 1")
+    grouped = facts.select("cls", "root").join(groups, "root").select("cls", "first")
+    pairs = sets.where("n > 0").select("key", "cls").join(grouped, "cls").groupBy("key", "cls").agg(F.count("*").alias("n"), F.first("first").alias("first"))
+    listed = pairs.select(F.col("key").alias("_key"), F.col("cls").alias("_cls"), "n", (F.col("key").eqNullSafe(F.col("first.k")) & (F.col("cls") == F.col("first.c"))).alias("survives"))
+    listed = checkpointed(listed.where("n > 1 OR NOT survives").select("_key", "_cls", "survives"))
+    bits = sc.broadcast(id_filter(listed.where("_key IS NOT NULL"), "_key"))
+
+    @F.arrow_udf("boolean")
+    def maybe(ids: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False))
+
+    @F.arrow_udf("long")
+    def class_of(texts: pa.Array) -> pa.Array:
+        raw, offsets = utf8(texts)
+        names, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in slices(np.diff(offsets)):
+            h, cuts = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+            names.append(classes(h, cuts))
+            sizes.append(np.diff(cuts))
+        return pa.array(np.concatenate(names), mask=np.concatenate(sizes) == 0)
 
     inside, restored = guarded(docs, [key, text])
     flagged = inside.withColumn("_maybe", maybe(inside[key].cast("long")))
     rest = flagged.where("NOT _maybe")
-    suspects = flagged.where("_maybe").join(doubtful.select(key, "n", "dropped"), key, "left")
-    kept = suspects.where("n IS NULL OR dropped = 0").dropDuplicates([key])
-    return restored(rest).union(restored(kept))
+    suspects = flagged.where("_maybe").withColumn("_own", class_of(inside[text])).join(listed, F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_cls")), "left")
+    # Without what is dropped, so a few rows; written, as they are read twice.
+    kept = written(suspects.where("survives IS NULL OR survives"), f"{checkpoint_dir(docs.sparkSession)}/kept")
+    return restored(rest).union(restored(kept.where("survives IS NULL"))).union(restored(kept.where("survives").dropDuplicates(["_key", "_cls"])))
