@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import ngram_join, packing, quality, secrets
-from vellumine.llm.common import checkpoint_dir, mark, sweep, written
+from vellumine.llm.common import checkpoint_dir, delete, folders, sweep, written
 from vellumine.llm.queries import END_ID, vocabulary
 
 
@@ -45,14 +45,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's rows written as Parquet in the shared folder and read again. What a stage kept there is removed once its rows
-    are written; the last one's stays, as its rows are read from it."""
+    """The stages in order, each one's rows written as Parquet in the shared folder and read again. What a stage kept there, and what its predecessor
+    wrote, is removed once its rows are written; the last one's stays, as its rows are read from it. Runs at the same time don't meet each other's folders."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = checkpoint_dir(spark)
     for i, (_, stage) in enumerate(STAGES):
-        since = mark()
-        docs = stage(spark, docs, sf_dir)
+        with folders() as made:
+            docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"{folder}/stage-{i}")
-            sweep(spark, since)
+            sweep(spark, made)
+            if i:
+                delete(spark, f"{folder}/stage-{i - 1}")
     return docs
