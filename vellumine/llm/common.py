@@ -92,12 +92,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int
 
 
 class Words:
-    """The words of a slice of texts: byte spans, owning row, and 64-bit hashes (A-Z folded to a-z if asked)."""
+    """The words of a slice of texts: byte spans, owning row, and 64-bit hashes (A-Z folded to a-z if asked). `gap` marks the bytes between words."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = True, gap: np.ndarray = IS_SPACE):
         n = len(raw)
         solid = np.zeros(n + 1, dtype=bool)
-        np.logical_not(IS_SPACE[raw], out=solid[:n])
+        np.logical_not(gap[raw], out=solid[:n])
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(n + 1, dtype=bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, licenses, maglev, media_mpeg, mixing, ngram_join, packing, quality, secrets, separators
+from . import bpe, collocations, kneser_ney, licenses, maglev, media_mpeg, mixing, ngram_join, packing, quality, secrets, separators
 from .common import checkpoint_dir, delete, documents, written
 
 
@@ -90,8 +90,12 @@ def op12_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 #: By name; in the order in which they were built.
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney, op7_license_compression, op12_fair_mixing)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney, op7_license_compression, op12_fair_mixing, op13_collocations)}
 
 
 def _sql_op2() -> str:
@@ -105,4 +109,4 @@ def _sql_op2() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maglev_sharding": _sql_op2(), "op12_fair_mixing": mixing.SQL}
+    return {"op2_maglev_sharding": _sql_op2(), "op12_fair_mixing": mixing.SQL, "op13_collocations": collocations.SQL}
