@@ -523,24 +523,31 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     listed = checkpointed(listed.where("n > 1 OR NOT survives").select("_key", "_cls", "survives"))
     bits = sc.broadcast(id_filter(listed.where("_key IS NOT NULL"), "_key"))
 
+    def passed(ids: pa.Array) -> np.ndarray:
+        return passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+
     @F.arrow_udf("boolean")
     def maybe(ids: pa.Array) -> pa.Array:
-        return pa.array(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False))
+        return pa.array(passed(ids))
 
-    @F.arrow_udf("long")
-    def class_of(texts: pa.Array) -> pa.Array:
-        raw, offsets = utf8(texts)
+    # Both in one function, so that a task needs one worker: rows that are not looked up have null.
+    @F.arrow_udf("struct<cls: long>")
+    def looked_up(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        own = passed(ids)
+        raw, offsets = utf8(texts.filter(pa.array(own)))
         names, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in slices(np.diff(offsets)):
             h, cuts = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
             names.append(classes(h, cuts))
             sizes.append(np.diff(cuts))
-        return pa.array(np.concatenate(names), mask=np.concatenate(sizes) == 0)
+        cls, empty = np.zeros(len(own), np.int64), np.ones(len(own), bool)
+        cls[own], empty[own] = np.concatenate(names), np.concatenate(sizes) == 0
+        return pa.StructArray.from_arrays([pa.array(cls, mask=empty)], ["cls"], mask=pa.array(~own))
 
     inside, restored = guarded(docs, [key, text])
-    flagged = inside.withColumn("_maybe", maybe(inside[key].cast("long")))
-    rest = flagged.where("NOT _maybe")
-    suspects = flagged.where("_maybe").withColumn("_own", class_of(inside[text])).join(listed, F.col(key).cast("long").eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_cls")), "left")
+    number = inside[key].cast("long")
+    rest = inside.where(~maybe(number))
+    suspects = inside.withColumn("_own", looked_up(number, inside[text])).where("_own IS NOT NULL").join(listed, number.eqNullSafe(F.col("_key")) & (F.col("_own.cls") == F.col("_cls")), "left")
     # Without what is dropped, so a few rows; written, as they are read twice.
     kept = written(suspects.where("survives IS NULL OR survives"), f"{checkpoint_dir(docs.sparkSession)}/kept")
     return restored(rest).union(restored(kept.where("survives IS NULL"))).union(restored(kept.where("survives").dropDuplicates(["_key", "_cls"])))

@@ -144,6 +144,18 @@ def _sample_features(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "quality int, index binary, value binary")
 
 
+#: Features that the fit looks at together.
+_BLOCK = 1 << 19
+
+
+def _weighed(index, value, row, w: np.ndarray, n: int) -> np.ndarray:
+    """Each row's sum of its features' weights, a block of features at a time."""
+    z = np.zeros(n)
+    for a in range(0, len(index), _BLOCK):
+        z += np.bincount(row[a : a + _BLOCK], weights=w[index[a : a + _BLOCK]] * value[a : a + _BLOCK], minlength=n)
+    return z
+
+
 def _descend(index, value, row, y, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
     """Adam over the whole sample, classes weighted alike."""
     size = 1 << BITS
@@ -151,9 +163,11 @@ def _descend(index, value, row, y, penalty: float, rounds: int) -> tuple[np.ndar
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for t in range(1, rounds + 1):
-        z = np.bincount(row, weights=w[index] * value, minlength=len(y)) + b
+        z = _weighed(index, value, row, w, len(y)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
-        g = np.bincount(index, weights=err[row] * value, minlength=size) + penalty * w
+        g = penalty * w
+        for a in range(0, len(index), _BLOCK):
+            g += np.bincount(index[a : a + _BLOCK], weights=err[row[a : a + _BLOCK]] * value[a : a + _BLOCK], minlength=size)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -194,7 +208,7 @@ def _fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], penalty: float, roun
     slope, shift = 1.0, 0.0
     if len(set(y[held].tolist())) == 2:
         index, value, row = flat(held)
-        slope, shift = _calibrate(np.bincount(row, weights=w[index] * value, minlength=int(held.sum())) + b, y[held])
+        slope, shift = _calibrate(_weighed(index, value, row, w, int(held.sum())) + b, y[held])
     return Model(w.astype(np.float32), float(b), slope, shift)
 
 
