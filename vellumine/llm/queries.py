@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, kneser_ney, licenses, maglev, media_mpeg, mixing, ngram_join, packing, quality, secrets, separators
+from . import bpe, collocations, kneser_ney, licenses, maglev, media_mpeg, mixing, ngram_join, packing, quality, secrets, separators, treaps
 from .common import checkpoint_dir, delete, documents, written
 
 
@@ -86,6 +86,10 @@ def op7_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join("found.license", ",").alias("licenses"), "found")
 
 
+def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -95,7 +99,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name; in the order in which they were built.
-QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney, op7_license_compression, op12_fair_mixing, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_mpeg_audio, op2_maglev_sharding, op3_byte_bpe, op4_quality_rules, op5_separator_scan, op9_best_two_fit, op10_secret_battery, op8_ngram_jaccard, op6_kneser_ney, op7_license_compression, op11_inverted_treaps, op12_fair_mixing, op13_collocations)}
 
 
 def _sql_op2() -> str:
@@ -109,4 +113,4 @@ def _sql_op2() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maglev_sharding": _sql_op2(), "op12_fair_mixing": mixing.SQL, "op13_collocations": collocations.SQL}
+    return {"op2_maglev_sharding": _sql_op2(), "op11_inverted_treaps": treaps.SQL, "op12_fair_mixing": mixing.SQL, "op13_collocations": collocations.SQL}
