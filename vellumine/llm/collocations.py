@@ -98,8 +98,8 @@ class Found:
 class Counts:
     """Counts of phrases for each language, passed on as sorted arrays cut into ranges of their hash."""
 
-    def __init__(self, bits: int):
-        self.bits, self.kept, self.size = bits, {}, 0
+    def __init__(self, bits: int, most: int = GATHERED):
+        self.bits, self.most, self.kept, self.size = bits, most, {}, 0
 
     def add(self, langs: list[str], lang: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k, name in enumerate(langs):
@@ -107,10 +107,10 @@ class Counts:
             if len(own):
                 self.kept.setdefault(name, []).append((own, n))
                 self.size += len(own)
-        if self.size >= GATHERED:
+        if self.size >= self.most:
             self.kept = {name: [self._merged(x)] for name, x in self.kept.items()}
             self.size = sum(len(x[0][0]) for x in self.kept.values())
-            if self.size >= GATHERED // 2:
+            if self.size >= self.most // 2:
                 yield from self.rows()
 
     @staticmethod
@@ -135,11 +135,11 @@ def range_edges(ids: np.ndarray, bits: int) -> list[int]:
     return [*np.searchsorted(ids, np.arange(1 << bits, dtype=U64) << U64(64 - bits)).tolist(), len(ids)]
 
 
-def counted(docs: DataFrame, bits: int, frequent=None) -> DataFrame:
+def counted(docs: DataFrame, bits: int, frequent=None, most: int = GATHERED) -> DataFrame:
     """(lang, range, n, ids, counts) of the words of (lang, text) rows, or of their pairs of frequent words, as tasks have counted them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(bits)
+        counts = Counts(bits, most)
         for part, raw, offsets in text_slices(batches):
             found = Found(part, raw, offsets)
             if frequent is None:
@@ -243,7 +243,7 @@ class Trie:
             yield words[own], counts[own], left[own]
 
 
-def grown(docs: DataFrame, bits: int, frequent) -> DataFrame:
+def grown(docs: DataFrame, bits: int, frequent, most: int = GATHERED) -> DataFrame:
     """(lang, range, root, nodes) of the tasks' tries of what consists of frequent pairs; and (hashes, spelled) of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def grown(docs: DataFrame, bits: int, frequent) -> DataFrame:
                 known = np.union1d(known, fresh[new])
                 yield pa.RecordBatch.from_pylist([{"hashes": fresh[new].view(np.int64).tolist(), "spelled": [found.spelled(x) for x in at[new]]}], GROWN)
             size += len(i)
-            if size >= GATHERED:
+            if size >= most:
                 yield from tries()
                 size = 0
         yield from tries()
@@ -327,18 +327,18 @@ def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame
     return phrases.select("lang", "id", "words", "a").join(lowest, ["lang", "id"]).select("lang", "id", "words", "a", "low.l", "low.r", "low.n", "low.score")
 
 
-def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, shown: int = SHOWN) -> DataFrame:
+def mine(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, shown: int = SHOWN, gathered: int = GATHERED) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases."""
     spark = docs.sparkSession
     sc, folder = spark.sparkContext, checkpoint_dir(spark)
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = (max(LEAST_RANGES, size // RANGE_BYTES) - 1).bit_length()
-    runs = written(counted(rows, bits), f"{folder}/words")
+    runs = written(counted(rows, bits, most=gathered), f"{folder}/words")
     totals = checkpointed(runs.groupBy("lang").agg(F.sum("n").alias("n")))
     words = checkpointed(frequent_ids(runs, least))
-    pairs = checkpointed(frequent_ids(counted(rows, bits, sc.broadcast(id_filter(words, "mark"))), least))
-    tries = written(grown(rows, bits, sc.broadcast(id_filter(pairs, "mark"))), f"{folder}/tries")
+    pairs = checkpointed(frequent_ids(counted(rows, bits, sc.broadcast(id_filter(words, "mark")), gathered), least))
+    tries = written(grown(rows, bits, sc.broadcast(id_filter(pairs, "mark")), gathered), f"{folder}/tries")
     phrases = checkpointed(candidates(tries, least))
     # A candidate of k words has two parts of k - 1: its parent in the trie and its first suffix link.
     parts = phrases.where(F.size("words") > 2).select("lang", "a", F.explode(F.array("parent", F.col("links")[0])).alias("id"))
