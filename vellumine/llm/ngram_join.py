@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpoint_dir, checkpointed, guarded, mix64, row_sums, slices, text_slices, utf8, written
+from .common import U64, Words, checkpoint_dir, checkpointed, guarded, mix64, row_sums, text_slices, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -442,11 +442,12 @@ def verify(dealt: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n, cls, ...) of every row, and of every class (cls, root, least, copies, component_id, n_links), both kept in the shared folder."""
+    """(key, mark, n, cls, ...) of every row, and of every class (cls, root, first, copies, component_id, n_links), both kept in the shared folder. `mark` is the text's
+    hash, `first` the least (key is null, key, mark) of the class."""
     sc = docs.sparkSession.sparkContext
     folder = checkpoint_dir(docs.sparkSession)
     table = sc.broadcast(frequent(docs, text, k))
-    source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("t"))
+    source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("t"), F.xxhash64(docs[text]).alias("mark"))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -468,15 +469,15 @@ def _classified(docs: DataFrame, key: str, text: str, k: int, percent: int) -> t
                 return pa.ListArray.from_arrays(pa.array(at), pa.array(h[which].view(np.int64)), mask=pa.array(~fresh))
 
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(cuts)), pa.array(names), pa.array(level.astype(np.int64)), pa.array(known), pa.array(below.tolist(), pa.list_(pa.int64())), lists(shown & ~often), lists(shown & often)],
-                ["key", "n", "cls", "level", "known", "below", "shown", "frequent"],
+                [part.column(0), part.column(2), pa.array(np.diff(cuts)), pa.array(names), pa.array(level.astype(np.int64)), pa.array(known), pa.array(below.tolist(), pa.list_(pa.int64())), lists(shown & ~often), lists(shown & often)],
+                ["key", "mark", "n", "cls", "level", "known", "below", "shown", "frequent"],
             )
 
-    sets = written(source.mapInArrow(show, "key long, n long, cls long, level long, known long, below array<long>, shown array<long>, frequent array<long>"), f"{folder}/sets")
+    sets = written(source.mapInArrow(show, "key long, mark long, n long, cls long, level long, known long, below array<long>, shown array<long>, frequent array<long>"), f"{folder}/sets")
     full = sets.where("n > 0")
     near = components(candidates(full))
-    by_class = full.groupBy("cls").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    involved = checkpointed(near.select(F.col("v").alias("cls"), F.col("root").alias("cluster")).join(by_class, "cls"))
+    by_class = full.groupBy("cls").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "mark")).alias("first"))
+    involved = checkpointed(near.select(F.col("v").alias("cls"), F.col("root").alias("cluster")).join(by_class.drop("first"), "cls"))
     bits = sc.broadcast(id_filter(involved.select("least"), "least"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,13 +490,13 @@ def _classified(docs: DataFrame, key: str, text: str, k: int, percent: int) -> t
                 yield pa.RecordBatch.from_arrays([pa.array(classes(h, cuts)), packed], ["cls", "set"])
 
     # The ids' filter passes one row of each class, at times more. Only sets of involved classes are shuffled: to their class, then to its tiles.
-    dealt = tiles(involved).join(source.mapInArrow(again, "cls long, set binary"), "cls")
+    dealt = tiles(involved).join(source.select("key", "t").mapInArrow(again, "cls long, set binary"), "cls")
     linked = checkpointed(verify(dealt))
     root = components(linked, "v", "root").withColumnRenamed("v", "cls")
     known = by_class.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = linked.groupBy(F.col("v").alias("cls")).agg(F.sum("n_links").alias("other"))
-    facts = known.join(least, "root").join(degree, "cls", "left").select("cls", "root", "least", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+    facts = known.join(least, "root").join(degree, "cls", "left").select("cls", "root", "first", "copies", "component_id", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
     # Kept apart, so that the join of all rows has plain shuffles on both sides and adaptive execution can split a class of many copies.
     return sets, checkpointed(facts)
 
@@ -511,43 +512,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows with exactly one of each component: of its least key (null last) the row of the least class, once. Rows without words stay, as they are linked with nothing.
 
-    Keys may be null or repeated, with the same text or others. What is dropped or comes more than once is listed by key and class; only rows whose key may be
-    in that list, by a bit set, or is null have their class made again and are shuffled to it.
+    Keys may be null or repeated, with the same text or others. What is dropped or comes more than once is listed by key and the text's hash; only rows whose key may be
+    in that list, by a bit set, or is null are looked up in it.
     """
     sc = docs.sparkSession.sparkContext
     sets, facts = _classified(docs, key, text, k, percent)
-    groups = facts.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(F.struct(F.col("least").isNull(), F.col("least").alias("k"), F.col("cls").alias("c"))).alias("first")).where("rows > 1")
-    grouped = facts.select("cls", "root").join(groups, "root").select("cls", "first")
-    pairs = sets.where("n > 0").select("key", "cls").join(grouped, "cls").groupBy("key", "cls").agg(F.count("*").alias("n"), F.first("first").alias("first"))
-    listed = pairs.select(F.col("key").alias("_key"), F.col("cls").alias("_cls"), "n", (F.col("key").eqNullSafe(F.col("first.k")) & (F.col("cls") == F.col("first.c"))).alias("survives"))
-    listed = checkpointed(listed.where("n > 1 OR NOT survives").select("_key", "_cls", "survives"))
+    first = F.struct(F.col("first.col1").alias("none"), F.col("first.key").alias("key"), "cls", F.col("first.mark").alias("mark"))
+    groups = facts.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(first).alias("kept")).where("rows > 1").select("root", "kept")
+    grouped = facts.select("cls", "root").join(groups, "root").select("cls", "kept")
+    rows = sets.where("n > 0").select("key", "mark", "cls").join(grouped, "cls")
+    pairs = rows.groupBy("key", "mark").agg(F.count("*").alias("n"), F.max(F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("cls") == F.col("kept.cls")) & (F.col("mark") == F.col("kept.mark"))).alias("survives"))
+    listed = checkpointed(pairs.where("n > 1 OR NOT survives").select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "survives"))
     bits = sc.broadcast(id_filter(listed.where("_key IS NOT NULL"), "_key"))
 
-    def passed(ids: pa.Array) -> np.ndarray:
-        return passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
-
     @F.arrow_udf("boolean")
     def maybe(ids: pa.Array) -> pa.Array:
-        return pa.array(passed(ids))
-
-    # Both in one function, so that a task needs one worker: rows that are not looked up have null.
-    @F.arrow_udf("struct<cls: long>")
-    def looked_up(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        own = passed(ids)
-        raw, offsets = utf8(texts.filter(pa.array(own)))
-        names, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in slices(np.diff(offsets)):
-            h, cuts = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-            names.append(classes(h, cuts))
-            sizes.append(np.diff(cuts))
-        cls, empty = np.zeros(len(own), np.int64), np.ones(len(own), bool)
-        cls[own], empty[own] = np.concatenate(names), np.concatenate(sizes) == 0
-        return pa.StructArray.from_arrays([pa.array(cls, mask=empty)], ["cls"], mask=pa.array(~own))
+        return pa.array(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False))
 
     inside, restored = guarded(docs, [key, text])
     number = inside[key].cast("long")
-    rest = inside.where(~maybe(number))
-    suspects = inside.withColumn("_own", looked_up(number, inside[text])).where("_own IS NOT NULL").join(listed, number.eqNullSafe(F.col("_key")) & (F.col("_own.cls") == F.col("_cls")), "left")
+    flagged = inside.withColumn("_maybe", maybe(number))
+    suspects = flagged.where("_maybe").join(listed, number.eqNullSafe(F.col("_key")) & (F.xxhash64(inside[text]) == F.col("_mark")), "left")
     # Without what is dropped, so a few rows; written, as they are read twice.
     kept = written(suspects.where("survives IS NULL OR survives"), f"{checkpoint_dir(docs.sparkSession)}/kept")
-    return restored(rest).union(restored(kept.where("survives IS NULL"))).union(restored(kept.where("survives").dropDuplicates(["_key", "_cls"])))
+    return restored(flagged.where("NOT _maybe")).union(restored(kept.where("survives IS NULL"))).union(restored(kept.where("survives").dropDuplicates(["_key", "_mark"])))
