@@ -59,7 +59,7 @@ def quality(mean: np.ndarray, std: np.ndarray, sharp: np.ndarray, clipped: np.nd
     """0 to 100 from exposure, contrast and detail, lowered by clipping; 2 places."""
     exposure = 100 * np.exp(-(((mean - 118.0) / 45.0) ** 2))
     contrast = 100 * np.clip((std - 25.0) / 55.0, 0, 1)
-    detail = np.clip(42.0 * np.log10(np.maximum(sharp, 1e-6)) - 59.5 + 42.0, 0, 100)
+    detail = np.clip(42.0 * np.log10(1.0 + sharp) - 59.5, 0, 100)
     return np.round((0.36 * exposure + 0.28 * contrast + 0.36 * detail) * np.maximum(0.4, 1 - 3 * clipped), 2)
 
 
@@ -125,9 +125,9 @@ def exposure(rgb: np.ndarray, ev: float, gamma: float = 2.2) -> np.ndarray:
 
 
 def grey_world(rgb: np.ndarray, damping: float = 0.5) -> np.ndarray:
-    """Channel means drawn towards their mean, by half."""
+    """Channel means drawn towards their mean, by half; dark channels are left alone."""
     mean = rgb.reshape(-1, 3).mean(axis=0)
-    gain = 1 + damping * (mean.mean() / np.maximum(mean, 1e-6) - 1)
+    gain = 1 + damping * (np.where(mean > 1.0, mean.mean() / np.maximum(mean, 1.0), 1.0) - 1)
     return np.clip(rgb * gain, 0, 255)
 
 

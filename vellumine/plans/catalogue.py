@@ -662,7 +662,7 @@ _IMAGE = f"""WITH C AS (SELECT vec_id AS key, i // 8 AS y, i % 8 AS x, least(255
   B1 AS (SELECT c.key, n.y, c.x, sum(G.w * c.v) AS v FROM range(8) n(y), G, C c WHERE c.y = least(7, greatest(0, n.y + G.o)) GROUP BY 1, 2, 3), B2 AS (SELECT c.key, c.y, n.x, sum(G.w * c.v) AS v FROM range(8) n(x), G, B1 c WHERE c.x = least(7, greatest(0, n.x + G.o)) GROUP BY 1, 2, 3),
   L AS (SELECT key, s AS sharp FROM {_lap("C")}), K AS (SELECT key, s AS soft FROM {_lap("B2")}), T AS (SELECT key, avg(v) AS m, stddev_pop(v) AS d, avg(CASE WHEN v >= 253 OR v <= 2 THEN 1.0::DOUBLE ELSE 0.0 END) AS c FROM C GROUP BY key)
   SELECT key, round_even(sharp, 6) AS sharpness, round_even(CASE WHEN soft > 1e-12 THEN sharp / soft ELSE 0.0 END, 6) AS blur_ratio, 0.0::DOUBLE AS sharpest_tile, round_even(m, 6) AS mean_luma, round_even(d, 6) AS stddev_luma, round_even(c, 6) AS clipped,
-    round_even((0.36::DOUBLE * 100 * exp(-(((m - 118.0::DOUBLE) / 45.0::DOUBLE) ** 2)) + 0.28::DOUBLE * 100 * least(1.0, greatest(0.0, (d - 25.0::DOUBLE) / 55.0::DOUBLE)) + 0.36::DOUBLE * least(100.0, greatest(0.0, 42.0::DOUBLE * log10(greatest(sharp, 1e-6)) - 59.5::DOUBLE + 42.0::DOUBLE))) * greatest(0.4::DOUBLE, 1 - 3 * c), 2) AS quality FROM L JOIN K USING (key) JOIN T USING (key)"""
+    round_even((0.36::DOUBLE * 100 * exp(-(((m - 118.0::DOUBLE) / 45.0::DOUBLE) ** 2)) + 0.28::DOUBLE * 100 * least(1.0, greatest(0.0, (d - 25.0::DOUBLE) / 55.0::DOUBLE)) + 0.36::DOUBLE * least(100.0, greatest(0.0, 42.0::DOUBLE * log10(1.0::DOUBLE + sharp) - 59.5::DOUBLE))) * greatest(0.4::DOUBLE, 1 - 3 * c), 2) AS quality FROM L JOIN K USING (key) JOIN T USING (key)"""
 
 
 @query(_IMAGE)
@@ -787,4 +787,4 @@ def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries here too.
-from vellumine.plans import edits, joined, kept, learned, parsed, stored, toned, written  # noqa: E402, F401
+from vellumine.plans import edits, joined, kept, learned, parsed, pictured, stored, toned, written  # noqa: E402, F401
