@@ -311,6 +311,8 @@ def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 #: Words of a filter that come to the driver together.
 _CHUNK = 1 << 13
+#: Rows of 64 bits in the broadcast table of dropped and repeated keys, at most (some 10 MB).
+MOST_SLOTS = 1 << 18
 
 
 def id_filter(ids: DataFrame, key: str, most: int = MOST_BITS) -> np.ndarray:
@@ -515,7 +517,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     Keys may be null or repeated, with the same text or others. What is dropped or comes more than once is listed by key and the text's hash; only rows whose key may be
     in that list, by a bit set, or is null are looked up in it.
     """
-    sc = docs.sparkSession.sparkContext
     sets, facts = _classified(docs, key, text, k, percent)
     first = F.struct(F.col("first.col1").alias("none"), F.col("first.key").alias("key"), "cls", F.col("first.mark").alias("mark"))
     groups = facts.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(first).alias("kept")).where("rows > 1").select("root", "kept")
@@ -523,15 +524,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     rows = sets.where("n > 0").select("key", "mark", "cls").join(grouped, "cls")
     pairs = rows.groupBy("key", "mark").agg(F.count("*").alias("n"), F.max(F.col("key").eqNullSafe(F.col("kept.key")) & (F.col("cls") == F.col("kept.cls")) & (F.col("mark") == F.col("kept.mark"))).alias("survives"))
     listed = checkpointed(pairs.where("n > 1 OR NOT survives").select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), "survives"))
-    bits = sc.broadcast(id_filter(listed.where("_key IS NOT NULL"), "_key"))
-
-    @F.arrow_udf("boolean")
-    def maybe(ids: pa.Array) -> pa.Array:
-        return pa.array(passes(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False))
-
     inside, restored = guarded(docs, [key, text])
     number = inside[key].cast("long")
-    flagged = inside.withColumn("_maybe", maybe(number))
+    # The bit set is a table of 64-bit words, MOST_SLOTS at most, so that rows are looked up in the JVM.
+    n, slots = listed.count(), 64
+    while slots < MOST_SLOTS and 4 * slots < n:
+        slots <<= 1
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots))
+    bit = lambda k: F.shiftright(F.xxhash64(k), 40).bitwiseAND(F.lit(63)).cast("int")
+    known = listed.where("_key IS NOT NULL").select(slot(F.col("_key")).alias("_slot"), bit(F.col("_key")).alias("_bit"))
+    words = known.groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_word"))
+    flagged = inside.join(F.broadcast(words), slot(number) == F.col("_slot"), "left").withColumn("_maybe", number.isNull() | (F.coalesce(F.getbit("_word", bit(number)), F.lit(0)) == 1))
     suspects = flagged.where("_maybe").join(listed, number.eqNullSafe(F.col("_key")) & (F.xxhash64(inside[text]) == F.col("_mark")), "left")
     # Without what is dropped, so a few rows; written, as they are read twice.
     kept = written(suspects.where("survives IS NULL OR survives"), f"{checkpoint_dir(docs.sparkSession)}/kept")
