@@ -49,9 +49,10 @@ def has_latitude(path: Column) -> Column:
 
 
 def markup_value(text: Column, name: str) -> Column:
-    """A field of markup, as an attribute or else as an element; empty if there is none."""
-    attribute = F.regexp_extract(text, rf'{name}="([^"]*)"', 1)
-    return F.coalesce(F.nullif(attribute, F.lit("")), F.regexp_extract(text, rf"<{name}[^>]*>([^<]*)</{name}>", 1))
+    """A field of markup, as an attribute or else as an element, in any namespace where none is named; empty if there is none."""
+    any_ = "" if ":" in name else r"(?:\w+:)?"
+    attribute = F.regexp_extract(text, rf'\b{any_}{name}\s*=\s*"([^"]*)"', 1)
+    return F.coalesce(F.nullif(attribute, F.lit("")), F.regexp_extract(text, rf"<{any_}{name}(?:\s[^>]*)?>([^<]*)<", 1))
 
 
 def words(text: Column) -> Column:

@@ -92,4 +92,4 @@ def markers(head: Column) -> Column:
     from vellumine.functions.text import markup_value
 
     packet = F.regexp_extract(head, r"(?s)<x:xmpmeta.*?(?:</x:xmpmeta>|$)", 0)
-    return F.struct(F.lower(head).rlike("|".join(SIGNED)).alias("c2pa"), (packet != "").alias("xmp"), *(F.nullif(markup_value(packet, name), F.lit("")).alias(name) for name in MARKERS))
+    return F.struct(F.lower(head).rlike("|".join(SIGNED)).alias("c2pa"), (packet != "").alias("xmp"), *(F.nullif(F.trim(markup_value(packet, name)), F.lit("")).alias(name) for name in MARKERS))

@@ -787,4 +787,4 @@ def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries here too.
-from vellumine.plans import edits, joined, kept, learned, parsed, pictured, stored, toned, written  # noqa: E402, F401
+from vellumine.plans import edits, joined, kept, learned, packed, parsed, pictured, stored, toned, written  # noqa: E402, F401
