@@ -416,9 +416,10 @@ def agreement_figures(spark: SparkSession, d: str) -> DataFrame:
     return agreement.agreement(human_pairs(spark, d))
 
 
-@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = l.doc_id AND x.lang = 'en')")
+@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = l.doc_id)")
 def missing_labels_anti(spark: SparkSession, d: str) -> DataFrame:
-    return agreement.compare(table(spark, d, "documents").where("lang = 'en'"), table(spark, d, "labels"), "doc_id")[1].select("doc_id", "quality")
+    """Labels without a vector."""
+    return agreement.compare(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id").select("doc_id"), table(spark, d, "labels"), "doc_id")[1].select("doc_id", "quality")
 
 
 # --- reports --------------------------------------------------------------------------------------
@@ -519,14 +520,14 @@ def redact(spark: SparkSession, d: str) -> DataFrame:
 _WORDS = "list_filter(regexp_extract_all(lower(text), '([a-z][a-z''-]+)', 1), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "], w))"
 
 
-@query(f"WITH W AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents WHERE lang = 'en'), D AS (SELECT doc_id, w, min(i) AS i FROM W GROUP BY 1, 2), N AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM D) SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i) FILTER (n <= 40), '') AS keywords FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id WHERE d.lang = 'en' GROUP BY 1")
+@query(f"WITH W AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents), D AS (SELECT doc_id, w, min(i) AS i FROM W GROUP BY 1, 2), N AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM D) SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i) FILTER (n <= 40), '') AS keywords FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id GROUP BY 1")
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("keywords"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("keywords"))
 
 
 @query(f"WITH W AS (SELECT doc_id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents), D AS (SELECT doc_id, w, min(i) AS i FROM W GROUP BY 1, 2), N AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM D) SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY i) FILTER (n <= 40), '') AS keywords FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id GROUP BY 1")
 def keywords_all(spark: SparkSession, d: str) -> DataFrame:
-    """As `keywords`, of documents in any language."""
+    """The same as `keywords`, which once had English documents alone."""
     return table(spark, d, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("keywords"))
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from vellumine import params
 from vellumine.operators import exports, graph, quarantine, stored
-from vellumine.plans.bindings import table
+from vellumine.plans.bindings import ASSET_SQL, assets, table
 from vellumine.plans.registry import query
-from vellumine.sources import readers, sinks
+from vellumine.sources import keyed_store as keyed_store_module
+from vellumine.sources import publication, readers, sinks
 
 
 def _k():
@@ -151,11 +152,13 @@ def resolved_observations(spark: SparkSession, d: str) -> DataFrame:
 _PROFILES = "(VALUES " + ", ".join(f"('{p.name}', '{w}', {v!r}::DOUBLE)" for p, weights in ((params.PROFILES["default-photo"], params.WEIGHTS), (params.PROFILES["default-video"], params.WEIGHTS | params.VIDEO_WEIGHTS)) for w, v in weights.items()) + ") t(profile, part, w)"
 
 
-@query(f"SELECT profile, part, round_even(w / sum(w) OVER (PARTITION BY profile), 9) AS share, CASE profile WHEN 'default-video' THEN 64.0::DOUBLE ELSE 68.0 END AS strong, CASE profile WHEN 'default-video' THEN 'default-photo@0.1.0-provisional+default-video@0.1.0-provisional' ELSE 'default-photo@0.1.0-provisional+default-video@0.1.0-provisional' END AS fingerprint FROM {_PROFILES}")
+@query(f"WITH {ASSET_SQL}, P AS (SELECT profile, part, round_even(w / sum(w) OVER (PARTITION BY profile), 9) AS share FROM {_PROFILES}) SELECT key, part, share, CASE kind WHEN 'video' THEN 64.0::DOUBLE ELSE 68.0 END AS strong FROM A JOIN P ON profile = 'default-' || kind")
 def profile_parts(spark: SparkSession, d: str) -> DataFrame:
-    """The parts and one limit of the two default profiles, and what a run judged by them is known by."""
-    rows = [(name, part, round(share, 9), params.PROFILES[name].limits["stock_strong"], params.fingerprint(params.chosen(name))) for name in ("default-photo", "default-video") for part, share in params.PROFILES[name].parts.items()]
-    return spark.createDataFrame(rows, "profile string, part string, share double, strong double, fingerprint string")
+    """For every asset the parts of its kind's default profile and one limit."""
+    rows = [(name, part, round(share, 9), params.PROFILES[name].limits["stock_strong"]) for name in ("default-photo", "default-video") for part, share in params.PROFILES[name].parts.items()]
+    parts = spark.createDataFrame(rows, "profile string, part string, share double, strong double")
+    own = assets(spark, d).select("key", F.concat(F.lit("default-"), "kind").alias("profile"))
+    return own.join(F.broadcast(parts), "profile").select("key", "part", "share", "strong")
 
 
 # --- written and read again -----------------------------------------------------------------------
@@ -186,3 +189,32 @@ def sections_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     folder = graph.shared_folder(spark)
     sinks.by_section(table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("section")), f"{folder}/sections", "section")
     return spark.read.parquet(f"{folder}/sections").groupBy("section").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"))
+
+
+@query("SELECT 'events' AS name, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer")
+def published_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables published together; a second version without its manifest is passed over and removed."""
+    root = f"{graph.shared_folder(spark)}/published"
+    events, customers = table(spark, d, "events").select(F.col("event_id").alias("id")), table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    publication.publish(spark, root, publication.stage(spark, root, {"events": events, "customer": customers}), ("events",))
+    events.limit(0).write.parquet(f"{root}/versions/half-made/events")
+    publication.recover(spark, root)
+    counted = lambda name: publication.read(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("id").alias("total"))
+    return counted("events").union(counted("customer"))
+
+
+@query("""WITH L AS (SELECT user_id AS key, max(event_id) AS latest, max_by(event_type, event_id) AS value FROM events GROUP BY 1) SELECT c_custkey AS key, latest, CASE WHEN latest % 7 <> 0 THEN value END AS value, latest IS NOT NULL AND latest % 7 <> 0 AS hit FROM customer LEFT JOIN L ON key = c_custkey""")
+def keyed_store(spark: SparkSession, d: str) -> DataFrame:
+    """The latest event of each user, upserted in three batches around a compaction, looked up for every customer; every seventh event removes its key."""
+    value = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), value.alias("value"))
+    store = keyed_store_of(spark)
+    store.put(e.where("at % 3 = 0"))
+    store.put(e.where("at % 3 = 1"))
+    store.compact()
+    store.put(e.where("at % 3 = 2"))
+    return store.get(table(spark, d, "customer").select(F.col("c_custkey").alias("key"))).select("key", F.col("at").alias("latest"), "value", "hit")
+
+
+def keyed_store_of(spark: SparkSession) -> keyed_store_module.Store:
+    return keyed_store_module.Store(spark, f"{graph.shared_folder(spark)}/store", "key long, at long, value string", 16)
