@@ -3,6 +3,8 @@
 import math
 import random
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,6 +55,48 @@ def test_strengths_recover_the_order_and_stay_finite(spark):
     small = {r.item: r.strength for r in ranking.bradley_terry_small(df.withColumn("axis", F.lit("a")), "axis", iterations=10).collect()}
     assert sorted(big, key=big.get, reverse=True) == [f"i{a:02d}" for a in range(12)]
     assert all(abs(big[k] - small[k]) < 1e-9 for k in big) and abs(np.mean(list(big.values())) - 1) < 1e-9
+    table = dict(ranking.bradley_terry(df, iterations=3, most_at_driver=0).collect())
+    three = dict(ranking.bradley_terry(df, iterations=3).collect())
+    assert all(abs(table[k] - three[k]) < 1e-9 for k in three)
+    # Two axes apart, edges of both directions, loops and nothing.
+    axes = df.withColumn("axis", F.lit("a")).union(spark.createDataFrame([("x", "y", 2, "b"), ("y", "x", 1, "b"), ("x", "x", 9, "b")], "winner string, loser string, n long, axis string"))
+    both = {(r.axis, r.item): r.strength for r in ranking.bradley_terry(axes, ["axis"], iterations=3).collect()}
+    again = {(r.axis, r.item): r.strength for r in ranking.bradley_terry(axes, ["axis"], iterations=3, most_at_driver=0).collect()}
+    assert both.keys() == again.keys() and all(abs(both[k] - again[k]) < 1e-9 for k in both) and both["b", "x"] > both["b", "y"]
+    assert all(abs(both["a", k] - three[k]) < 1e-9 for k in three) and ranking.bradley_terry(df.limit(0)).isEmpty()
+
+
+def slow_scale(entries):
+    """One axis of stored replies as percentiles, by loops: first reply of a name, wins within what is left of each group, sixty steps."""
+    first = {}
+    for name, _, members, rank in sorted(entries, key=lambda e: e[1]):
+        first.setdefault(name, (tuple(members), rank))
+    wins = Counter((a, b) for a, (ga, ra) in first.items() for b, (gb, rb) in first.items() if ga == gb and ra is not None and rb is not None and ra < rb)
+    items = {x for pair in wins for x in pair}
+    s = dict.fromkeys(items, 1.0)
+    for _ in range(60):
+        new = {i: (sum(n for (a, _), n in wins.items() if a == i) + 0.5) / (0.5 + sum(n / (s[a] + s[b]) for (a, b), n in wins.items() if i in (a, b))) for i in items}
+        mean = sum(new.values()) / len(new) if new else 1
+        s = {k: v / mean for k, v in new.items()}
+    order = sorted(s, key=lambda k: (-round(s[k], 9), k))
+    out = {k: 100 if len(order) == 1 else round(100 * (len(order) - 1 - i) / (len(order) - 1)) for i, k in enumerate(order)}
+    for name, (members, rank) in first.items():
+        if name not in out:
+            out[name] = None if rank is None else 100 if len(members) < 2 else max(0, min(100, round(100 * (len(members) - rank) / (len(members) - 1))))
+    return out
+
+
+def test_replies_of_overlapping_groups_make_one_scale(spark):
+    """Gaps, equal ranks, repeated replies, a group of one, and a group that overlaps left alone."""
+    rows, names = [], [f"n{i:02d}" for i in range(16)]
+    for at, members in enumerate((names[:6], names[4:10], names[8:14], ["n14"], names[12:16])):
+        rows += [(m, at, members, None if (i + at) % 5 == 4 else 1 + (i * 7 + at) % len(members), 1 + i // 2) for i, m in enumerate(members)]
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "name string, at long, members array<string>, a long, b long")
+    got = {r.name: (r.a, r.b) for r in ranking.stitched(df, ["a", "b"]).collect()}
+    a, b = slow_scale([(r[0], r[1], r[2], r[3]) for r in rows]), slow_scale([(r[0], r[1], r[2], r[4]) for r in rows])
+    assert got == {n: (a[n], b[n]) for n in names}
+    assert ranking.stitched(df.limit(0), ["a", "b"]).isEmpty()
 
 
 def test_near_permutations_are_repaired(spark):

@@ -49,7 +49,7 @@ def fit(decisions: DataFrame) -> DataFrame:
     """(item, strength) from the pairwise decisions, each as often as its weight says, at least once."""
     times = history.repetitions(history.decision_weight(F.col("signal"), F.col("confidence")))
     wins = decisions.where(is_pairwise()).groupBy("winner", "loser").agg(F.sum(times).alias("n"))
-    return ranking.bradley_terry_small(wins.withColumn("all", F.lit("all")), "all").select("item", "strength")
+    return ranking.bradley_terry(wins)
 
 
 def predict(assets: DataFrame, probabilities: DataFrame, decisions: DataFrame) -> DataFrame:

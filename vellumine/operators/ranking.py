@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from vellumine.functions.numbers import clamp_score
 
 ITERATIONS, PRIOR = 60, 0.5
+#: Items up to which their strengths are held at the driver between steps.
+MOST_AT_DRIVER = 100_000
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -45,24 +46,45 @@ def pairwise_wins(ranked: DataFrame, group: str = "group_id", item: str = "item"
     return a.join(b, group).where("ra < rb").groupBy("winner", "loser").agg(F.count("*").alias("n"))
 
 
-def bradley_terry(wins: DataFrame, iterations: int = ITERATIONS, prior: float = PRIOR, keep_every: int = 5) -> DataFrame:
-    """(item, strength) by fixed majorisation steps; after each the mean strength is 1.
+def bradley_terry(wins: DataFrame, axis: list[str] | None = None, iterations: int = ITERATIONS, prior: float = PRIOR, most_at_driver: int = MOST_AT_DRIVER) -> DataFrame:
+    """(axis columns, item, strength) of (axis columns, winner, loser, n) by fixed majorisation steps, each axis by itself; after each step an axis's mean strength is 1.
 
-    Every step joins strengths to the edges and sums on the items; lineage is cut every few steps.
+    Two items that met have one edge, whichever won. Every step sums over the edges where they lie, with map-side combine, so that no task sees an axis or an item whole. Strengths of up to
+    `most_at_driver` items (some 50 bytes each) are held at the driver between steps and broadcast; those of more are a table, joined to the edges' ends and kept in the shared folder.
     """
     from vellumine.operators.graph import checkpointed
 
-    edges = checkpointed(wins.select(F.col("winner").alias("i"), F.col("loser").alias("j"), F.col("n").alias("won"), F.col("n").alias("met")).union(wins.select(F.col("loser").alias("i"), F.col("winner").alias("j"), F.lit(0).cast("long").alias("won"), F.col("n").alias("met"))))
-    strength = edges.groupBy(F.col("i").alias("item")).agg(F.lit(1.0).alias("s"))
-    for step in range(iterations):
-        other = strength.select(F.col("item").alias("j"), F.col("s").alias("sj"))
-        own = strength.select(F.col("item").alias("i"), F.col("s").alias("si"))
-        met = edges.join(own, "i").join(other, "j").groupBy("i").agg((F.sum("won") + prior).alias("w"), (F.sum(F.col("met") / (F.col("si") + F.col("sj"))) + prior).alias("d"))
-        raw = met.select(F.col("i").alias("item"), (F.col("w") / F.col("d")).alias("r"))
-        strength = raw.crossJoin(F.broadcast(raw.agg(F.avg("r").alias("mean")))).select("item", (F.col("r") / F.col("mean")).alias("s"))
-        if step % keep_every == keep_every - 1:
-            strength = checkpointed(strength)
-    return strength.select("item", F.col("s").alias("strength"))
+    axis = axis or []
+    n = F.col("n").cast("double")
+    ends = wins.select(*axis, F.least("winner", "loser").alias("i"), F.greatest("winner", "loser").alias("j"), n.alias("met"), F.when(F.col("winner") <= F.col("loser"), n).otherwise(0.0).alias("won_i")).where("i <> j")
+    edges = checkpointed(ends.groupBy(*axis, "i", "j").agg(F.sum("met").alias("met"), F.sum("won_i").alias("won_i")))
+    both = edges.select(*axis, F.explode(F.array(F.struct(F.col("i").alias("item"), F.col("won_i").alias("won")), F.struct(F.col("j").alias("item"), (F.col("met") - F.col("won_i")).alias("won")))).alias("x"))
+    won = checkpointed(both.groupBy(*axis, F.col("x.item").alias("item")).agg((F.sum("x.won") + prior).alias("w")))
+
+    def shares(strength: DataFrame) -> DataFrame:
+        """For each item the sum over its edges of meetings by the ends' strengths."""
+        one = strength.select(*axis, F.col("item").alias("i"), F.col("s").alias("si"))
+        other = strength.select(*axis, F.col("item").alias("j"), F.col("s").alias("sj"))
+        small = F.broadcast if few else lambda df: df
+        met = edges.join(small(one), [*axis, "i"]).join(small(other), [*axis, "j"])
+        return met.select(*axis, F.explode(F.array("i", "j")).alias("item"), (F.col("met") / (F.col("si") + F.col("sj"))).alias("share")).groupBy(*axis, "item").agg(F.sum("share").alias("d"))
+
+    few = won.count() <= most_at_driver
+    kinds = ", ".join(f"{c} {t}" for c, t in won.drop("w").dtypes) + ", s double"
+    if few:
+        model = won.toPandas().assign(s=1.0)
+        for _ in range(iterations if len(model) else 0):
+            sums = shares(edges.sparkSession.createDataFrame(model[[*axis, "item", "s"]], kinds)).toPandas()
+            model = model.drop(columns="s").merge(sums, on=[*axis, "item"])
+            model["s"] = model["w"] / (model.pop("d") + prior)
+            model["s"] /= model.groupby(axis)["s"].transform("mean") if axis else model["s"].mean()
+        return edges.sparkSession.createDataFrame(model[[*axis, "item", "s"]], kinds).withColumnRenamed("s", "strength")
+    strength = won.withColumn("s", F.lit(1.0))
+    for _ in range(iterations):
+        raw = checkpointed(shares(strength).join(won, [*axis, "item"]).select(*axis, "item", (F.col("w") / (F.col("d") + prior)).alias("r")))
+        means = raw.groupBy(*axis).agg(F.avg("r").alias("mean"))
+        strength = (raw.join(means, axis) if axis else raw.crossJoin(F.broadcast(means))).select(*axis, "item", (F.col("r") / F.col("mean")).alias("s"))
+    return strength.withColumnRenamed("s", "strength")
 
 
 def bradley_terry_small(wins: DataFrame, axis: str, iterations: int = ITERATIONS, prior: float = PRIOR) -> DataFrame:
@@ -83,6 +105,33 @@ def bradley_terry_small(wins: DataFrame, axis: str, iterations: int = ITERATIONS
     return wins.groupBy(axis).applyInPandas(fit, f"{axis} {kinds[axis]}, item {kinds['winner']}, strength double")
 
 
+def stitched(entries: DataFrame, axes: list[str], name: str = "name") -> DataFrame:
+    """(name, axes): one scale from 0 to 100 over all items for each axis, rebuilt from stored replies (name, at, members, axes).
+
+    A reply holds an item's ranks within the group that it was asked with, `members`. An item's first reply counts; so a group is what is left of it. Groups of two ranked items or more give
+    wins, wins give strengths, and these, to 9 places and then by name, give percentiles. Items without a comparison keep the percentile of their rank within their group; a null rank with none stays null.
+    The number of shuffles doesn't grow with the groups.
+    """
+    from vellumine.functions.numbers import rank_to_percentile
+    from vellumine.operators.graph import checkpointed
+
+    first = checkpointed(entries.groupBy(name).agg(F.min_by(F.struct("members", *axes), F.struct("at", "members")).alias("e")).select(F.col(name).alias("name"), "e.*"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("long").alias("rank")) for a in axes)))
+    flat = first.select("name", F.xxhash64("members").alias("group_id"), F.size("members").alias("size"), ranks.alias("x")).select("name", "group_id", "size", "x.axis", "x.rank").where("rank IS NOT NULL")
+    one = flat.select("axis", "group_id", F.col("name").alias("winner"), F.col("rank").alias("ra"))
+    other = flat.select("axis", "group_id", F.col("name").alias("loser"), F.col("rank").alias("rb"))
+    wins = one.join(other, ["axis", "group_id"]).where("ra < rb").groupBy("axis", "winner", "loser").agg(F.count("*").alias("n"))
+    strength = bradley_terry(wins, ["axis"]).withColumn("strength", F.bround("strength", 9))
+    placed = numbered(strength, [F.col("axis"), F.desc("strength"), F.col("item")])
+    ends = placed.groupBy("axis").agg(F.min("position").alias("start"), F.count("*").alias("total"))
+    last = F.col("total") - 1
+    score = F.when(last < 1, 100).otherwise(F.bround(100.0 * (last - (F.col("position") - F.col("start"))) / last)).cast("long")
+    scored = placed.join(F.broadcast(ends), "axis").select("axis", F.col("item").alias("name"), score.alias("score"))
+    own = flat.join(scored, ["axis", "name"], "left").withColumn("score", F.coalesce("score", rank_to_percentile(F.col("rank"), F.col("size")).cast("long")))
+    by_axis = own.groupBy("name").agg(*(F.max(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in axes))
+    return first.select("name").join(by_axis, "name", "left").withColumnRenamed("name", name)
+
+
 def percentile_scores(df: DataFrame, position: str, total: int) -> DataFrame:
     """The rows with `percentile`: 100 for the first position, 0 for the last; 100 for a single row."""
     value = F.lit(100).cast("long") if total < 2 else clamp_score(100.0 * (total - 1 - F.col(position)) / (total - 1))

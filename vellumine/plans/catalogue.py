@@ -253,11 +253,34 @@ _BT = f"""WITH RECURSIVE {ASSET_SQL}, T AS (SELECT CAST(key % 3 AS VARCHAR) AS a
 
 @query(_BT)
 def bradley_terry_strength(spark: SparkSession, d: str) -> DataFrame:
-    """Strengths on three axes of some hundred assets each, a kernel an axis."""
+    """Strengths on three axes of some hundred assets each."""
     df = assets(spark, d).select((F.col("key") % 3).cast("string").alias("axis"), F.floor(F.col("key") / 36).alias("g"), F.col("key").alias("item"), "quality")
     x, y = df.alias("x"), df.alias("y")
     wins = x.join(y, (F.col("x.axis") == F.col("y.axis")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.quality") > F.col("y.quality"))).select(F.col("x.axis").alias("axis"), F.col("x.item").alias("winner"), F.col("y.item").alias("loser"), F.lit(1).cast("long").alias("n"))
-    return ranking.bradley_terry_small(wins, "axis").withColumn("strength", F.bround("strength", 6))
+    return ranking.bradley_terry(wins, ["axis"]).withColumn("strength", F.bround("strength", 6))
+
+
+_AXES = {"axis_a": "(key * 37 + 5) % 101", "axis_b": "(key * 53 + 11) % 101", "axis_c": "(key * 71 + 29) % 101"}
+#: Replies of groups of twelve that share three with the one before; an item's first group counts.
+_STITCH = f"""WITH RECURSIVE {ASSET_SQL}, O AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS p, count(*) OVER () AS n FROM A), G AS (SELECT key, unnest(range(greatest(0, CAST(ceil((p - 11) / 9.0) AS BIGINT)), least(CAST(ceil((n - 12) / 9.0) AS BIGINT), p // 9) + 1)) AS g FROM O),
+  R AS (SELECT key, g, unnest([{", ".join(f"struct_pack(axis := '{a}', rank := rank() OVER (PARTITION BY g ORDER BY {sql}))" for a, sql in _AXES.items())}], recursive := true), min(g) OVER (PARTITION BY key) AS first FROM G), T AS (SELECT axis, g, key AS item, rank FROM R WHERE g = first),
+  W AS (SELECT x.axis, x.item AS winner, y.item AS loser FROM T x JOIN T y ON x.axis = y.axis AND x.g = y.g AND x.rank < y.rank), E AS (SELECT axis, winner AS i, loser AS j, 1 AS won, 1 AS met FROM W UNION ALL SELECT axis, loser, winner, 0, 1 FROM W),
+  Z AS (SELECT 0 AS step, axis, i AS item, 1.0::DOUBLE AS s FROM (SELECT DISTINCT axis, i FROM E)
+    UNION ALL SELECT step + 1, axis, item, r / avg(r) OVER (PARTITION BY axis) FROM (SELECT a.step, E.axis, E.i AS item, (sum(E.won) + 0.5::DOUBLE) / (sum(E.met / (a.s + b.s)) + 0.5::DOUBLE) AS r FROM E JOIN Z a ON a.axis = E.axis AND a.item = E.i JOIN Z b ON b.axis = E.axis AND b.item = E.j WHERE a.step < 60 GROUP BY a.step, E.axis, E.i)),
+  P AS (SELECT axis, item, CAST(round_even(100.0::DOUBLE * (count(*) OVER own - row_number() OVER (PARTITION BY axis ORDER BY round_even(s, 9) DESC, item)) / (count(*) OVER own - 1), 0) AS BIGINT) AS score FROM Z WHERE step = 60 WINDOW own AS (PARTITION BY axis))
+  SELECT item AS key, {", ".join(f"max(score) FILTER (axis = '{a}') AS {a}" for a in _AXES)} FROM P GROUP BY item"""
+
+
+@query(_STITCH)
+def stitched_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Three axes over all assets, from ranks within overlapping groups."""
+    from pyspark.sql import Window
+
+    placed = ranking.numbered(assets(spark, d).select("key"), [F.col("key")])
+    groups = ranking.ranking_groups(placed, "position", placed.count())
+    ranks = {a: F.rank().over(Window.partitionBy("group_id").orderBy(F.expr(sql))).cast("long") for a, sql in _AXES.items()}
+    members = F.array_sort(F.collect_list("key").over(Window.partitionBy("group_id")))
+    return ranking.stitched(groups.select("key", F.col("group_id").alias("at"), members.alias("members"), *(c.alias(a) for a, c in ranks.items())), list(_AXES), "key")
 
 
 @query(f"WITH {ASSET_SQL}, N AS (SELECT key, row_number() OVER (ORDER BY quality DESC, key) - 1 AS p, count(*) OVER () AS n FROM A) SELECT key, CAST(round_even(100.0::DOUBLE * (n - 1 - p) / (n - 1), 0) AS BIGINT) AS percentile FROM N")
