@@ -307,3 +307,25 @@ def test_exported_documents(spark):
     targets = spark.createDataFrame([("b", "# 1"), ("c", "hand")], "asset_id string, document string")
     now = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1"), ("d", "2")], "asset_id string, checksum string")
     assert {tuple(r) for r in exports.apply_plan(recipes, targets, now).collect()} == {("a", "create"), ("b", "replace"), ("c", "overwrite"), ("d", "stale"), ("e", "missing_source")}
+
+
+def test_bursts_over_ranges(spark):
+    """A long stream cut into ranges numbers its bursts as one loop does; null streams and times, ties and repeated rows."""
+    random.seed(6)
+    base = 1_700_000_000
+    rows, at = [], base
+    for i in range(300):
+        at += random.choice([0, 1, 1, 2, 5])
+        rows.append(("a", at, i, random.choice([0, 0, 1, 255, -1])))
+    rows += [("b", base, 1, 0), ("b", base + 1, 2, 0), ("b", base + 9, 3, 0), (None, base, 1, 0), (None, base + 1, 2, 0), ("c", None, 1, 0), ("c", base, 2, None), ("c", base + 1, 3, 0)]
+    df = spark.createDataFrame(rows, "stream string, s long, key long, code long").withColumn("shot", F.timestamp_seconds("s"))
+    got = {(r.stream, r.key): r.burst for r in graph.bursts(df.repartition(5), "stream", "shot", "key", "code").collect()}
+    want = {}
+    for stream in ("a", "b", "c", None):
+        before, n = None, 0
+        for _, s, key, code in sorted((r for r in rows if r[0] == stream), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            near = before is not None and None not in (s, code, *before) and s - before[0] <= 3 and bin((code ^ before[1]) & (2**64 - 1)).count("1") <= 8
+            n += not near
+            want[stream, key], before = n, (s, code)
+    assert got == want and len(set(want.values())) > 20
+    assert graph.bursts(df.limit(0), "stream", "shot", "key", "code").isEmpty()

@@ -5,9 +5,11 @@ A page is put together from one row a section, whose cards are few; a whole run'
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.operators import ranking
+
 # Sections of a report in their order, with their colours.
 SECTIONS = {"TOP": "#a978c4", "GOOD_STOCK": "#5fb98a", "GOOD_PERSONAL": "#6aa9d8", "NEEDS_DECISION": "#d8c06a", "WEAK": "#8a8a8a"}
 HEAD = '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Report</title></head><body>'
@@ -44,8 +46,7 @@ def card(df: DataFrame, name: str = "card") -> DataFrame:
 
 def sections(cards: DataFrame, most: int = 200) -> DataFrame:
     """(category, page, n, html): cards in pages of `most`, best first; no section is cut short, further cards are on further pages."""
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("final_score"), "filename"))
-    paged = cards.withColumn("_p", place).withColumn("page", F.floor((F.col("_p") - 1) / most))
+    paged = ranking.numbered_within(cards, "category", [F.desc("final_score"), F.col("filename")], "_p").withColumn("page", F.floor((F.col("_p") - 1) / most))
     whole = F.array_sort(F.collect_list(F.struct("_p", "card")))
     pages = paged.groupBy("category", "page").agg(F.count("*").alias("n"), F.array_join(F.transform(whole, lambda x: x["card"]), "").alias("_c"))
     return pages.select("category", "page", "n", F.concat(F.lit(HEAD), element("h2", escaped(F.col("category"))), F.col("_c"), F.lit(TAIL)).alias("html"))

@@ -104,8 +104,22 @@ def scene_clusters(df: DataFrame, key: str, code: str, quality: str, shot: str,
 
 
 def bursts(df: DataFrame, stream: str, shot: str, key: str, code: str, gap_seconds: float = 3.0, radius: int = 8) -> DataFrame:
-    """The rows with `burst`, a number within the stream: consecutive ones share it within gap and radius of the one before."""
-    order = Window.partitionBy(stream).orderBy(shot, key)
-    before_at, before_code = F.lag(shot).over(order), F.lag(code).over(order)
+    """The rows with `burst`, a number within the stream: consecutive ones share it within gap and radius of the one before.
+
+    Ranges of (stream, shot, key) are looked at apart; each is told the last row of its stream before it and how many bursts began there, so that a long stream is spread over tasks.
+    """
+    order = [F.col(stream), F.col(shot), F.col(key)]
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # so that ranges are cut once
+    own = Window.partitionBy("_part", stream).orderBy(shot, key)
+    along = Window.partitionBy("_stream").orderBy("_at")  # a row for each range that a stream reaches into
+    ends = ranged.groupBy(F.col("_part").alias("_at"), F.col(stream).alias("_stream")).agg(F.max(F.struct(F.col(shot).alias("shot"), F.col(key).alias("key"), F.col(code).alias("code"))).alias("_last"))
+    ends = ends.select("_at", "_stream", F.lag("_last").over(along).alias("_before"))
+    here = (F.col("_part") == F.col("_at")) & F.col(stream).eqNullSafe(F.col("_stream"))
+    told = ranged.join(ends, here).drop("_at", "_stream").withColumn("_nth", F.row_number().over(own))
+    before_at = F.when(F.col("_nth") == 1, F.col("_before.shot")).otherwise(F.lag(shot).over(own))
+    before_code = F.when(F.col("_nth") == 1, F.col("_before.code")).otherwise(F.lag(code).over(own))
     same = F.coalesce((seconds_between(F.col(shot), before_at) <= gap_seconds) & (hamming(F.col(code), before_code) <= radius), F.lit(False))
-    return df.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("burst", F.sum("_new").over(order).cast("long")).drop("_new")
+    flagged = checkpointed(told.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_before", "_nth"))
+    begun = flagged.groupBy(F.col("_part").alias("_at"), F.col(stream).alias("_stream")).agg(F.sum("_new").alias("_n"))
+    begun = begun.select("_at", "_stream", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    return flagged.join(begun, here).withColumn("burst", (F.col("_earlier") + F.sum("_new").over(own)).cast("long")).drop("_at", "_stream", "_part", "_new", "_earlier")

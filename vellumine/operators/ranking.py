@@ -26,6 +26,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "position") -> Data
     return local.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
 
 
+def numbered_within(df: DataFrame, group: str, order: list[Column], name: str = "place") -> DataFrame:
+    """The rows with their place from 1 within their group, of which one may hold most rows: global positions less where the group begins."""
+    placed = numbered(df, [F.col(group), *order], "_position")
+    starts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_position").alias("_start"))
+    return placed.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, (F.col("_position") - F.col("_start") + 1).cast("long")).drop("_position", "_group", "_start")
+
+
 def ranking_groups(df: DataFrame, position: str, total: int, size: int = 12, overlap: int = 3) -> DataFrame:
     """A row for each member of each group: consecutive runs of `size` that share `overlap` with the one before.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.operators import ranking
+
 STRONG_DIMENSION, WEAK_DIMENSION, LEAST_FRAMES, LEAST_SHARE = 62, 42, 3, 0.15
 SORT_KEYS = ["final_score", "post_edit_potential", "stock_potential", "aesthetic_potential", "confidence", "uniqueness", "current_quality", "filename"]
 
@@ -27,7 +29,8 @@ def ordered(records: DataFrame, key: str = "final_score") -> DataFrame:
 
 
 def ranked_sections(records: DataFrame, section: str = "category", score: str = "final_score", name: str = "key") -> DataFrame:
-    return records.withColumn("place", F.row_number().over(Window.partitionBy(section).orderBy(F.desc(score), name)).cast("long"))
+    """The records with `place` from 1 within their section, best first; sections are few, so rows are placed by ranges of them."""
+    return ranking.numbered_within(records, section, [F.desc(score), F.col(name)])
 
 
 def comparison_rows(records: DataFrame) -> DataFrame:
