@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.operators import pictures
+from vellumine.operators import kernels, pictures
 from vellumine.plans.bindings import table
 from vellumine.plans.registry import query
 
@@ -107,3 +111,48 @@ def picture_damage(spark: SparkSession, d: str) -> DataFrame:
     after = pictures.render(before.withColumns(_recipe(k) | plain)).select("key", F.col("out_pixels").alias("after"))
     found = pictures.damage(before.withColumnRenamed("pixels", "before").join(after, "key").withColumn("faces", k % 2 == 0))
     return found.withColumn("violations", F.array_join("violations", ","))
+
+
+@query("""WITH E AS (SELECT event_id AS key, CAST(event_id * 37 % 256 AS DOUBLE) AS v, (event_id % 17 - 8) / 4.0::DOUBLE AS ev FROM events), X AS (SELECT *, v / 255 AS x, greatest(v / 255 - 0.72::DOUBLE, 0.0) AS above, greatest(0.28::DOUBLE - v / 255, 0.0) AS below FROM E)
+  SELECT key, round_even(255 * pow(least(1.0::DOUBLE, pow(x, 2.2::DOUBLE) * pow(2.0::DOUBLE, ev)), 1 / 2.2::DOUBLE), 6) AS exposed,
+    round_even(255 * least(1.0::DOUBLE, greatest(0.0, x - 0.45::DOUBLE * least(above / 0.28::DOUBLE, 1.0) * above + 0.35::DOUBLE * least(below / 0.28::DOUBLE, 1.0) * below)), 6) AS recovered,
+    round_even(255 * least(1.0::DOUBLE, greatest(0.0, x + 0.36::DOUBLE * (x - 0.5) * (1 - 2 * abs(x - 0.5)))), 6) AS contrasted FROM X""")
+def pixel_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The search's edits of single values: stops in linear light, recovery at both ends, contrast."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            v, ev = frame["v"].to_numpy(), frame["ev"].to_numpy()
+            yield pd.DataFrame({"key": frame["key"], "exposed": kernels.exposure(v, ev), "recovered": pictures.recovered(v), "contrasted": pictures.contrasted(v)})
+
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(k.alias("key"), (k * 37 % 256).cast("double").alias("v"), ((k % 17 - 8) / 4.0).alias("ev"))
+    return rows.mapInPandas(run, "key long, exposed double, recovered double, contrasted double").select("key", *(F.bround(c, 6).alias(c) for c in ("exposed", "recovered", "contrasted")))
+
+
+@query("SELECT vec_id AS key, round_even(CAST(embedding[1] AS DOUBLE) / n, 6) AS first, round_even(CAST(embedding[64] AS DOUBLE) / n, 6) AS last FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of length 1, by their ends."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            unit = kernels.normalised(np.stack(frame["embedding"].to_list()).astype(float)) if len(frame) else np.zeros((0, 64))
+            yield pd.DataFrame({"key": frame["key"], "first": unit[:, 0], "last": unit[:, -1]})
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding").mapInPandas(run, "key long, first double, last double")
+    return rows.select("key", F.bround("first", 6).alias("first"), F.bround("last", 6).alias("last"))
+
+
+@query(f"""WITH P AS (SELECT vec_id AS key, i // 8 AS y, i % 8 AS x, CAST(round_even(CAST(embedding[i + 1] AS DOUBLE) * 100, 0) AS BIGINT) AS v FROM embeddings, range(64) t(i)),
+  M AS (SELECT a.key, a.y, a.x, CAST(median(b.v) AS DOUBLE) AS m FROM P a JOIN range(-1, 2) p(o) ON true JOIN range(-1, 2) q(o) ON true JOIN P b ON b.key = a.key AND b.y = least(7, greatest(0, a.y + p.o)) AND b.x = least(7, greatest(0, a.x + q.o)) GROUP BY ALL)
+  SELECT key, sum(m) AS total, max(m) AS most FROM M GROUP BY key""")
+def median_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of 3 x 3 neighbourhoods in the vectors as 8 x 8 pictures."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            flat = pictures.median(np.stack(frame["v"].to_list()).astype(float).reshape(-1, 8, 8), 3).reshape(-1, 64) if len(frame) else np.zeros((0, 64))
+            yield pd.DataFrame({"key": frame["key"], "total": flat.sum(axis=1), "most": flat.max(axis=1) if len(frame) else []})
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: F.bround(x.cast("double") * 100)).alias("v"))
+    return rows.mapInPandas(run, "key long, total double, most double")
