@@ -25,6 +25,12 @@ def test_reports(spark, run, tmp_path):
 def test_labels_and_ratings(spark, run, tmp_path):
     (tmp_path / "labels.csv").write_text("filename,human_pile,human_score,human_rank\na,top,,\nb,good,,\n")
     assert sorted((r.pile, r.said, r.n) for r in commands.bench_quality(spark, run, str(tmp_path / "labels.csv")).collect()) == [("good", "weak", 1), ("top", "top", 1)]
+    (tmp_path / "scored.csv").write_text("filename,human_pile,human_score,human_rank\na,top,9,\nb,weak,1,\nc,good,5,\n")
+    figures = commands.bench_figures(spark, run, str(tmp_path / "scored.csv")).first()
+    assert (figures.n, figures.scored, figures.rho) == (3, 3, 1.0) and figures.agreed <= figures.best_hits == 3
+    assert {r.human: (r.top, r.good, r.weak) for r in commands.bench_confusion(spark, run, str(tmp_path / "scored.csv")).collect()}["weak"] == (0, 0, 1)
+    swept = commands.bench_sweep(spark, run, str(tmp_path / "scored.csv"))
+    assert swept.first().hits == 3 and swept.where("hits > 3").isEmpty()
     spark.createDataFrame([(1, '<rdf:Description a="1"/>')], "key long, document string").write.parquet(str(tmp_path / "side"))
     got = {r.key: r for r in commands.apply_ratings(spark, run, str(tmp_path / "side"), str(tmp_path / "out")).collect()}
     assert got[1].exists and 'xmp:Rating="5"' in got[1].document and not got[2].exists

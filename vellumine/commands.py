@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine import params
-from vellumine.operators import agreement, documents, history, learning, moves, quarantine, records, scoring, selection
+from vellumine.operators import agreement, documents, history, learning, moves, quarantine, ranking, records, scoring, selection
 from vellumine.sources import readers, sinks
 
 COMMANDS: dict[str, Callable[..., DataFrame]] = {}
@@ -60,6 +60,32 @@ def bench_quality(spark: SparkSession, run: str, labels: str) -> DataFrame:
     return pairs.groupBy("pile", agreement.pile(F.col("score")).alias("said")).agg(F.count("*").alias("n"))
 
 
+def _labelled(spark: SparkSession, run: str, labels: str) -> DataFrame:
+    return readers.labels(spark, labels).withColumnRenamed("score", "said").join(run_table(spark, run).select("filename", F.col("final_score").cast("long").alias("score")), "filename")
+
+
+@command
+def bench_figures(spark: SparkSession, run: str, labels: str) -> DataFrame:
+    """One row of figures: how often the run agrees with a person's piles, precision and recall of the best pile, the thresholds that would agree most, and the rank correlation with the
+    person's scores, with how many labels have one. Reads filename and final_score."""
+    own = _labelled(spark, run, labels)
+    figures = agreement.agreement(own.where("pile IS NOT NULL").select("pile", "score"))
+    rho = ranking.spearman(own.where("said IS NOT NULL").select("said", "score"), "said", "score").select(F.col("n").alias("scored"), "rho")
+    return figures.crossJoin(F.broadcast(rho))  # a row each
+
+
+@command
+def bench_confusion(spark: SparkSession, run: str, labels: str) -> DataFrame:
+    """How the run files each of a person's piles, at the present thresholds."""
+    return agreement.confusion(_labelled(spark, run, labels).where("pile IS NOT NULL").select("pile", "score"))
+
+
+@command
+def bench_sweep(spark: SparkSession, run: str, labels: str) -> DataFrame:
+    """Every pair of thresholds with how many labels it would agree with, the best first."""
+    return agreement.sweep(_labelled(spark, run, labels).where("pile IS NOT NULL").select("pile", "score")).orderBy(F.desc("hits"), "top", "weak")
+
+
 @command
 def apply_ratings(spark: SparkSession, run: str, sidecars: str, out: str) -> DataFrame:
     """The sidecar of each record with its stars and label, written as one text a row. Reads key and category; `sidecars` has key and document."""
@@ -198,9 +224,9 @@ def main(arguments: list[str]) -> int:
     if not arguments or arguments[0] not in COMMANDS:
         print("commands: " + ", ".join(sorted(COMMANDS)))
         return 2
-    from vellumine.session import local_session
+    from vellumine.session import session
 
-    COMMANDS[arguments[0]](local_session(), **dict(a.split("=", 1) for a in arguments[1:])).show(50, truncate=120)
+    COMMANDS[arguments[0]](session(), **dict(a.split("=", 1) for a in arguments[1:])).show(50, truncate=120)
     return 0
 
 
