@@ -1,5 +1,6 @@
 """Operators against small brute-force versions and named edge cases."""
 
+import json
 import math
 import random
 
@@ -329,3 +330,46 @@ def test_bursts_over_ranges(spark):
             want[stream, key], before = n, (s, code)
     assert got == want and len(set(want.values())) > 20
     assert graph.bursts(df.limit(0), "stream", "shot", "key", "code").isEmpty()
+
+
+def test_the_monitor_as_a_stream(spark, tmp_path):
+    """After every batch the figures of the batch operators over all rows so far, across a restart; what is switched off stays off until it is asked for with enough checks."""
+    random.seed(13)
+    folder, out, files = tmp_path / "log", tmp_path / "out", []
+    folder.mkdir()
+    for k in range(5):
+        rows = []
+        for i in range(90):
+            said = random.choice(["keep", "trash"])
+            true = random.choice([said, said, said, None, ""]) if k < 2 else random.choice([said, "keep", "trash", None])
+            rows.append({"model": "m", "at": 1000 * k + i, "predicted": said, "actual": true, "confidence": random.choice([0.5, 0.9, 1.0]) if k else 1.0, "in_distribution": random.random() < (0.9 if k < 3 else 0.4)})
+        if k == 1:
+            rows.append({"model": "m", "at": 0, "holdout_checks": 10})
+        files.append(rows)
+    files.append([{"model": "fresh", "at": 5, "predicted": "keep", "actual": None, "confidence": 0.5, "in_distribution": True}, {"model": "m", "at": 1, "holdout_checks": 9000}])
+    wrote = lambda k: (folder / f"{k}.json").write_text("\n".join(map(json.dumps, files[k])))
+
+    def run():
+        figures = logs.monitored(logs.log_stream(spark, str(folder), logs.MONITORED, 1))
+        store = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        figures.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(2):
+        wrote(k)
+        run()
+    for k in range(2, 6):
+        wrote(k)
+        run()
+    found = spark.read.parquet(str(out)).where("model = 'm'").orderBy("batch").collect()
+    assert len(found) == 6
+    off = False
+    for k, r in enumerate(found):
+        rows = [x for f in files[: k + 1] for x in f if x["model"] == "m" and "holdout_checks" not in x]
+        df = spark.createDataFrame([(x["at"], x["predicted"], x["actual"], x["confidence"], x["in_distribution"]) for x in rows], "at long, predicted string, actual string, confidence double, in_distribution boolean")
+        want = history.alarms(df, "at").first()
+        assert (r.rate, r.n, r.drift) == (want.rate, want.n, want.drift) and abs(r.gap - want.gap) < 1e-9
+        off = off or not want.automation
+        assert r.enabled == (not off) and bool(r.reason) == off
+    assert off
+    fresh = spark.read.parquet(str(out)).where("model = 'fresh'").first()
+    assert fresh.enabled and (fresh.n, fresh.drift) == (0, 0.0)

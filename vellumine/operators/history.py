@@ -57,10 +57,10 @@ def calibration(observations: DataFrame) -> DataFrame:
 
 
 def alarms(observations: DataFrame, order: str) -> DataFrame:
-    """(rate, n, drift, gap, automation): the three figures, and whether all keep within their limits."""
+    """(rate, n, drift, gap, automation): the three figures, and whether all keep within their limits; the rate counts from BIN_LEAST resolved rows on."""
     gap = calibration(observations).where(F.col("n") >= BIN_LEAST).agg(F.coalesce(F.bround(F.max(F.abs(F.col("claimed") - F.col("actual"))), 4), F.lit(0.0)).alias("gap"))
     one = false_trash(observations).crossJoin(drift(observations, order)).crossJoin(gap)  # a row each
-    return one.withColumn("automation", (F.col("rate") <= FALSE_TRASH_ALARM) & (F.col("drift") <= DRIFT_ALARM) & (F.col("gap") <= CALIBRATION_ALARM))
+    return one.withColumn("automation", ((F.col("n") < BIN_LEAST) | (F.col("rate") <= FALSE_TRASH_ALARM)) & (F.col("drift") <= DRIFT_ALARM) & (F.col("gap") <= CALIBRATION_ALARM))
 
 
 def audited(asset_id: Column) -> Column:

@@ -616,7 +616,7 @@ def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
     return history.calibration(observations(spark, d))
 
 
-@query(f"WITH {OBS_SQL}, X AS ({RATE_SQL}), Y AS ({DRIFT_SQL}), Z AS (SELECT coalesce(round_even(max(abs(claimed - actual)), 4), 0.0) AS gap FROM ({BINS_SQL}) WHERE n >= 20) SELECT rate, n, drift, gap, rate <= 0.001 AND drift <= 0.25 AND gap <= 0.1 AS automation FROM X, Y, Z")
+@query(f"WITH {OBS_SQL}, X AS ({RATE_SQL}), Y AS ({DRIFT_SQL}), Z AS (SELECT coalesce(round_even(max(abs(claimed - actual)), 4), 0.0) AS gap FROM ({BINS_SQL}) WHERE n >= 20) SELECT rate, n, drift, gap, (n < 20 OR rate <= 0.001) AND drift <= 0.25 AND gap <= 0.1 AS automation FROM X, Y, Z")
 def monitor_alarms(spark: SparkSession, d: str) -> DataFrame:
     return history.alarms(observations(spark, d), "at")
 
