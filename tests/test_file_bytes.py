@@ -91,3 +91,20 @@ def test_files_as_rows(spark):
     assert tags.file_tags(df).count() == 4 and tags.file_tags(df.limit(0)).isEmpty()
     facts = {r.key: r for r in containers.container_facts(df).collect()}
     assert facts[None].broken is None and facts[2].broken and containers.container_facts(df.limit(0)).isEmpty()
+
+
+def test_recipe_documents(spark):
+    """Defaults for what is absent, nothing for what is unknown, nulls for what is no object; whole documents come back as they were."""
+    from pyspark.sql import functions as F
+
+    from vellumine.operators import documents
+
+    texts = ['{}', '{"asset_id": "x", "geometry": {"crop": {"right": 0.5}}, "color": {"hsl": [{"hue": "red"}]}, "other": {"a": 1}}', "no json", "", None, "[1]", '{"global": {"contrast": "high"}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, t string").select("key", documents.document_of(F.col("t")).alias("r"))
+    got = {r.key: r.r for r in rows.collect()}
+    assert got[0].variant == "faithful" and got[0]["global"].contrast == 0 and got[0].geometry.crop is None and got[0].evidence == []
+    assert got[1].geometry.crop.right == 0.5 and got[1].geometry.crop.bottom == 1.0 and got[1].color.hsl == [{"hue": "red"}]
+    assert got[2] is None and got[3] is None and got[4] is None and got[5] is None and got[6]["global"].contrast == 0
+    again = {r.key: r.r for r in rows.where("r IS NOT NULL").select("key", documents.document_of(documents.document_text(F.col("r"))).alias("r")).collect()}
+    assert again == {k: v for k, v in got.items() if v is not None}
+    assert '"keeps":0.5' in rows.where("key = 1").select(documents.document_text(F.col("r"))).first()[0]

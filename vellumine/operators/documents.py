@@ -123,6 +123,51 @@ def recipe_of(text: Column) -> Column:
     return F.from_json(text, RECIPE)
 
 
+# The whole recipe document. Its fields with their kinds and what absent ones mean, by section.
+_WHOLE = "contrast highlights shadows whites blacks temperature_delta_k tint_delta texture clarity dehaze vibrance saturation".split()
+_TEXTS = ("array<string>", None)
+DOCUMENT = {
+    "": {"schema_version": ("int", 1), "asset_id": ("string", ""), "asset_key": ("string", ""), "source_checksum": ("string", ""), "variant": ("string", "faithful"), "intent": ("string", "")},
+    "global": {"exposure_ev": ("double", 0.0)} | dict.fromkeys(_WHOLE, ("int", 0)),
+    "geometry": {"rotation_deg": ("double", 0.0), "preserve_existing_tilt": ("boolean", False)},
+    "crop": {"left": ("double", 0.0), "top": ("double", 0.0), "right": ("double", 1.0), "bottom": ("double", 1.0), "aspect_ratio": ("string", ""), "reason": ("string", ""), "confidence": ("double", 0.0)},
+    "detail": dict.fromkeys(("denoise_luminance", "denoise_color", "sharpening", "masking"), ("int", 0)),
+    "color": {"style": ("string", "neutral"), "monochrome": ("boolean", False), "hsl": ("array<map<string,string>>", None), "grading": ("array<map<string,string>>", None)},
+    "confidence": dict.fromkeys(("tone", "color", "crop", "detail"), ("double", 0.0)),
+    "last": {"preserve": _TEXTS, "warnings": _TEXTS, "evidence": _TEXTS, "engine": ("string", ""), "engine_version": ("string", ""), "uses_generative": ("boolean", False)},
+}
+
+
+def _kinds(section: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, (kind, _) in DOCUMENT[section].items())
+
+
+_SECTIONS = ", ".join(f"{s}: struct<{_kinds(s)}>" for s in ("global", "detail", "color", "confidence"))
+DOCUMENT_KIND = f"struct<{_kinds('')}, {_SECTIONS}, geometry: struct<{_kinds('geometry')}, crop: struct<{_kinds('crop')}>>, {_kinds('last')}>"
+
+
+def _filled(of: Column, section: str) -> list[Column]:
+    default = lambda kind, value: F.array().cast(kind) if value is None else F.lit(value).cast(kind)
+    return [F.coalesce(of[name], default(kind, value)).alias(name) for name, (kind, value) in DOCUMENT[section].items()]
+
+
+def document_of(text: Column) -> Column:
+    """The whole recipe of a JSON document: unknown fields are dropped, absent ones have their defaults, an absent crop is null; null for what is no JSON object."""
+    raw = F.from_json(text, DOCUMENT_KIND, {"columnNameOfCorruptRecord": ""})
+    crop = F.when(raw["geometry"]["crop"].isNotNull(), F.struct(*_filled(raw["geometry"]["crop"], "crop")))
+    sections = [F.struct(*_filled(raw[s], s)).alias(s) for s in ("global", "detail", "color", "confidence")]
+    whole = F.struct(*_filled(raw, ""), *sections, F.struct(*_filled(raw["geometry"], "geometry"), crop.alias("crop")).alias("geometry"), *_filled(raw, "last"))
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")) & raw.isNotNull(), whole)
+
+
+def document_text(recipe: Column) -> Column:
+    """A whole recipe as its JSON document, with the share that its crop keeps."""
+    crop = recipe["geometry"]["crop"]
+    keeps = F.bround(F.greatest(F.lit(0.0), crop["right"] - crop["left"]) * F.greatest(F.lit(0.0), crop["bottom"] - crop["top"]), 4)
+    geometry = recipe["geometry"].withField("crop", F.when(crop.isNotNull(), crop.withField("keeps", keeps)))
+    return F.to_json(recipe.withField("geometry", geometry), {"ignoreNullFields": "false"})
+
+
 # Facts of a file's tags.
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine import params
-from vellumine.operators import exports, graph, quarantine, stored
+from vellumine.operators import documents, exports, graph, quarantine, stored
 from vellumine.plans.bindings import ASSET_SQL, assets, table
 from vellumine.plans.registry import query
 from vellumine.sources import keyed_store as keyed_store_module
@@ -218,3 +218,17 @@ def keyed_store(spark: SparkSession, d: str) -> DataFrame:
 
 def keyed_store_of(spark: SparkSession) -> keyed_store_module.Store:
     return keyed_store_module.Store(spark, f"{graph.shared_folder(spark)}/store", "key long, at long, value string", 16)
+
+
+@query("""WITH P AS (SELECT p_partkey AS key, p_partkey % 3 = 0 AS cropped FROM part)
+  SELECT key, 'p' || key AS asset_id, 'faithful' AS variant, (key % 9 - 4) / 4.0::DOUBLE AS exposure_ev, CAST(key % 50 AS INTEGER) AS clarity, CAST(0 AS INTEGER) AS contrast, 'neutral' AS style, CASE WHEN cropped THEN round_even((0.9::DOUBLE - key % 4 / 10.0::DOUBLE) * 0.5::DOUBLE, 4) END AS keeps, CASE WHEN cropped THEN 0.5::DOUBLE END AS bottom, 'a,b' AS preserve, '' AS evidence, key % 2 = 0 AS uses_generative FROM P""")
+def recipe_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Partial documents with fields of other tools, read with their defaults, written whole, written to files and read again."""
+    k = F.col("p_partkey")
+    crop = F.when(k % 3 == 0, F.struct((k % 4 / 10.0).alias("left"), F.lit(0.9).alias("right"), F.lit(0.5).alias("bottom"), F.lit("x").alias("other")))
+    part = F.struct(F.concat(F.lit("p"), k.cast("string")).alias("asset_id"), F.lit(1).alias("unheard_of"), F.struct(((k % 9 - 4) / 4.0).alias("exposure_ev"), (k % 50).alias("clarity")).alias("global"), F.struct(crop.alias("crop")).alias("geometry"), F.array(F.lit("a"), F.lit("b")).alias("preserve"), (k % 2 == 0).alias("uses_generative"))
+    folder = graph.shared_folder(spark)
+    whole = table(spark, d, "part").select(k.alias("key"), documents.document_text(documents.document_of(F.to_json(part))).alias("text"))
+    whole.write.json(f"{folder}/recipes")
+    back = spark.read.schema("key long, text string").json(f"{folder}/recipes").select("key", "text", documents.document_of(F.col("text")).alias("r"))
+    return back.select("key", "r.asset_id", "r.variant", "r.global.exposure_ev", "r.global.clarity", "r.global.contrast", "r.color.style", F.get_json_object("text", "$.geometry.crop.keeps").cast("double").alias("keeps"), "r.geometry.crop.bottom", F.array_join("r.preserve", ",").alias("preserve"), F.array_join("r.evidence", ",").alias("evidence"), "r.uses_generative")
