@@ -54,6 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores twice over, or as shuffles have: for work that costs far more than its few bytes to read, which splits by bytes would leave to a task or two."""
+    session = df.sparkSession
+    return df.repartition(max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _named(columns: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")"
 

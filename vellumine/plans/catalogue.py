@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.functions import numbers, text, vectors
 from vellumine.operators import agreement, curation, exports, graph, history, intent, kernels, media, platforms, provider, quarantine, ranking, reporting, scoring, selection
 from vellumine.params import CATEGORIES
-from vellumine.plans.bindings import ASSET_SQL, assets, table
+from vellumine.plans.bindings import ASSET_SQL, assets, spread, table
 from vellumine.plans.oracle_parts import CLASSES, CODES, FINAL, HASH, HASHES, SCORES
 from vellumine.plans.registry import QUERIES, SQL, Query, query
 
@@ -807,7 +807,7 @@ def preset_ids(spark: SparkSession, d: str) -> DataFrame:
     + CASE WHEN key % 5 <> 0 AND key % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN key % 4 = 0 THEN 5 ELSE 0 END AS n FROM X""".replace("SELECT key, 13", "SELECT key, CAST(13").replace("END AS n FROM X", "END AS INTEGER) AS n FROM X"))
 def recipe_settings(spark: SparkSession, d: str) -> DataFrame:
     """How many settings a recipe writes, counted in its document."""
-    return _recipes(spark, d).select("key", F.size(exports.settings_in(exports.metadata_packet())).alias("n"))
+    return spread(_recipes(spark, d)).select("key", F.size(exports.settings_in(exports.metadata_packet())).alias("n"))
 
 
 # The other modules register their queries here too.
