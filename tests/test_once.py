@@ -15,3 +15,10 @@ def test_settings_read_once(spark):
     out = df.select(exports.settings_in(F.col("t")).alias("m"))
     assert _plan(out).count("regexp_extract_all") == 1
     assert [r.m for r in df.select("t", exports.settings_in(F.col("t")).alias("m")).orderBy(F.col("t").asc_nulls_first()).collect()] == [None, {}, {"xmp:Rating": "5", "crs:Tint": "3", "dc:t": ""}]
+
+
+def test_differences_read_each_document_once(spark):
+    df = spark.createDataFrame([('<a crs:B="1" crs:A="2"/>', '<a crs:B="1" crs:A="3" xmp:C="4"/>'), (None, "")], "a string, b string").repartition(2)
+    out = df.select("a", exports.differences(F.col("a"), F.col("b")).alias("lines"))
+    assert _plan(out).count("regexp_extract_all") == 2
+    assert {r.a: r.lines for r in out.collect()} == {'<a crs:B="1" crs:A="2"/>': ["crs:A: 2 -> 3", "xmp:C: - -> 4"], None: None}

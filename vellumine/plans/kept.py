@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine import params
 from vellumine.operators import documents, exports, graph, quarantine, stored
-from vellumine.plans.bindings import ASSET_SQL, assets, table
+from vellumine.plans.bindings import ASSET_SQL, assets, spread, table
 from vellumine.plans.registry import query
 from vellumine.sources import keyed_store as keyed_store_module
 from vellumine.sources import publication, readers, sinks
@@ -114,7 +114,7 @@ def settings_differences(spark: SparkSession, d: str) -> DataFrame:
     """Which settings of a sidecar an edit would change."""
     value = F.when(_k() % 2 == 0, (_k() % 9).cast("string")).otherwise("4")
     before = F.concat(F.lit('<a crs:Contrast2012="'), value, F.lit('" xmp:Rating="5"/>'))
-    return table(spark, d, "events").select(_k().alias("key"), F.array_join(exports.differences(before, F.lit('<a crs:Contrast2012="4" crs:Tint="3"/>')), "|").alias("changes"))
+    return spread(table(spark, d, "events").select("event_id")).select(_k().alias("key"), F.array_join(exports.differences(before, F.lit('<a crs:Contrast2012="4" crs:Tint="3"/>')), "|").alias("changes"))
 
 
 @query("""WITH R AS (SELECT event_id AS id, event_id % 6 AS m FROM events) SELECT id AS asset_id, CASE m WHEN 0 THEN 'missing_source' WHEN 1 THEN 'stale' WHEN 2 THEN 'create' WHEN 3 THEN 'replace' WHEN 4 THEN 'overwrite' ELSE 'create' END AS action FROM R""")
