@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from vellumine.operators import exports
+from vellumine.operators import documents, exports
 
 
 def _plan(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", 10000)
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -22,3 +23,16 @@ def test_differences_read_each_document_once(spark):
     out = df.select("a", exports.differences(F.col("a"), F.col("b")).alias("lines"))
     assert _plan(out).count("regexp_extract_all") == 2
     assert {r.a: r.lines for r in out.collect()} == {'<a crs:B="1" crs:A="2"/>': ["crs:A: 2 -> 3", "xmp:C: - -> 4"], None: None}
+
+
+def test_recipe_documents_are_parsed_once(spark):
+    df = spark.createDataFrame([('{"asset_id": "p1", "geometry": {"crop": {"left": 0.2, "right": 0.7, "bottom": 0.5}}, "x": 1}',), ("[1]",), (None,)], "t string").repartition(2)
+    recipe = documents.document_of(F.col("t"))
+    out = df.select("t", recipe.alias("r"), documents.document_text(recipe).alias("text"))
+    plan = _plan(df.select(documents.document_text(recipe).alias("text")))
+    assert plan.count("from_json(") == 1
+    rows = {r.t: r for r in out.collect()}
+    assert rows[None].r is None and rows["[1]"].r is None
+    whole = next(r for t, r in rows.items() if t and t != "[1]")
+    assert whole.r["asset_id"] == "p1" and whole.r["geometry"]["crop"]["top"] == 0.0 and whole.r["variant"] == "faithful"
+    assert '"keeps":0.25' in whole.text

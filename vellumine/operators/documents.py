@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.bound import once
 from vellumine.operators import ranking
 
 # Sections of a report in their order, with their colours.
@@ -152,20 +153,27 @@ def _filled(of: Column, section: str) -> list[Column]:
 
 
 def document_of(text: Column) -> Column:
-    """The whole recipe of a JSON document: unknown fields are dropped, absent ones have their defaults, an absent crop is null; null for what is no JSON object."""
-    raw = F.from_json(text, DOCUMENT_KIND, {"columnNameOfCorruptRecord": ""})
-    crop = F.when(raw["geometry"]["crop"].isNotNull(), F.struct(*_filled(raw["geometry"]["crop"], "crop")))
-    sections = [F.struct(*_filled(raw[s], s)).alias(s) for s in ("global", "detail", "color", "confidence")]
-    whole = F.struct(*_filled(raw, ""), *sections, F.struct(*_filled(raw["geometry"], "geometry"), crop.alias("crop")).alias("geometry"), *_filled(raw, "last"))
-    return F.when(F.startswith(F.ltrim(text), F.lit("{")) & raw.isNotNull(), whole)
+    """The whole recipe of a JSON document, parsed once: unknown fields are dropped, absent ones have their defaults, an absent crop is null; null for what is no JSON object."""
+
+    def whole(raw: Column) -> Column:
+        crop = F.when(raw["geometry"]["crop"].isNotNull(), F.struct(*_filled(raw["geometry"]["crop"], "crop")))
+        sections = [F.struct(*_filled(raw[s], s)).alias(s) for s in ("global", "detail", "color", "confidence")]
+        return F.when(raw.isNotNull(), F.struct(*_filled(raw, ""), *sections, F.struct(*_filled(raw["geometry"], "geometry"), crop.alias("crop")).alias("geometry"), *_filled(raw, "last")))
+
+    read = lambda t: once(F.from_json(t, DOCUMENT_KIND, {"columnNameOfCorruptRecord": ""}), whole)
+    return once(text, lambda t: F.when(F.startswith(F.ltrim(t), F.lit("{")), read(t)))
 
 
 def document_text(recipe: Column) -> Column:
     """A whole recipe as its JSON document, with the share that its crop keeps."""
-    crop = recipe["geometry"]["crop"]
-    keeps = F.bround(F.greatest(F.lit(0.0), crop["right"] - crop["left"]) * F.greatest(F.lit(0.0), crop["bottom"] - crop["top"]), 4)
-    geometry = recipe["geometry"].withField("crop", F.when(crop.isNotNull(), crop.withField("keeps", keeps)))
-    return F.to_json(recipe.withField("geometry", geometry), {"ignoreNullFields": "false"})
+
+    def written(r: Column) -> Column:
+        crop = r["geometry"]["crop"]
+        keeps = F.bround(F.greatest(F.lit(0.0), crop["right"] - crop["left"]) * F.greatest(F.lit(0.0), crop["bottom"] - crop["top"]), 4)
+        geometry = r["geometry"].withField("crop", F.when(crop.isNotNull(), crop.withField("keeps", keeps)))
+        return F.to_json(r.withField("geometry", geometry), {"ignoreNullFields": "false"})
+
+    return once(recipe, written)
 
 
 # Facts of a file's tags.

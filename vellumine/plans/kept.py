@@ -228,7 +228,7 @@ def recipe_documents(spark: SparkSession, d: str) -> DataFrame:
     crop = F.when(k % 3 == 0, F.struct((k % 4 / 10.0).alias("left"), F.lit(0.9).alias("right"), F.lit(0.5).alias("bottom"), F.lit("x").alias("other")))
     part = F.struct(F.concat(F.lit("p"), k.cast("string")).alias("asset_id"), F.lit(1).alias("unheard_of"), F.struct(((k % 9 - 4) / 4.0).alias("exposure_ev"), (k % 50).alias("clarity")).alias("global"), F.struct(crop.alias("crop")).alias("geometry"), F.array(F.lit("a"), F.lit("b")).alias("preserve"), (k % 2 == 0).alias("uses_generative"))
     folder = graph.shared_folder(spark)
-    whole = table(spark, d, "part").select(k.alias("key"), documents.document_text(documents.document_of(F.to_json(part))).alias("text"))
+    whole = spread(table(spark, d, "part").select("p_partkey")).select(k.alias("key"), documents.document_text(documents.document_of(F.to_json(part))).alias("text"))
     whole.write.json(f"{folder}/recipes")
     back = spark.read.schema("key long, text string").json(f"{folder}/recipes").select("key", "text", documents.document_of(F.col("text")).alias("r"))
     return back.select("key", "r.asset_id", "r.variant", "r.global.exposure_ev", "r.global.clarity", "r.global.contrast", "r.color.style", F.get_json_object("text", "$.geometry.crop.keeps").cast("double").alias("keeps"), "r.geometry.crop.bottom", F.array_join("r.preserve", ",").alias("preserve"), F.array_join("r.evidence", ",").alias("evidence"), "r.uses_generative")
