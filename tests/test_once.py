@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellumine.operators import documents, exports
+from vellumine.plans import catalogue
 
 
 def _plan(df):
@@ -36,3 +37,9 @@ def test_recipe_documents_are_parsed_once(spark):
     whole = next(r for t, r in rows.items() if t and t != "[1]")
     assert whole.r["asset_id"] == "p1" and whole.r["geometry"]["crop"]["top"] == 0.0 and whole.r["variant"] == "faithful"
     assert '"keeps":0.25' in whole.text
+
+
+def test_move_plan_spells_out_no_scores_in_filters(spark):
+    plan = catalogue.move_plan(spark, "/root/testdata/sf0.001")
+    assert max(len(line) for line in _plan(plan).splitlines() if "Filter" in line) < 2000
+    assert plan.count() == 2 * catalogue.classed(spark, "/root/testdata/sf0.001").select("key", "route_class").collect().__str__().count("route_class='trash'")
