@@ -490,7 +490,8 @@ def insights_patterns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CLASSES} SELECT key, unnest([1, 2]) - 1 AS number, 'f' || CAST(key AS VARCHAR) || '.' || unnest(['rw2', 'xmp']) AS file, reason_key AS reason FROM C WHERE route_class = 'trash'".replace("unnest([1, 2]) - 1 AS number", "CAST(unnest([0, 1]) AS INTEGER) AS number"))
 def move_plan(spark: SparkSession, d: str) -> DataFrame:
     df = classed(spark, d)
-    files = df.select("key", F.array(*(F.concat(F.lit("f"), F.col("key").cast("string"), F.lit(s)) for s in (".rw2", ".xmp"))).alias("files"))
+    key = F.col("vec_id")
+    files = table(spark, d, "embeddings").select(key.alias("key"), F.array(*(F.concat(F.lit("f"), key.cast("string"), F.lit(s)) for s in (".rw2", ".xmp"))).alias("files"))
     return reporting.move_plan(df, files)
 
 
