@@ -65,9 +65,9 @@ def usable_segments(samples: DataFrame, clip: str = "clip") -> DataFrame:
     return each.where(end - start >= LEAST_SEGMENT).select(clip, F.bround(start, 3).alias("start"), F.bround(end, 3).alias("end"), F.bround("q", 2).cast("double").alias("mean_quality"))
 
 
-def exposure_stability(samples: DataFrame, clip: str = "clip") -> DataFrame:
-    """(clip, n, mean_quality, focus_consistency, exposure_range, flicker) of each clip's samples."""
-    order = Window.partitionBy(clip).orderBy("ts")
+def exposure_stability(samples: DataFrame, clip: str = "clip", key: str | None = None) -> DataFrame:
+    """(clip, n, mean_quality, focus_consistency, exposure_range, flicker) of each clip's samples; those of one time follow each other by `key`, without one in no fixed order."""
+    order = Window.partitionBy(clip).orderBy("ts", *[key] * (key is not None))
     d = samples.withColumn("_d", F.abs(F.col("mean_luma") - F.lag("mean_luma").over(order)))
     out = d.groupBy(clip).agg(F.count("*").alias("n"), F.bround(F.avg("quality"), 2).alias("mean_quality"), F.stddev_pop("sharpness").alias("sd"), F.avg("sharpness").alias("m"), (F.max("mean_luma") - F.min("mean_luma")).alias("r"), F.stddev_pop("_d").alias("fl"))
     focus = F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("sd", "m"), F.lit(1.0))))

@@ -191,7 +191,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as a clip's samples, an hour for a second."""
     e = table(spark, d, "events")
     ts = (F.col("ts").cast("timestamp").cast("double") - 1704067200.0) / 3600.0
-    return e.select(F.col("user_id").alias("clip"), F.bround(ts, 3).alias("ts"), F.least(F.lit(100.0), F.col("value")).alias("quality"), (F.col("event_id") % 255).cast("double").alias("mean_luma"), (F.col("event_id") % 97 + 1).cast("double").alias("sharpness"), F.lit(720.0).alias("duration"))
+    return e.select("event_id", F.col("user_id").alias("clip"), F.bround(ts, 3).alias("ts"), F.least(F.lit(100.0), F.col("value")).alias("quality"), (F.col("event_id") % 255).cast("double").alias("mean_luma"), (F.col("event_id") % 97 + 1).cast("double").alias("sharpness"), F.lit(720.0).alias("duration"))
 
 
 _SAMPLES = "V AS (SELECT user_id AS clip, round_even((epoch_us(ts) / 1e6 - 1704067200.0::DOUBLE) / 3600.0::DOUBLE, 3) AS ts, least(100.0::DOUBLE, value) AS quality, CAST(event_id % 255 AS DOUBLE) AS mean_luma, CAST(event_id % 97 + 1 AS DOUBLE) AS sharpness FROM events)"
@@ -207,7 +207,7 @@ def usable_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_SAMPLES}, D AS (SELECT *, abs(mean_luma - lag(mean_luma) OVER (PARTITION BY clip ORDER BY ts)) AS dl FROM V)
   SELECT clip, count(*) AS n, round_even(avg(quality), 2) AS mean_quality, round_even(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.0, 1 - stddev_pop(sharpness) / avg(sharpness)) END, 4) AS focus_consistency, round_even(max(mean_luma) - min(mean_luma), 4) AS exposure_range, round_even(CASE WHEN count(*) >= 3 THEN stddev_pop(dl) ELSE 0.0 END, 4) AS flicker FROM D GROUP BY clip""")
 def exposure_stability(spark: SparkSession, d: str) -> DataFrame:
-    return media.exposure_stability(_samples(spark, d))
+    return media.exposure_stability(_samples(spark, d), key="event_id")
 
 
 # --- groups, wins, percentiles --------------------------------------------------------------------
