@@ -1,8 +1,10 @@
 """Costly values are worked out once a row, however often an expression reads them."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from vellumine.operators import documents, exports
+from vellumine.operators import documents, exports, media, pictures
 from vellumine.plans import catalogue
 
 
@@ -43,3 +45,18 @@ def test_move_plan_spells_out_no_scores_in_filters(spark):
     plan = catalogue.move_plan(spark, "/root/testdata/sf0.001")
     assert max(len(line) for line in _plan(plan).splitlines() if "Filter" in line) < 2000
     assert plan.count() == 2 * catalogue.classed(spark, "/root/testdata/sf0.001").select("key", "route_class").collect().__str__().count("route_class='trash'")
+
+
+def test_samples_of_one_time_follow_their_key(spark):
+    rows = [("a", 0.0, 1.0, 10.0, 5.0, 0), ("a", 1.0, 1.0, 90.0, 5.0, 1), ("a", 1.0, 1.0, 20.0, 5.0, 2), ("a", 2.0, 1.0, 30.0, 5.0, 3)]
+    flickers = {media.exposure_stability(spark.createDataFrame(r, "clip string, ts double, quality double, mean_luma double, sharpness double, at int").coalesce(1), key="at").first().flicker for r in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert flickers == {30.9121}  # steps of 80, 70 and 10
+
+
+def test_pictures_are_worked_on_in_small_stacks(spark):
+    seen = []
+    frame = pd.DataFrame({"key": range(700), "height": 20, "width": 20, "pixels": [np.full(1200, i % 250) for i in range(699)] + [None]})
+    out = list(pictures._in_stacks(iter([frame, frame.iloc[:0]]), ["pixels"], ["first"], lambda own, rgb: seen.append(rgb.size) or {"first": rgb[:, 0, 0, 0].tolist()}))
+    assert max(seen) <= pictures.STACK and max(map(len, out)) <= pictures.FRAME
+    whole = pd.concat(out)
+    assert whole["key"].tolist() == list(range(700)) and whole["first"].tolist() == [i % 250 for i in range(699)] + [None]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import kernels, pictures
-from vellumine.plans.bindings import table
+from vellumine.plans.bindings import spread, table
 from vellumine.plans.registry import query
 
 
@@ -19,7 +19,7 @@ def _drawn(spark: SparkSession, d: str, height: int, width: int, colours: list[s
     grid = f"cast(p.y div {-(-height // 8)} * 8 + p.x div {-(-width // 8)} + 1 as int)"
     place = "array(" + ", ".join(colours).replace("{e}", f"cast(element_at(embedding, {grid}) as double)") + ")"
     pixels = f"flatten(transform(sequence(0, {height * width - 1}), i -> element_at(transform(array(named_struct('y', i div {width}, 'x', i % {width})), p -> {place}), 1)))"
-    return table(spark, d, "embeddings").selectExpr("vec_id AS key", f"{height} AS height", f"{width} AS width", f"transform({pixels}, v -> least(255, greatest(0, cast(v as int)))) AS pixels")
+    return spread(table(spark, d, "embeddings")).selectExpr("vec_id AS key", f"{height} AS height", f"{width} AS width", f"transform({pixels}, v -> least(255, greatest(0, cast(v as int)))) AS pixels")
 
 
 _blurred = lambda made, source, axis, sigma, most: (
