@@ -67,6 +67,22 @@ def test_strengths_recover_the_order_and_stay_finite(spark):
     assert all(abs(both["a", k] - three[k]) < 1e-9 for k in three) and ranking.bradley_terry(df.limit(0)).isEmpty()
 
 
+def test_strengths_by_blocks_take_no_items_to_the_driver(spark, monkeypatch):
+    rows = [(a, b, 1 + (a * b) % 3, axis) for axis in "xy" for a in range(14) for b in range(14) if (a * 7 + b * 5 + ord(axis)) % 4 == 0 or (a, b) == (0, 1)]
+    df = spark.createDataFrame(rows, "winner long, loser long, n long, axis string").where("winner <> loser")
+    want = {(r.axis, r.item): r.strength for r in ranking.bradley_terry_small(df, "axis", iterations=4).collect()}
+
+    def refused(*_):
+        raise AssertionError("a table of items at the driver")
+
+    monkeypatch.setattr(type(df), "toPandas", refused)
+    got = ranking.bradley_terry(df, ["axis"], iterations=4)
+    cut = ranking.bradley_terry(df, ["axis"], iterations=4, edges_a_block=5)
+    for out in (got, cut):
+        out = {(r.axis, r.item): r.strength for r in out.collect()}
+        assert out.keys() == want.keys() and all(abs(out[k] - want[k]) < 1e-12 for k in want)
+
+
 def slow_scale(entries):
     """One axis of stored replies as percentiles, by loops: first reply of a name, wins within what is left of each group, sixty steps."""
     first = {}

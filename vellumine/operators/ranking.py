@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from vellumine.functions.numbers import clamp_score
 
 ITERATIONS, PRIOR = 60, 0.5
-#: Items up to which their strengths are held at the driver between steps.
+#: Axes up to which their mean strengths go through the driver between steps.
 MOST_AT_DRIVER = 100_000
+#: Edges that make up one row in `bradley_terry`, some 40 bytes each, and rows of which a task gets some.
+EDGES_A_BLOCK, BLOCKS_A_PART = 1 << 14, 16
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -53,11 +56,11 @@ def pairwise_wins(ranked: DataFrame, group: str = "group_id", item: str = "item"
     return a.join(b, group).where("ra < rb").groupBy("winner", "loser").agg(F.count("*").alias("n"))
 
 
-def bradley_terry(wins: DataFrame, axis: list[str] | None = None, iterations: int = ITERATIONS, prior: float = PRIOR, most_at_driver: int = MOST_AT_DRIVER) -> DataFrame:
+def bradley_terry(wins: DataFrame, axis: list[str] | None = None, iterations: int = ITERATIONS, prior: float = PRIOR, most_at_driver: int = MOST_AT_DRIVER, edges_a_block: int = EDGES_A_BLOCK) -> DataFrame:
     """(axis columns, item, strength) of (axis columns, winner, loser, n) by fixed majorisation steps, each axis by itself; after each step an axis's mean strength is 1.
 
-    Two items that met have one edge, whichever won. Every step sums over the edges where they lie, with map-side combine, so that no task sees an axis or an item whole. Strengths of up to
-    `most_at_driver` items (some 50 bytes each) are held at the driver between steps and broadcast; those of more are a table, joined to the edges' ends and kept in the shared folder.
+    Two items that met have one edge, whichever won. Edges, in their ends' order, are cut into blocks of bounded size, which stay where they lie; a step sends each block its items' strengths and sums what the
+    blocks give for an item, so no task sees an axis or an item whole. The driver gets the means of up to `most_at_driver` axes, to broadcast them; those of more are joined. Nothing else is broadcast between steps.
     """
     from vellumine.operators.graph import checkpointed
 
@@ -66,38 +69,54 @@ def bradley_terry(wins: DataFrame, axis: list[str] | None = None, iterations: in
     ends = wins.select(*axis, F.least("winner", "loser").alias("i"), F.greatest("winner", "loser").alias("j"), n.alias("met"), F.when(F.col("winner") <= F.col("loser"), n).otherwise(0.0).alias("won_i")).where("i <> j")
     edges = checkpointed(ends.groupBy(*axis, "i", "j").agg(F.sum("met").alias("met"), F.sum("won_i").alias("won_i")))
     both = edges.select(*axis, F.explode(F.array(F.struct(F.col("i").alias("item"), F.col("won_i").alias("won")), F.struct(F.col("j").alias("item"), (F.col("met") - F.col("won_i")).alias("won")))).alias("x"))
-    won = checkpointed(both.groupBy(*axis, F.col("x.item").alias("item")).agg((F.sum("x.won") + prior).alias("w")))
-
-    def shares(strength: DataFrame) -> DataFrame:
-        """For each item the sum over its edges of meetings by the ends' strengths."""
-        one = strength.select(*axis, F.col("item").alias("i"), F.col("s").alias("si"))
-        other = strength.select(*axis, F.col("item").alias("j"), F.col("s").alias("sj"))
-        small = F.broadcast if few else lambda df: df
-        met = edges.join(small(one), [*axis, "i"]).join(small(other), [*axis, "j"])
-        return met.select(*axis, F.explode(F.array("i", "j")).alias("item"), (F.col("met") / (F.col("si") + F.col("sj"))).alias("share")).groupBy(*axis, "item").agg(F.sum("share").alias("d"))
-
-    few = won.count() <= most_at_driver
-    kinds = ", ".join(f"{c} {t}" for c, t in won.drop("w").dtypes) + ", s double"
-    if few:
-        model = won.toPandas().assign(s=1.0)
-        for _ in range(iterations if len(model) else 0):
-            sums = shares(edges.sparkSession.createDataFrame(model[[*axis, "item", "s"]], kinds)).toPandas()
-            model = model.drop(columns="s").merge(sums, on=[*axis, "item"])
-            model["s"] = model["w"] / (model.pop("d") + prior)
-            model["s"] /= model.groupby(axis)["s"].transform("mean") if axis else model["s"].mean()
-        return edges.sparkSession.createDataFrame(model[[*axis, "item", "s"]], kinds).withColumnRenamed("s", "strength")
-    strength = won.withColumn("s", F.lit(1.0))
-    for _ in range(iterations):
-        raw = checkpointed(shares(strength).join(won, [*axis, "item"]).select(*axis, "item", (F.col("w") / (F.col("d") + prior)).alias("r")))
+    won = both.groupBy(*axis, F.col("x.item").alias("item")).agg((F.sum("x.won") + prior).alias("w"))
+    items = checkpointed(numbered(won, [*map(F.col, axis), F.col("item")], "v"))
+    for end in "ij":
+        edges = edges.join(items.select(*axis, F.col("item").alias(end), F.col("v").alias(f"v{end}")).hint("merge"), [*axis, end])
+    cut = numbered(edges.select("vi", "vj", "met"), [F.col("vi"), F.col("vj")], "nth").withColumn("block", F.floor(F.col("nth") / edges_a_block))
+    blocks = checkpointed(cut.groupBy("block").applyInPandas(_packed, "block long, vs array<long>, i array<int>, j array<int>, met array<double>"))
+    total = blocks.count()
+    parts = max(1, min(total, max(edges.sparkSession.sparkContext.defaultParallelism, total // BLOCKS_A_PART)))
+    # Kept by the keys that steps join by, so that only strengths and sums move.
+    by_block, own = blocks.repartition(parts, "block").persist(), items.select("v", *axis, "w").repartition(parts, "v").persist()
+    needs = blocks.select("block", F.posexplode("vs").alias("at", "v")).repartition(parts, "v").persist()
+    few = not axis or items.select(*axis).distinct().count() <= most_at_driver
+    shares = F.pandas_udf(_shares, "array<double>")
+    strength = items.select("v", F.lit(1.0).alias("s"))
+    for _ in range(iterations if total else 0):
+        sent = needs.join(strength.repartition(parts, "v").hint("merge"), "v").select("block", F.struct("at", "s").alias("x")).repartition(parts, "block")
+        told = by_block.join(sent.groupBy("block").agg(F.collect_list("x").alias("x")).hint("merge"), "block")
+        given = told.select(F.explode(F.arrays_zip("vs", shares("i", "j", "met", "x.at", "x.s").alias("d"))).alias("x")).select(F.col("x.vs").alias("v"), F.col("x.d").alias("d"))
+        sums = given.repartition(parts, "v").groupBy("v").agg(F.sum("d").alias("d"))
+        raw = checkpointed(own.join(sums.hint("merge"), "v").select("v", *axis, (F.col("w") / (F.col("d") + prior)).alias("r")))
         means = raw.groupBy(*axis).agg(F.avg("r").alias("mean"))
-        strength = (raw.join(means, axis) if axis else raw.crossJoin(F.broadcast(means))).select(*axis, "item", (F.col("r") / F.col("mean")).alias("s"))
-    return strength.withColumnRenamed("s", "strength")
+        means = F.broadcast(means) if few else means.hint("merge")
+        strength = (raw.join(means, axis) if axis else raw.crossJoin(means)).select("v", (F.col("r") / F.col("mean")).alias("s"))
+    for kept in (by_block, own, needs):
+        kept.unpersist()
+    return items.join(strength.hint("merge"), "v").select(*axis, "item", F.col("s").alias("strength"))
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of edges as one row: the items in it, and its edges by their places among these."""
+    vs, ends = np.unique(pdf[["vi", "vj"]].to_numpy(), return_inverse=True)
+    i, j = ends.reshape(-1, 2).T.astype("int32")
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "vs": [vs], "i": [i], "j": [j], "met": [pdf["met"].to_numpy()]})
+
+
+def _shares(i: pd.Series, j: pd.Series, met: pd.Series, at: pd.Series, s: pd.Series) -> pd.Series:
+    """For each item of a block the sum over its edges there of meetings by the ends' strengths."""
+    out = []
+    for i_, j_, met_, at_, s_ in zip(i, j, met, at, s, strict=True):
+        own = np.empty(len(s_))
+        own[at_] = s_
+        share = met_ / (own[i_] + own[j_])
+        out.append(np.bincount(i_, share, len(own)) + np.bincount(j_, share, len(own)))
+    return pd.Series(out)
 
 
 def bradley_terry_small(wins: DataFrame, axis: str, iterations: int = ITERATIONS, prior: float = PRIOR) -> DataFrame:
     """The same for many axes at once, each of some thousand edges: one NumPy kernel a group. (axis, item, strength)."""
-    import numpy as np
-
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["winner"], pdf["loser"]]))
         i, j, n = np.searchsorted(names, pdf["winner"]), np.searchsorted(names, pdf["loser"]), pdf["n"].to_numpy(float)
