@@ -136,7 +136,7 @@ def stitched(entries: DataFrame, axes: list[str], name: str = "name") -> DataFra
 
     A reply holds an item's ranks within the group that it was asked with, `members`. An item's first reply counts; so a group is what is left of it. Groups of two ranked items or more give
     wins, wins give strengths, and these, to 9 places and then by name, give percentiles. Items without a comparison keep the percentile of their rank within their group; a null rank with none stays null.
-    The number of shuffles doesn't grow with the groups.
+    The number of shuffles doesn't grow with the groups. Joins by name are merges, so that the driver gets no table of names to broadcast.
     """
     from vellumine.functions.numbers import rank_to_percentile
     from vellumine.operators.graph import checkpointed
@@ -146,16 +146,16 @@ def stitched(entries: DataFrame, axes: list[str], name: str = "name") -> DataFra
     flat = first.select("name", F.xxhash64("members").alias("group_id"), F.size("members").alias("size"), ranks.alias("x")).select("name", "group_id", "size", "x.axis", "x.rank").where("rank IS NOT NULL")
     one = flat.select("axis", "group_id", F.col("name").alias("winner"), F.col("rank").alias("ra"))
     other = flat.select("axis", "group_id", F.col("name").alias("loser"), F.col("rank").alias("rb"))
-    wins = one.join(other, ["axis", "group_id"]).where("ra < rb").groupBy("axis", "winner", "loser").agg(F.count("*").alias("n"))
+    wins = one.join(other.hint("merge"), ["axis", "group_id"]).where("ra < rb").groupBy("axis", "winner", "loser").agg(F.count("*").alias("n"))
     strength = bradley_terry(wins, ["axis"]).withColumn("strength", F.bround("strength", 9))
     placed = numbered(strength, [F.col("axis"), F.desc("strength"), F.col("item")])
     ends = placed.groupBy("axis").agg(F.min("position").alias("start"), F.count("*").alias("total"))
     last = F.col("total") - 1
     score = F.when(last < 1, 100).otherwise(F.bround(100.0 * (last - (F.col("position") - F.col("start"))) / last)).cast("long")
     scored = placed.join(F.broadcast(ends), "axis").select("axis", F.col("item").alias("name"), score.alias("score"))
-    own = flat.join(scored, ["axis", "name"], "left").withColumn("score", F.coalesce("score", rank_to_percentile(F.col("rank"), F.col("size")).cast("long")))
+    own = flat.join(scored.hint("merge"), ["axis", "name"], "left").withColumn("score", F.coalesce("score", rank_to_percentile(F.col("rank"), F.col("size")).cast("long")))
     by_axis = own.groupBy("name").agg(*(F.max(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in axes))
-    return first.select("name").join(by_axis, "name", "left").withColumnRenamed("name", name)
+    return first.select("name").join(by_axis.hint("merge"), "name", "left").withColumnRenamed("name", name)
 
 
 def percentile_scores(df: DataFrame, position: str, total: int) -> DataFrame:
