@@ -83,6 +83,15 @@ def test_strengths_by_blocks_take_no_items_to_the_driver(spark, monkeypatch):
         assert out.keys() == want.keys() and all(abs(out[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_skylines_work_their_rows_out_once(spark):
+    rows = [(g, k, (k * 7 + g * 3) % 5, (k * 11 + g) % 4) for g in range(9) for k in range(4)] + [(None, 0, 1, 1), (None, 1, 2, 2), (3, 9, None, 9), (3, None, 9, 9), (4, 8, 9, 9)]
+    df = spark.createDataFrame(rows, "g long, k long, a long, b long")
+    beats = lambda y, x: None not in (*x, *y) and x[0] == y[0] and x[1] != y[1] and y[2] >= x[2] and y[3] >= x[3] and (y[2] > x[2] or y[3] > x[3])
+    got = selection.skyline(df, "g", "k", ["a", "b"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(x) for x in rows if not any(beats(y, x) for y in rows))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def slow_scale(entries):
     """One axis of stored replies as percentiles, by loops: first reply of a name, wins within what is left of each group, sixty steps."""
     first = {}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.bound import once
+
 # Limits of lifts and pulls in stops, the middle grey aimed at, and the least clipping worth recovering.
 MOST_LIFT, MOST_PULL, TARGET, LEAST_CLIPPED = 1.5, 1.0, 0.46, 0.002
 #: Headroom in stops from which highlights are worth recovering and shadows worth lifting.
@@ -229,10 +231,10 @@ def candidate_scores(df: DataFrame) -> DataFrame:
     clipped = share(c("luma_after"), lambda v: (v <= 0.004) | (v >= 0.996))
     travel = F.abs(c("exposure_ev")) / 2 + (F.abs(c("contrast")) + F.abs(c("highlights")) + F.abs(c("shadows")) + F.abs(c("clarity"))) / 400.0 + c("sharpening") / 200.0 + c("denoise") / 200.0
     parts = F.filter(F.array(
-        F.when(F.exists("preserve", lambda p: F.lower(p).rlike("low-key|shadow")), F.when(mass(c("luma_before")) > 0.01, F.least(F.lit(1.0), F.try_divide(mass(c("luma_after")), mass(c("luma_before"))))).otherwise(1.0)),
+        F.when(F.exists("preserve", lambda p: F.lower(p).rlike("low-key|shadow")), once(mass(c("luma_before")), lambda m: F.when(m > 0.01, F.least(F.lit(1.0), F.try_divide(mass(c("luma_after")), m))).otherwise(1.0))),
         F.when(protects(c("preserve"), "blur", "motion"), F.when(c("sharpening") > 0, 0.0).otherwise(1.0)), F.when(protects(c("preserve"), "tilt"), F.when(c("rotation") != 0, 0.0).otherwise(1.0)),
     ), lambda x: x.isNotNull())
-    kept = F.coalesce(F.try_divide(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.size(parts).cast("double")), F.lit(1.0))
+    kept = once(parts, lambda p: F.coalesce(F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), F.size(p).cast("double")), F.lit(1.0)))
     return df.withColumns({
         "recovered_detail": F.bround(F.greatest(F.lit(0.0), hidden(c("luma_before")) - hidden(c("luma_after"))), 5), "clipping_safety": F.bround(F.greatest(F.lit(0.0), 1 - clipped * 8), 5),
         "intent_preserved": F.bround(kept, 5), "restraint": F.bround(F.greatest(F.lit(0.0), 1 - travel), 5),

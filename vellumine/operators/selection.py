@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine import params
@@ -100,14 +100,19 @@ def select_diverse(df: DataFrame, limit: int, lambda_: float = 0.65, most_per_ge
 def skyline(df: DataFrame, group: str, key: str, larger_is_better: list[str], tolerance: float = 1e-9) -> DataFrame:
     """The rows of each group that no other row of it dominates: at least as good everywhere and better somewhere.
 
-    Groups are candidate sets of one asset, so the comparison within a group is small.
+    Groups are candidate sets of one asset, so a group is small: each row is compared with the group's values beside it. The rows are worked out and shuffled once, as a join with themselves would not.
     """
-    other = df.select(F.col(group).alias("_g"), F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in larger_is_better))
-    at_least, better = F.lit(True), F.lit(False)
-    for c in larger_is_better:
-        at_least = at_least & (F.col(f"_{c}") >= F.col(c) - tolerance)
-        better = better | (F.col(f"_{c}") > F.col(c) + tolerance)
-    return df.join(other, (F.col(group) == F.col("_g")) & (F.col(key) != F.col("_k")) & at_least & better, "left_anti")
+    them = F.collect_list(F.struct(key, *larger_is_better)).over(Window.partitionBy(group))
+
+    def dominates(other: Column) -> Column:
+        met, above = F.lit(True), F.lit(False)
+        for c in larger_is_better:
+            met = met & (other[c] >= F.col(c) - tolerance)
+            above = above | (other[c] > F.col(c) + tolerance)
+        return (other[key] != F.col(key)) & met & above
+
+    beaten = F.col(group).isNotNull() & F.exists("_them", dominates)
+    return df.withColumn("_them", them).where(~F.coalesce(beaten, F.lit(False))).drop("_them")
 
 
 def top_per(df: DataFrame, group: str, order: list, n: int, name: str = "place") -> DataFrame:

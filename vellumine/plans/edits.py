@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import recipes, selection
-from vellumine.plans.bindings import duck, table
+from vellumine.plans.bindings import duck, spread, table
 from vellumine.plans.registry import query
 
 #: Columns over the event's id, read alike by both engines.
@@ -24,12 +24,12 @@ BEFORE, AFTER = "CAST((key * 31 + i * 17) % 101 AS DOUBLE) / 100", "least(1.0D,
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     signals = "filter(array(" + ", ".join(f"CASE WHEN {when} THEN named_struct('defect', '{name}', 'verdict', CASE WHEN {SURE} THEN 'likely_intentional' ELSE 'unclear' END, 'evidence', 'seen') END" for name, when in SIGNALS) + "), x -> x IS NOT NULL)"
-    return table(spark, d, "events").selectExpr("event_id AS key").selectExpr("key", *(f"{sql} AS {name}" for name, sql in FRAME.items()), f"{signals} AS signals")
+    return spread(table(spark, d, "events").selectExpr("event_id AS key")).selectExpr("key", *(f"{sql} AS {name}" for name, sql in FRAME.items()), f"{signals} AS signals")
 
 
 def edited(spark: SparkSession, d: str) -> DataFrame:
     pixels = lambda sql: f"transform(sequence(0, 59), i -> {sql})"
-    df = recipes.generate(frames(spark, d)).selectExpr("*", f"{pixels(BEFORE)} AS luma_before", f"{pixels(AFTER)} AS luma_after")
+    df = recipes.generate(frames(spark, d).selectExpr("*", f"{pixels(BEFORE)} AS luma_before", f"{pixels(AFTER)} AS luma_after"))  # once for all variants
     return df.withColumn("crop_keeps", F.when(F.col("key") % 6 != 0, recipes.crop_keeps(F.col("crop_left"), F.lit(0.0), F.col("crop_right"), F.lit(1.0))))
 
 
